@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, HashingTF, IDF, IndexToString, Normalizer, StringIndexerModel
@@ -32,7 +33,7 @@ def train_sentiment(df: DataFrame, text: str = "text", label: str = "sentiment_l
     ``max_terms``) and the coefficients come to the driver.
     """
     rows = with_terms(with_class_weights(model_rows(df, text, label, labels), label, labels), text)
-    rows = rows.select("terms", label, "class_weight")
+    rows = rows.select("terms", label, "class_weight").persist(StorageLevel.MEMORY_AND_DISK)  # read by four fits
     counter = CountVectorizer(inputCol="terms", outputCol="_tf", vocabSize=max_terms, minDF=float(min_df)).fit(rows)
     counted = counter.transform(rows)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf.toArray() + 1.0
@@ -45,6 +46,7 @@ def train_sentiment(df: DataFrame, text: str = "text", label: str = "sentiment_l
         featuresCol="features", labelCol="_label", weightCol="class_weight", family="multinomial", maxIter=max_iter,
         regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False,
     ).fit(ready)
+    rows.unpersist()
     names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=list(labels))
     return PipelineModel(stages=[counter, scale, unit, regression, names])
 

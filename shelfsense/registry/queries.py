@@ -402,13 +402,13 @@ def similarity_to_kept(spark, sf):
 
 # Summary dataset -----------------------------------------------------------------------------------------
 
-def _tasks(spark, sf):
-    return chat.summary_tasks(groups.product_groups(group_reviews(spark, sf), 6, 3), 5, 2)
+def _tasks(spark, sf, min_sentiments=1):
+    return chat.summary_tasks(groups.product_groups(group_reviews(spark, sf), 6, 3), 5, min_sentiments)
 
 
 @query
 def summary_tasks(spark, sf):
-    return _tasks(spark, sf).select(
+    return _tasks(spark, sf, 2).select(
         "product_id", "sentiment", F.size("selected_reviews").cast("bigint").alias("source_review_count"),
         _long("original_sentiment_count"), prompt_hash(F.col("prompt")).alias("prompt_hash"), "request_key",
     )
@@ -669,7 +669,8 @@ def phase1_english(spark, sf):
 
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return streams.stream_files(spark, sf, schema, pattern="events.parquet")
+    events = streams.stream_files(spark, sf, schema, pattern="events.parquet")
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _as_reviews(events):

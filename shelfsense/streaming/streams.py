@@ -68,7 +68,7 @@ def run_available(stream: DataFrame, mode: str, root: str | None = None) -> Data
         .trigger(availableNow=True).foreachBatch(save).start()
     )
     query.awaitTermination()
-    schema = stream.schema.add("batch", "int")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).parquet(f"{root}/out")
 
 
