@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, HashingTF, IDF, IndexToString, Normalizer, StringIndexerModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, IndexToString, Normalizer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -13,8 +18,8 @@ from pyspark.sql import functions as F
 
 from shelfsense.functions.text import strip
 from shelfsense.operators.evaluation import with_class_weights
-from shelfsense.operators.features import MAX_TERMS, MIN_DF, neighbours, with_terms
-from shelfsense.schemas import MODEL_LABELS
+from shelfsense.operators.features import MAX_TERMS, MIN_DF, with_terms
+from shelfsense.schemas import MODEL_LABELS, struct_of
 
 # The languages the filter tells apart.
 LANGUAGES = ("en", "es", "fr", "de", "it", "pt")
@@ -60,30 +65,72 @@ def predict_sentiment(model: PipelineModel, df: DataFrame, text: str = "text", l
     )
 
 
-def with_char_grams(df: DataFrame, text: str, out: str = "_grams") -> DataFrame:
-    """Single characters, pairs and triples of the whole lower-cased text."""
-    split = df.withColumn("_chars", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), ""))
-    chars = F.col("_chars")
-    return split.withColumn(out, F.concat(chars, neighbours(chars), neighbours(chars, n=3))).drop("_chars")
-
-
-def train_language(df: DataFrame, text: str = "text", lang: str = "lang", dims: int = 1 << 14, languages=LANGUAGES) -> PipelineModel:
-    """Naive Bayes over hashed character groups, learnt from labelled texts."""
-    rows = with_char_grams(df.where(F.col(lang).isin(*languages)).select(text, lang), text)
-    seen = sorted(r[0] for r in rows.select(lang).distinct().collect())  # at most len(languages) rows
-    indexer = StringIndexerModel.from_labels(seen, inputCol=lang, outputCol="_lang", handleInvalid="skip")
-    hashing = HashingTF(numFeatures=dims, inputCol="_grams", outputCol="_hashed")
-    bayes = NaiveBayes(featuresCol="_hashed", labelCol="_lang", modelType="multinomial").fit(indexer.transform(hashing.transform(rows)))
-    names = IndexToString(inputCol="prediction", outputCol="detected_lang", labels=seen)
-    return PipelineModel(stages=[hashing, bayes, names])
-
-
-def detect_language(model: PipelineModel, df: DataFrame, text: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class LanguageModel:
+    """Naive Bayes over hashed character groups: a table of languages x buckets, whatever it was learnt from."""
+
+    languages: tuple[str, ...]
+    prior: np.ndarray
+    weights: np.ndarray  # log probability per bucket and language
+
+
+def gram_buckets(text: str, dims: int) -> np.ndarray:
+    """Buckets of all single characters, pairs and triples of the whole lower-cased text."""
+    c = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    mixed = [c * np.uint64(0x9E3779B1)]
+    if len(c) > 1:
+        mixed.append((c[:-1] << np.uint64(21) | c[1:]) * np.uint64(0x85EBCA77))
+    if len(c) > 2:
+        mixed.append((c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]) * np.uint64(0xC2B2AE3D))
+    return ((np.concatenate(mixed) >> np.uint64(17)) % np.uint64(dims)).astype(np.int64)
+
+
+def train_language(df: DataFrame, text: str = "text", lang: str = "lang", dims: int = 1 << 14, languages=LANGUAGES) -> LanguageModel:
+    """Learn from labelled texts. Tasks reduce their texts to bucket counts; at most languages x (dims + 1) sums reach
+    the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        rows: dict[str, int] = {}
+        for batch in batches:
+            for name, body in zip(batch["lang"], batch["text"]):
+                if name not in sums:
+                    sums[name], rows[name] = np.zeros(dims, dtype=np.int64), 0
+                sums[name] += np.bincount(gram_buckets(body, dims), minlength=dims)
+                rows[name] += 1
+        for name, total in sums.items():
+            at = np.flatnonzero(total)
+            # bucket -1 carries the number of texts
+            yield pd.DataFrame({"lang": name, "bucket": np.append(at, -1), "n": np.append(total[at], rows[name])})
+
+    known = df.where(F.col(lang).isin(*languages) & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = known.mapInPandas(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    cells = counts.toPandas()
+    seen = tuple(sorted(cells["lang"].unique()))
+    table = np.ones((len(seen), dims))
+    prior = np.zeros(len(seen))
+    for i, name in enumerate(seen):
+        own = cells[cells["lang"] == name]
+        grams = own[own["bucket"] >= 0]
+        table[i, grams["bucket"].to_numpy()] += grams["n"].to_numpy()
+        prior[i] = own.loc[own["bucket"] < 0, "n"].sum()
+    return LanguageModel(seen, np.log(prior / prior.sum()), np.log(table / table.sum(axis=1, keepdims=True)))
+
+
+def detect_language(model: LanguageModel, df: DataFrame, text: str = "text") -> DataFrame:
     """``detected_lang`` with its probability ``lang_conf``; blank text is unknown with 0."""
-    scored = model.transform(with_char_grams(df, text))
-    blank = strip(F.coalesce(F.col(text), F.lit(""))) == ""
-    return scored.select(
-        *df.columns,
-        F.when(blank, "unknown").otherwise(F.col("detected_lang")).alias("detected_lang"),
-        F.when(blank, F.lit(0.0)).otherwise(F.array_max(vector_to_array("probability"))).alias("lang_conf"),
-    )
+
+    @F.pandas_udf(struct_of("detected_lang string, lang_conf double"))
+    def classify(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for body in texts:
+            if body is None or not body.strip():
+                out.append(("unknown", 0.0))
+                continue
+            scores = model.prior + model.weights[:, gram_buckets(body, model.weights.shape[1])].sum(axis=1)
+            odds = np.exp(scores - scores.max())
+            best = int(odds.argmax())
+            out.append((model.languages[best], float(odds[best] / odds.sum())))
+        return pd.DataFrame(out, columns=["detected_lang", "lang_conf"])
+
+    return df.withColumn("_lang", classify(F.col(text))).select(*df.columns, "_lang.*")
