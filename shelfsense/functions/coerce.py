@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfsense.functions.text import strip
 
@@ -78,3 +79,32 @@ def datetime_to_millis(ts: Column) -> Column:
     """A timestamp to epoch milliseconds, reading its wall clock as UTC."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return F.timestamp_diff("MILLISECOND", epoch, ts.cast("timestamp_ntz"))
+
+
+# By column type: numbers and booleans skip the detour over text ------------------------------------------
+
+
+def number_column(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return drop_nan(F.col(name).cast("double"))
+    return F.col(name).cast("double") if isinstance(kind, T.NumericType) else parse_number(F.col(name))
+
+
+def int_column(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col(name).cast("bigint")
+    return number_column(df, name).try_cast("bigint")
+
+
+def bool_column(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    return F.col(name) if isinstance(kind, T.BooleanType) else to_bool(F.col(name), numeric=True)
+
+
+def flag_column(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(F.col(name), F.lit(False)).cast("int")
+    return verified_flag(F.col(name))

@@ -18,7 +18,14 @@ WHITESPACE = (
 REMOVED_PUNCTUATION = "\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~"
 TAG = r"<[^>]+>"
 
+_PUNCTUATION = r"[\"-/:->@\[-`{-~]+"
 _SPACES = "[\t-\r\x1c-\x20\x85\xa0  -     　]+"
+# The same for ASCII text: a class of low characters only is a table look-up in the regex engine.
+_ASCII_SPACES = "[\t-\r\x1c-\x20]+"
+
+
+def is_ascii(value: Column) -> Column:
+    return F.length(value) == F.octet_length(value)
 
 
 def strip(value: Column) -> Column:
@@ -28,7 +35,8 @@ def strip(value: Column) -> Column:
 
 def collapse(value: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
-    return F.btrim(F.regexp_replace(value, _SPACES, " "))
+    plain = F.regexp_replace(value, _ASCII_SPACES, " ")
+    return F.btrim(F.when(is_ascii(value), plain).otherwise(F.regexp_replace(value, _SPACES, " ")))
 
 
 def blank_to_null(value: Column) -> Column:
@@ -55,7 +63,7 @@ def clean_review_text(value: Column, entities: bool = True) -> Column:
     if entities:
         text = decode_entities(text)
     text = F.regexp_replace(text, TAG, " ")
-    text = F.translate(text, REMOVED_PUNCTUATION, "")
+    text = F.regexp_replace(text, _PUNCTUATION, "")
     return collapse(F.regexp_replace(text, "([!?])", " $1 "))
 
 
@@ -66,7 +74,8 @@ def model_text(clean_title: Column, clean_body: Column) -> Column:
 
 def token_count(value: Column) -> Column:
     text = null_to_blank(value)
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, _SPACES)))
+    tokens = F.when(is_ascii(text), F.size(F.split(text, _ASCII_SPACES))).otherwise(F.size(F.split(text, _SPACES)))
+    return F.when(text == "", 0).otherwise(tokens)
 
 
 def snippet(value: Column, limit: int = 220) -> Column:

@@ -7,15 +7,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfsense.functions.text import is_ascii
+
 # Token pattern and vocabulary limits of the baseline model.
-TOKEN = r"(?U)\b\w\w+\b"
+TOKEN = r"\w{2,}"
 MIN_DF = 2
 MAX_TERMS = 30_000
 
 
 def words(text: Column) -> Column:
-    """Runs of at least two word characters, in order; case is kept."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """Runs of at least two word characters of any script, in order; case is kept. ASCII text takes the faster class."""
+    return F.when(is_ascii(text), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(
+        F.regexp_extract_all(text, F.lit("(?U)" + TOKEN), F.lit(0))
+    )
 
 
 def neighbours(items: Column, sep: str = "", n: int = 2) -> Column:
@@ -36,8 +40,11 @@ def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
 
 def term_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """Occurrences per row and term. Texts move to their row's partition before they are split, so the exploded terms
-    are counted where they are."""
-    spread = with_terms(df.select(row_id, text).repartition(row_id), text)
+    are counted where they are. The partition count is given: the runtime would otherwise size partitions by the
+    texts, not by the many terms they turn into."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = with_terms(df.select(row_id, text).repartition(parts, row_id), text)
     return spread.select(row_id, F.explode("terms").alias("term")).groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsense.functions.scoring import HARD_MAX, IDEAL_MAX, IDEAL_MIN, WEIGHTS, length_score, min_max, quality, vote_log
+from shelfsense.functions.text import token_count
+from shelfsense.operators.bind import with_values
 from shelfsense.operators.skew import HOT_ROWS, join_key_stats
 from shelfsense.schemas import require_columns
 
@@ -34,15 +36,22 @@ def global_quality(df: DataFrame, tokens: str = "text_len", weights=WEIGHTS,
     return scored.drop("_ends")
 
 
-def product_quality(df: DataFrame, tokens: str, key: str = "product_id", row_id: str = "review_id", weights=WEIGHTS,
-                    band=(IDEAL_MIN, IDEAL_MAX, HARD_MAX), hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Votes normalised within each product; also adds the product's row count as ``total_reviews``."""
-    require_columns(df, [key, row_id, "helpful_vote", "verified_purchase", tokens])
+def product_quality(df: DataFrame, tokens: str | None = "text_len", text: str | None = None, key: str = "product_id",
+                    row_id: str = "review_id", weights=WEIGHTS, band=(IDEAL_MIN, IDEAL_MAX, HARD_MAX),
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Votes normalised within each product; also adds the product's row count as ``total_reviews``.
+
+    Lengths come from the column ``tokens``, or are counted in the column ``text`` as ``review_token_count``: after the
+    join, so that the per-product statistics never read the texts.
+    """
+    require_columns(df, [key, row_id, "helpful_vote", "verified_purchase", text or tokens])
     votes = vote_log(F.col("helpful_vote"))
     stats = df.groupBy(key).agg(
         F.min(votes).alias("_low"), F.max(votes).alias("_high"), F.count(F.lit(1)).alias("total_reviews")
     )
     joined = join_key_stats(df, stats, key, "total_reviews", F.col(row_id), hot_rows)
+    if text:
+        joined, tokens = with_values(joined, review_token_count=token_count(F.col(text))), "review_token_count"
     return _scored(joined, F.col("_low"), F.col("_high"), F.coalesce(F.col(tokens), F.lit(0)), weights, band).drop(
         "_low", "_high"
     )

@@ -13,31 +13,26 @@ HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 50_000
 
 
-def hot_keys(stats: DataFrame, keys: list[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than max(hot_rows, total / MAX_HOT_KEYS) rows, hence at most MAX_HOT_KEYS of them."""
-    floor = stats.agg(F.coalesce(F.sum(rows), F.lit(0)) / F.lit(MAX_HOT_KEYS)).scalar()
-    return stats.where(F.col(rows) > F.greatest(F.lit(float(hot_rows)), floor)).select(
-        *keys, F.ceil(F.col(rows) / F.lit(float(hot_rows))).cast("int").alias("_slices")
-    )
-
-
 def join_key_stats(df: DataFrame, stats: DataFrame, keys: str | list[str], rows: str, row_id: Column,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join of ``df`` with ``stats``: one row per key, ``rows`` counting the key's rows in ``df``.
 
     Rows of a hot key are spread over slices by a hash of ``row_id``, and the key's one stats row is repeated
     per slice, so no task receives a whole hot key. ``row_id`` must be deterministic, or a retried task would
-    reshuffle rows differently.
+    reshuffle rows differently. Besides the join this reads the row count and the key column of ``df``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = hot_keys(stats, keys, rows, hot_rows)
+    # hot: more than max(hot_rows, all rows / MAX_HOT_KEYS) rows, so there are at most MAX_HOT_KEYS of them
+    floor = F.greatest(F.lit(float(hot_rows)), df.agg(F.count(F.lit(1)) / F.lit(MAX_HOT_KEYS)).scalar())
+
+    def slices(n: Column) -> Column:
+        return F.when(n > floor, F.ceil(n / F.lit(float(hot_rows)))).otherwise(F.lit(1)).cast("int")
+
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > floor).select(*keys, slices(F.col("_n")).alias("_slices"))
     slice_of = F.pmod(F.xxhash64(row_id), F.coalesce(F.col("_slices"), F.lit(1))).cast("int")
     sliced = df.join(F.broadcast(hot), keys, "left").withColumn("_slice", slice_of).drop("_slices")
-    repeated = (
-        stats.join(F.broadcast(hot), keys, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1)))
-        .drop("_slices")
-    )
+    repeated = stats.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices(F.col(rows)) - 1)))
     return sliced.join(repeated, [*keys, "_slice"]).drop("_slice")
 
 

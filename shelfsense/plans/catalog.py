@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.functions.coerce import drop_nan, int_or, parse_number, to_bool
+from shelfsense.functions.coerce import bool_column, int_column, number_column
 from shelfsense.functions.lists import first_image, join_list, parse_list
 from shelfsense.functions.text import blank_to_null, strip
 from shelfsense.operators.dedupe import keep_first
@@ -20,10 +20,10 @@ def review_totals(reviews: DataFrame) -> DataFrame:
     kept = reviews.where(strip(F.col("product_id").cast("string")) != "")
     return kept.groupBy(strip(F.col("product_id").cast("string")).alias("product_id")).agg(
         F.count(F.lit(1)).alias("review_count"),
-        F.avg(drop_nan(F.col("rating").cast("double"))).alias("avg_review_rating"),
-        F.count_if(F.coalesce(to_bool(F.col("verified_purchase"), numeric=True), F.lit(False))).alias("verified_review_count"),
-        F.sum(int_or(F.col("helpful_vote"))).alias("total_helpful_votes"),
-        F.max(parse_number(F.col("timestamp")).cast("bigint")).alias("latest_review_ts"),
+        F.avg(number_column(reviews, "rating")).alias("avg_review_rating"),
+        F.count_if(F.coalesce(bool_column(reviews, "verified_purchase"), F.lit(False))).alias("verified_review_count"),
+        F.sum(F.coalesce(int_column(reviews, "helpful_vote"), F.lit(0))).alias("total_helpful_votes"),
+        F.max(int_column(reviews, "timestamp")).alias("latest_review_ts"),
     )
 
 
@@ -45,8 +45,8 @@ def build_catalog(meta: DataFrame, reviews: DataFrame, order: list[Column | str]
         .withColumn("store", blank_to_null(F.col("store")))
         .withColumn("main_category", blank_to_null(F.col("main_category")))
         .withColumn("price", blank_to_null(F.col("price").cast("string")))
-        .withColumn("average_rating", parse_number(F.col("average_rating")))
-        .withColumn("rating_number", int_or(F.col("rating_number")))
+        .withColumn("average_rating", number_column(joined, "average_rating"))
+        .withColumn("rating_number", F.coalesce(int_column(joined, "rating_number"), F.lit(0)))
         .withColumn("avg_review_rating", F.coalesce("avg_review_rating", F.lit(0.0)))
         .withColumn("categories_list", parse_list(column_or(joined, "categories", null)))
         .withColumn("features_text", join_list(column_or(joined, "features", null)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.functions.coerce import int_or, parse_number, to_int, verified_flag
+from shelfsense.functions.coerce import flag_column, int_column, number_column
 from shelfsense.functions.ids import review_hash
 from shelfsense.functions.scoring import training_label
 from shelfsense.functions.text import clean_review_text, model_text, token_count
+from shelfsense.operators.bind import with_values
 from shelfsense.operators.dedupe import keep_first
 from shelfsense.schemas import META_COLUMNS, REVIEW_REQUIRED, require_columns
 
@@ -16,19 +17,21 @@ from shelfsense.schemas import META_COLUMNS, REVIEW_REQUIRED, require_columns
 def clean_fields(raw: DataFrame, min_tokens: int = 3, entities: bool = True) -> DataFrame:
     """Cleaned texts and typed numbers of usable rows; a projection and filters, no shuffle."""
     require_columns(raw, REVIEW_REQUIRED, "reviews")
+    given = raw.na.drop(subset=["product_id", "rating", "review_text"])
+    texts = with_values(
+        given,
+        review_title=clean_review_text(F.col("review_title"), entities),
+        review_text=clean_review_text(F.col("review_text"), entities),
+    ).where(F.col("review_text") != "")
+    merged = with_values(texts, text=model_text(F.col("review_title"), F.col("review_text")))
     return (
-        raw.na.drop(subset=["product_id", "rating", "review_text"])
-        .withColumn("review_title", clean_review_text(F.col("review_title"), entities))
-        .withColumn("review_text", clean_review_text(F.col("review_text"), entities))
-        .where(F.col("review_text") != "")
-        .withColumn("rating", parse_number(F.col("rating")))
-        .withColumn("timestamp", to_int(F.col("timestamp")))
-        .withColumn("helpful_vote", int_or(F.col("helpful_vote")))
-        .withColumn("verified_purchase", verified_flag(F.col("verified_purchase")))
-        .where(F.col("rating").isNotNull())
-        .withColumn("text", model_text(F.col("review_title"), F.col("review_text")))
-        .withColumn("text_len", token_count(F.col("text")))
+        with_values(merged, text_len=token_count(F.col("text")))
         .where(F.col("text_len") >= min_tokens)
+        .withColumn("rating", number_column(raw, "rating"))
+        .withColumn("timestamp", int_column(raw, "timestamp"))
+        .withColumn("helpful_vote", F.coalesce(int_column(raw, "helpful_vote"), F.lit(0).cast("bigint")))
+        .withColumn("verified_purchase", flag_column(raw, "verified_purchase"))
+        .where(F.col("rating").isNotNull())
     )
 
 

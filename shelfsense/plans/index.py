@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.functions.coerce import int_or, millis_to_datetime, parse_number, to_bool, to_int
+from shelfsense.functions.coerce import bool_column, int_column, millis_to_datetime, number_column
 from shelfsense.functions.ids import index_review_id
 from shelfsense.functions.text import blank_to_null, strip
 from shelfsense.operators.dedupe import keep_first
@@ -31,10 +31,12 @@ def build_index(reviews: DataFrame, position: str = "position", strict_images: b
             F.col("product_id").cast("string").alias("product_id"),
             blank_to_null(column_or(reviews, "review_title", none)).alias("review_title"),
             blank_to_null(F.col("review_text")).alias("review_text"),
-            to_int(column_or(reviews, "timestamp", none)).alias("timestamp"),
-            parse_number(F.col("rating")).alias("rating"),
-            int_or(column_or(reviews, "helpful_vote", none)).alias("helpful_vote"),
-            F.coalesce(to_bool(column_or(reviews, "verified_purchase", none), numeric=True), F.lit(False)).alias("verified_purchase"),
+            (int_column(reviews, "timestamp") if "timestamp" in reviews.columns else none.cast("bigint")).alias("timestamp"),
+            number_column(reviews, "rating").alias("rating"),
+            (F.coalesce(int_column(reviews, "helpful_vote"), F.lit(0)) if "helpful_vote" in reviews.columns else F.lit(0).cast("bigint"))
+            .alias("helpful_vote"),
+            (F.coalesce(bool_column(reviews, "verified_purchase"), F.lit(False)) if "verified_purchase" in reviews.columns else F.lit(False))
+            .alias("verified_purchase"),
             has_image.alias("has_review_image"),
         )
         .where(F.col("product_id").isNotNull() & (F.col("product_id") != "") & F.col("review_text").isNotNull())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfsense.functions.ids import file_safe
 from shelfsense.functions.prompts import insight_prompt, placeholder_summary
-from shelfsense.functions.text import null_to_blank, snippet, token_count
+from shelfsense.functions.text import null_to_blank, snippet
 from shelfsense.operators.quality import product_quality
 from shelfsense.operators.select import top_n
 from shelfsense.operators.sentiment import Predictor, distribution_columns, route_sentiment
@@ -28,8 +28,7 @@ Generator = Callable[[Column, Column, Column], Column]
 
 def select_reviews(reviews: DataFrame, max_reviews: int = MAX_REVIEWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each product's best ``max_reviews`` reviews; scores see all of the product's reviews."""
-    counted = reviews.withColumn("review_token_count", token_count(F.col("review_text")))
-    scored = product_quality(counted, "review_token_count", hot_rows=hot_rows)
+    scored = product_quality(reviews, text="review_text", hot_rows=hot_rows)
     order = [
         F.desc(c) for c in ("review_quality_score", "helpful_vote", "verified_purchase", "review_char_len")
     ] + [F.desc_nulls_last("timestamp"), F.asc("review_id")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfsense.functions.coerce import datetime_to_millis
 from shelfsense.functions.text import token_count
+from shelfsense.operators.bind import with_values
 
 BASE_MILLIS = 1577836800000
 
@@ -15,9 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts. A file with fewer splits than cores is spread by id, so that text work runs on
+    all of them; a large table has many splits and is read as it lies."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def doc_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reviews: the source is the product, labels give ratings, some rows carry a label already."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = texts(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels")
     rating = (
         F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 5.0)
         .when(F.col("quality") == 1, 3.0)
@@ -111,7 +119,7 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = F.when(at % by == i, F.lit(v)).otherwise(out)
         return out
 
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         "doc_id",
         F.when(at % 13 == 0, "  ").when(at % 13 != 1, F.concat(F.lit(" "), F.col("source"), F.lit("\t"))).alias("parent_asin"),
         pick(7, "5", "4.0", " $3.5 ", "1,000", "bad", None, "").alias("rating"),
@@ -126,13 +134,13 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def group_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document reviews in the form of the cleaned table."""
-    reviews = doc_reviews(spark, sf_dir)
+    reviews = with_values(doc_reviews(spark, sf_dir), text_len=token_count(F.col("review_text")))
     label = F.when(F.col("rating") >= 4, "positive").when(F.col("rating") == 3, "neutral").when(
         F.col("rating").isNotNull(), "negative").otherwise("positive")
     return reviews.select(
         "review_id", "product_id", "review_title", "review_text", F.col("review_text").alias("text"),
         F.coalesce("rating", F.lit(4.0)).alias("rating"), "timestamp", "helpful_vote",
-        F.col("verified_purchase").cast("int").alias("verified_purchase"), token_count(F.col("review_text")).alias("text_len"),
+        F.col("verified_purchase").cast("int").alias("verified_purchase"), "text_len",
         label.alias("sentiment_label"), F.concat(F.lit("Source "), F.col("product_id")).alias("product_title"),
         F.when(F.col("product_id") != "src3", F.lit("Texts")).alias("main_category"),
     )

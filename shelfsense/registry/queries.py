@@ -14,11 +14,12 @@ from shelfsense.functions.prompts import judge_prompt
 from shelfsense.functions.scoring import training_label
 from shelfsense.functions.text import clean_review_text, model_text, snippet, token_count
 from shelfsense.operators import evaluation, features, models, quality, select, splits, stats
+from shelfsense.operators.bind import with_values
 from shelfsense.operators.dedupe import keep_first
 from shelfsense.operators.sentiment import route_sentiment
 from shelfsense.plans import catalog, chat, clean, groups, index, ingest, insights
 from shelfsense.plans.testviews import (
-    LINE_COLUMNS, doc_meta, doc_reviews, fact_reviews, group_reviews, part_meta, source_records, table,
+    LINE_COLUMNS, doc_meta, doc_reviews, fact_reviews, group_reviews, part_meta, source_records, table, texts,
 )
 from shelfsense.session import scratch_path
 from shelfsense.sources.tables import absent_rows, read_snapshot, write_snapshot
@@ -258,15 +259,14 @@ def products_without_meta(spark, sf):
 
 @query
 def clean_text_pages(spark, sf):
-    cleaned = clean_review_text(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", cleaned.alias("clean_text")).withColumn(
-        "token_count", token_count(F.col("clean_text")))
+    pages = with_values(texts(spark, sf, "pages", "page_id"), clean_text=clean_review_text(F.col("html")))
+    return pages.select("page_id", "clean_text", token_count(F.col("clean_text")).alias("token_count"))
 
 
 @query
 def clean_text_docs(spark, sf):
     body, title = clean_review_text(F.col("text"), entities=False), clean_review_text(F.col("lang"), entities=False)
-    return table(spark, sf, "documents").select("doc_id", body.alias("clean_text"), title.alias("clean_title")).select(
+    return with_values(texts(spark, sf, "documents", "doc_id"), clean_text=body, clean_title=title).select(
         "doc_id", "clean_text", F.md5(model_text(F.col("clean_title"), F.col("clean_text"))).alias("text_md5"),
         token_count(F.col("clean_text")).cast("bigint").alias("tokens"), snippet(F.col("clean_text"), 60).alias("snippet"),
     )
@@ -625,7 +625,7 @@ def soft_align_f1(spark, sf):
 # Text features and models -------------------------------------------------------------------------------------
 
 def _lower_docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", F.lower("text").alias("text"))
 
 
 @query
@@ -641,7 +641,7 @@ def tfidf_weights(spark, sf):
 @query
 def sentiment_train_predict(spark, sf):
     """Train on the training part of labelled documents, predict the test part."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
+    docs = texts(spark, sf, "documents", "doc_id").join(table(spark, sf, "labels"), "doc_id").select(
         "doc_id", F.lower("text").alias("text"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("sentiment_label")
     )
     parts = splits.stratified_split(docs, row_id="doc_id", labels=("negative", "positive"))
@@ -652,7 +652,7 @@ def sentiment_train_predict(spark, sf):
 
 @query
 def language_id(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = texts(spark, sf, "documents", "doc_id").select("doc_id", "text", "lang")
     model = models.train_language(docs)
     return models.detect_language(model, docs).drop("text")
 
@@ -660,7 +660,7 @@ def language_id(spark, sf):
 @query
 def phase1_english(spark, sf):
     """Cleaning with the language filter, the model trained on the labelled documents."""
-    model = models.train_language(table(spark, sf, "documents").select("text", "lang"))
+    model = models.train_language(texts(spark, sf, "documents", "doc_id").select("text", "lang"))
     cleaned = clean.clean_reviews(doc_reviews(spark, sf), language=lambda df: models.detect_language(model, df), sort=False)
     return cleaned.select("review_id", "product_id", "sentiment_label", "detected_lang", "lang_conf")
 
