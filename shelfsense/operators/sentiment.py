@@ -20,18 +20,18 @@ def predictor_udf(predictor: Predictor):
 
     @F.pandas_udf("sentiment_label string, sentiment_confidence double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        asked = texts[texts.notna()]
-        answers = predictor(asked.tolist()) if len(asked) else []
-        if len(answers) != len(asked):
+        open_at = [i for i, text in enumerate(texts) if text is not None]
+        answers = predictor([texts.iloc[i] for i in open_at]) if open_at else []
+        if len(answers) != len(open_at):
             raise ValueError("sentiment predictor returned a different number of predictions")
-        frame = pd.DataFrame(
-            {
-                "sentiment_label": [a.get("sentiment_label") for a in answers],
-                "sentiment_confidence": [a.get("sentiment_confidence") for a in answers],
-            },
-            index=asked.index,
-        )
-        return frame.reindex(texts.index)
+        labels: list = [None] * len(texts)
+        confidences: list = [None] * len(texts)
+        for i, answer in zip(open_at, answers):
+            labels[i], confidences[i] = answer.get("sentiment_label"), answer.get("sentiment_confidence")
+        return pd.DataFrame({
+            "sentiment_label": pd.Series(labels, dtype=object),
+            "sentiment_confidence": pd.Series(confidences, dtype="float64"),
+        })
 
     return predict
 

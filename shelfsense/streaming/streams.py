@@ -14,7 +14,6 @@ from shelfsense.operators.sentiment import distribution_columns
 from shelfsense.operators.stats import histogram
 from shelfsense.plans.insights import upsert
 from shelfsense.plans.ingest import typed_reviews
-from shelfsense.functions.coerce import millis_to_datetime
 from shelfsense.session import scratch_path
 from shelfsense.sources.tables import snapshots, write_snapshot
 
@@ -37,7 +36,7 @@ def first_arrivals(stream: DataFrame, keys: list[str], event_time: str, delay: s
 def review_stream(source: DataFrame, delay: str = "7 days") -> DataFrame:
     """Source records as typed reviews, the first of each (product, text, time). Records without a time carry no
     event time and are left to the batch job."""
-    typed = typed_reviews(source).withColumn("event_time", millis_to_datetime(F.col("timestamp"))).where("event_time IS NOT NULL")
+    typed = typed_reviews(source).withColumn("event_time", F.timestamp_millis("timestamp")).where("event_time IS NOT NULL")
     return first_arrivals(typed, ["product_id", "review_text", "timestamp"], "event_time", delay)
 
 
