@@ -106,7 +106,7 @@ def chat_splits(records: DataFrame, test_size: float = 0.2, val_fraction_of_temp
 
 
 def conversations(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Turn rows to one message list per conversation. A conversation is one training example and fits a row."""
+    """Turn rows to one message list per conversation, for examples that fit a row; ``turn_facts`` needs no list."""
     return turns.groupBy(key).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(order, "role", F.col("text").alias("content")))),
@@ -115,6 +115,28 @@ def conversations(turns: DataFrame, key: str = "conv_id", order: str = "turn") -
     )
 
 
+def turn_facts(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Per conversation, straight from turn rows of any number: message count, validity, last user and last assistant
+    text, and what is missing. All partial aggregates."""
+    content = strip(F.col("text"))
+    whole = F.coalesce(F.col("role").isNotNull() & (content != ""), F.lit(False))
+
+    def last(role: str) -> Column:
+        return F.max_by(content, F.when(F.col("role") == role, F.col(order)))
+
+    facts = turns.groupBy(key).agg(
+        F.count(F.lit(1)).alias("messages"), F.every(whole).alias("_whole"),
+        last("user").alias("prompt"), last("assistant").alias("reference_answer"),
+    )
+    return facts.withColumn("valid", F.col("_whole") & (F.col("messages") >= 2)).withColumn("problem", _missing_turn()).drop("_whole")
+
+
+def _missing_turn() -> Column:
+    return F.when(F.col("prompt").isNull(), "No user message found in messages.").when(
+        F.col("reference_answer").isNull(), "No assistant message found in messages."
+    )
+
+
 def validated(df: DataFrame) -> DataFrame:
     return df.withColumn("valid", messages_valid(F.col("messages")))
 
@@ -128,18 +150,15 @@ def prompt_and_reference(df: DataFrame, strict: bool = False) -> DataFrame:
     """Last user and last assistant text of each conversation; ``strict`` fails where one is missing, otherwise
     ``problem`` names it."""
     prompt, reference = last_of_role(F.col("messages"), "user"), last_of_role(F.col("messages"), "assistant")
-    problem = F.when(prompt.isNull(), "No user message found in messages.").when(
-        reference.isNull(), "No assistant message found in messages."
-    )
-    out = df.withColumn("prompt", prompt).withColumn("reference_answer", reference).withColumn("problem", problem)
+    out = df.withColumn("prompt", prompt).withColumn("reference_answer", reference).withColumn("problem", _missing_turn())
     if strict:
         out = out.withColumn("prompt", F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem"))).otherwise(F.col("prompt")))
     return out
 
 
-def predictions(df: DataFrame, generator: Callable[[str], str]) -> DataFrame:
+def predictions(pairs: DataFrame, generator: Callable[[str], str]) -> DataFrame:
     """Reference and generated answer side by side, with the call's latency."""
-    return generate(prompt_and_reference(df), "prompt", generator).withColumnRenamed("result", "generated_answer")
+    return generate(pairs, "prompt", generator).withColumnRenamed("result", "generated_answer")
 
 
 def limited(df: DataFrame, order: str, n: int | None) -> DataFrame:

@@ -381,6 +381,7 @@ _CONV = f"""conv AS (SELECT conv_id, count(*) AS messages, bool_and(role IS NOT
   trim(arg_max(text, turn) FILTER (role = 'user'), {_STRIP}) AS prompt, trim(arg_max(text, turn) FILTER (role = 'assistant'), {_STRIP}) AS reference_answer
   FROM conversations GROUP BY conv_id)"""
 ORACLES["messages_validate"] = f"WITH {_CONV} SELECT conv_id, messages, valid FROM conv"
+ORACLES["messages_as_lists"] = f"WITH {_CONV} SELECT conv_id, messages, valid, prompt, reference_answer FROM conv"
 ORACLES["messages_extract"] = f"""WITH {_CONV} SELECT conv_id, prompt, reference_answer, CASE WHEN prompt IS NULL THEN 'No user message found in messages.'
   WHEN reference_answer IS NULL THEN 'No assistant message found in messages.' END AS problem FROM conv"""
 

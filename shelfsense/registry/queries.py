@@ -447,22 +447,25 @@ def summary_records(spark, sf):
 
 @query
 def messages_validate(spark, sf):
-    return chat.validated(chat.conversations(table(spark, sf, "conversations"))).select(
-        "conv_id", F.size("messages").cast("bigint").alias("messages"), "valid"
-    )
+    return chat.turn_facts(table(spark, sf, "conversations")).select("conv_id", "messages", "valid")
+
+
+@query
+def messages_as_lists(spark, sf):
+    """The same facts from message lists."""
+    lists_ = chat.prompt_and_reference(chat.validated(chat.conversations(table(spark, sf, "conversations"))))
+    return lists_.select("conv_id", F.size("messages").cast("bigint").alias("messages"), "valid", "prompt", "reference_answer")
 
 
 @query
 def messages_extract(spark, sf):
-    return chat.prompt_and_reference(chat.conversations(table(spark, sf, "conversations"))).select(
-        "conv_id", "prompt", "reference_answer", "problem"
-    )
+    return chat.turn_facts(table(spark, sf, "conversations")).select("conv_id", "prompt", "reference_answer", "problem")
 
 
 @query
 def summary_predictions(spark, sf):
     """Reference and generated answer side by side; the generator repeats the prompt's first words."""
-    told = chat.predictions(chat.conversations(table(spark, sf, "conversations")), lambda p: " ".join(p.split()[:20]))
+    told = chat.predictions(chat.turn_facts(table(spark, sf, "conversations")).where("prompt IS NOT NULL"), lambda p: " ".join(p.split()[:20]))
     return told.select("conv_id", "prompt", "reference_answer", "generated_answer", F.col("latency_ms").isNotNull().alias("timed"))
 
 
@@ -593,7 +596,7 @@ def judge_averages(spark, sf):
 
 
 def _answer_pairs(spark, sf):
-    pairs = chat.prompt_and_reference(chat.conversations(table(spark, sf, "conversations")))
+    pairs = chat.turn_facts(table(spark, sf, "conversations"))
     return pairs.where("problem IS NULL").select("conv_id", "prompt", "reference_answer")
 
 
