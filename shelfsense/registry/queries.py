@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsense.functions import lists, similarity
-from shelfsense.functions.coerce import to_float, to_int
 from shelfsense.functions.ids import file_safe, insight_key, load_review_id, prompt_hash, request_key, review_hash, slug
 from shelfsense.functions.prompts import judge_prompt
-from shelfsense.functions.scoring import training_label
 from shelfsense.functions.text import clean_review_text, model_text, snippet, token_count
 from shelfsense.operators import evaluation, features, models, quality, select, splits, stats
 from shelfsense.operators.bind import with_values
@@ -22,7 +20,7 @@ from shelfsense.plans.testviews import (
     LINE_COLUMNS, doc_meta, doc_reviews, fact_reviews, group_reviews, part_meta, source_records, table, texts,
 )
 from shelfsense.session import scratch_path
-from shelfsense.sources.tables import absent_rows, read_snapshot, write_snapshot
+from shelfsense.sources.tables import absent_rows, read_snapshot
 from shelfsense.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -108,8 +108,7 @@ def test_refresh_touches_only_arrived_products(spark, tmp_path):
     assert calls == [["a"], ["a", "b"]] and out == {"a": 1, "b": 2}
 
 
-def test_large_inputs_are_not_reshuffled(spark):
+def test_small_text_files_are_spread_over_the_cores(spark):
     from shelfsense.plans.testviews import texts
 
-    plan = texts(spark, SF, "documents", "doc_id")._jdf.queryExecution().toString()
-    assert "RepartitionByExpression" in plan or "Repartition" in plan
+    assert texts(spark, SF, "documents", "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
