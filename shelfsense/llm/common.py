@@ -24,18 +24,20 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
-def map_texts(docs: DataFrame, doc_id: str, text: str, schema: str, make: Callable[[], Callable[[list[bytes]], dict]]) -> DataFrame:
-    """``doc_id`` plus columns computed from each whole text; ``make()`` runs once per task and gives a function
-    from UTF-8 texts (null is empty) to Arrow-ready columns. Other columns are not read."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+def map_texts(docs: DataFrame, doc_id: str, text: str, schema: str, make: Callable[[], Callable[[list[bytes]], dict]],
+              keep: dict[str, str] | None = None) -> DataFrame:
+    """``doc_id``, the columns of ``keep`` (new name to column) and columns computed from each whole text; ``make()`` runs once
+    per task and gives a function from UTF-8 texts (null is empty) to Arrow-ready columns. Other columns are not read."""
+    kept = {"doc_id": doc_id} | (keep or {})
+    narrow = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(k) for k, c in kept.items()])
 
     def run(batches):
         fn = make()
         for part in slices(batches):
-            columns = fn(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns.values())], names=["doc_id", *columns])
+            columns = fn(part.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *map(pa.array, columns.values())], names=[*kept, *columns])
 
-    return narrow.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {schema}")
+    return narrow.mapInArrow(run, ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in kept.items()) + f", {schema}")
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import bpe, exact_dedup, factor_machine
+from shelfsense.llm import bpe, exact_dedup, factor_machine, mixing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,39 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# The rules of the query, and words that mark a host as an advertiser's.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+LISTED_HOSTS = r"casino|poker|pills|betting|loans"
+
+
+@query
+def op3_url_filter(spark, sf):
+    """The list holds the canonical URLs of pages on advertisers' hosts."""
+    pages = _table(spark, sf, "pages")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    listed = pages.where(url_filter.url_host(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    return url_filter.judge_urls(pages, rules, listed)
+
+
+ORACLES["op3_url_filter"] = f"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cut AS (
+    SELECT page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM rest
+), rules(rule_host, rule_path, verdict) AS (VALUES {", ".join(map(str, RULES))}
+), fit AS (
+    SELECT page_id, rule_host || rule_path AS rule, verdict,
+           row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+    FROM cut JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND prefix(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '{LISTED_HOSTS}') THEN 'block' ELSE 'allow' END) AS verdict,
+       regexp_matches(host, '{LISTED_HOSTS}') AS listed
+FROM cut LEFT JOIN (FROM fit WHERE place = 1) USING (page_id)
+"""
+
+
 @query
 def op5_exact_dedup(spark, sf):
     return exact_dedup.exact_duplicates(_table(spark, sf, "documents"))
@@ -43,6 +76,11 @@ FROM t WINDOW w AS (PARTITION BY norm)
 """
 
 
+@query
+def op7_source_mix(spark, sf):
+    return mixing.mix(_table(spark, sf, "documents"))
+
+
 @query
 def op8_token_counts(spark, sf):
     return bpe.token_counts(_table(spark, sf, "documents"), vocabulary_path())
