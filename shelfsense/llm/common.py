@@ -141,3 +141,45 @@ def bloom_hits(df: DataFrame, key: Column, filter_: DataFrame, keys: int, out: s
     mask = F.col("_mask")
     return (df.withColumn("_block", F.when(key.isNotNull(), block)).withColumn("_mask", bloom_mask(first, second)).join(side, "_block", "left")
             .withColumn(out, F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_block", "_mask", "_bits"))
+
+
+# Graph components -------------------------------------------------------------------------------------
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, key_of: str, value: str, total: int) -> DataFrame:
+    """``rows`` with ``value`` of the one row of ``table`` whose ``key_of`` equals ``key`` (null where there is none); any key may be hot."""
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    groups = sizes.join(table.select(F.col(key_of).alias(key), F.col(value)), key)
+    return salted_join(rows, groups, key, "_size", F.struct(*rows.columns), total, "left").drop("_size")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b: long): nodes share a root exactly when a path joins them.
+
+    Each round sends a node to the neighbour (or itself) that comes first in that round's random order and shrinks the edges to the
+    ends' new names, so chains of any shape shrink by a constant factor; the rounds' maps are then followed. Rounds are written to
+    the shared folder.
+    """
+    names: DataFrame | None = None
+    left = saved(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    for turn in range(200):
+        count = left.count()
+        if not count:
+            break
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+        def order(c: str, turn: int = turn) -> Column:
+            return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("o"), F.col(c).alias("node"))
+
+        step = saved(both.groupBy("a").agg(F.least(F.min(order("b")), F.first(order("a"))).getField("node").alias("to")), "step")
+        total = 2 * count
+        moved = lookup(left, "a", step, "a", "to", total).select(F.col("to").alias("a"), "b")
+        moved = lookup(moved, "b", step.withColumnRenamed("a", "k"), "k", "to", total).select("a", F.col("to").alias("b"))
+        left = saved(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        if names is None:
+            names = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
+        else:
+            found = lookup(names, "root", step.withColumnRenamed("a", "k"), "k", "to", names.count())
+            names = saved(found.select("node", F.coalesce("to", "root").alias("root")), "names")
+    else:
+        raise RuntimeError("components did not settle")
+    return names if names is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import bpe, exact_dedup, factor_machine, mixing, url_filter
+from shelfsense.llm import bpe, exact_dedup, factor_machine, jaccard_join, mixing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,6 +76,11 @@ FROM t WINDOW w AS (PARTITION BY norm)
 """
 
 
+@query
+def op6_ngram_jaccard(spark, sf):
+    return jaccard_join.jaccard_components(_table(spark, sf, "documents"), n=3, num=90, den=100)
+
+
 @query
 def op7_source_mix(spark, sf):
     return mixing.mix(_table(spark, sf, "documents"))
