@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import bpe, exact_dedup, factor_machine, hilbert_ann, jaccard_join, mixing, url_filter
+from shelfsense.llm import bpe, exact_dedup, factor_machine, hilbert_ann, jaccard_join, line_dedup, mixing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +67,11 @@ FROM cut LEFT JOIN (FROM fit WHERE place = 1) USING (page_id)
 """
 
 
+@query
+def op4_line_dedup(spark, sf):
+    return line_dedup.repeated_lines(_table(spark, sf, "documents"))
+
+
 @query
 def op5_exact_dedup(spark, sf):
     return exact_dedup.exact_duplicates(_table(spark, sf, "documents"))
