@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsense.llm import bpe, exact_dedup, factor_machine, hilbert_ann, jaccard_join, line_dedup, mixing, url_filter
+from shelfsense.llm import bpe, exact_dedup, factor_machine, hilbert_ann, jaccard_join, line_dedup, mixing, secret_scan, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,11 @@ def op1_hilbert_ann(spark, sf):
     return hilbert_ann.nearest(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op2_secret_scan(spark, sf):
+    return secret_scan.scan(_table(spark, sf, "documents"), vocabulary_path())
+
+
 # The rules of the query, and words that mark a host as an advertiser's.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 LISTED_HOSTS = r"casino|poker|pills|betting|loans"
