@@ -65,8 +65,8 @@ def to_text(value: Column) -> Column:
 
 
 def to_json_text(value: Column) -> Column:
-    """Array, struct or map column as JSON text; scalar columns are passed by the caller as they are."""
-    return F.to_json(value)
+    """Array, struct or map column as JSON text, NULL fields kept; scalar columns are passed by the caller as they are."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
 
 
 def millis_to_datetime(ms: Column) -> Column:

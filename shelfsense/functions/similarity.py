@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from shelfsense.schemas import struct_of
 
 _SCORES = struct_of("precision double, recall double, f1 double")
+# Rows of a similarity block of ``soft_alignment``.
+_BLOCK = 1_024
 
 # ROUGE tokens and the suffix rules of Porter's algorithm (1980), each step tried in order.
 ROUGE_TOKEN = "[a-z0-9]+"
@@ -26,6 +28,15 @@ STEP4 = (
 )
 
 
+# Irregular words of the extended stemmer.
+IRREGULAR = {
+    "sky": ("sky", "skies"), "die": ("dying",), "lie": ("lying",), "tie": ("tying",), "news": ("news",), "inning": ("innings", "inning"),
+    "outing": ("outings", "outing"), "canning": ("cannings", "canning"), "howe": ("howe",), "proceed": ("proceed",), "exceed": ("exceed",),
+    "succeed": ("succeed",),
+}
+_STEM_OF = {form: stem for stem, forms in IRREGULAR.items() for form in forms}
+
+
 def _shape(stem: str) -> str:
     """v and c per letter; y is a vowel after a consonant."""
     out = ""
@@ -40,21 +51,38 @@ def _measure(stem: str) -> int:
 
 
 def _ends_short(stem: str) -> bool:
-    """Consonant, vowel, consonant other than w, x, y."""
-    return _shape(stem).endswith("cvc") and stem[-1] not in "wxy"
+    """Consonant, vowel, consonant other than w, x, y; or just vowel and consonant."""
+    shape = _shape(stem)
+    return shape == "vc" or (shape.endswith("cvc") and stem[-1] not in "wxy")
+
+
+def _longer_suffixes(word: str) -> str:
+    """The second step. ``alli`` becomes ``al`` and the step goes on; the measure of ``logi`` counts its l."""
+    if word.endswith("alli") and _measure(word[:-4]) > 0:
+        return _longer_suffixes(word[:-2])
+    for suffix, to in sorted((*STEP2, ("fulli", "ful")), key=lambda r: -len(r[0])):
+        if word.endswith(suffix):
+            stem = word[: len(word) - len(suffix)]
+            return stem + to if _measure(word[:-3] if suffix == "logi" else stem) > 0 else word
+    return word
 
 
 def porter_stem(word: str) -> str:
-    """Porter's suffix stripping."""
+    """Porter's suffix stripping with the usual extensions: irregular words, four-letter words in -ies and -ied, and y only
+    after a consonant that does not begin the word."""
+    if word in _STEM_OF:
+        return _STEM_OF[word]
     if len(word) <= 2:
         return word
     # plurals
     for suffix, to in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if word.endswith(suffix):
-            word = word[: len(word) - len(suffix)] + to
+            word = word[: len(word) - len(suffix)] + ("ie" if suffix == "ies" and len(word) == 4 else to)
             break
     # past and progressive
-    if word.endswith("eed"):
+    if word.endswith("ied"):
+        word = word[:-3] + ("ie" if len(word) == 4 else "i")
+    elif word.endswith("eed"):
         if _measure(word[:-3]) > 0:
             word = word[:-1]
     else:
@@ -69,15 +97,15 @@ def porter_stem(word: str) -> str:
                 elif _measure(word) == 1 and _ends_short(word):
                     word += "e"
                 break
-    if word.endswith("y") and "v" in _shape(word[:-1]):
+    if word.endswith("y") and len(word) > 2 and _shape(word[:-1])[-1] == "c":
         word = word[:-1] + "i"
-    for rules in (STEP2, STEP3):
-        for suffix, to in sorted(rules, key=lambda r: -len(r[0])):
-            if word.endswith(suffix):
-                stem = word[: len(word) - len(suffix)]
-                if _measure(stem) > 0:
-                    word = stem + to
-                break
+    word = _longer_suffixes(word)
+    for suffix, to in sorted(STEP3, key=lambda r: -len(r[0])):
+        if word.endswith(suffix):
+            stem = word[: len(word) - len(suffix)]
+            if _measure(stem) > 0:
+                word = stem + to
+            break
     for suffix in sorted(STEP4, key=lambda s: -len(s)):
         if word.endswith(suffix):
             stem = word[: len(word) - len(suffix)]
@@ -117,10 +145,16 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+# A worker's stems, each word's found once; started afresh when full.
+_STEMS: dict[str, str] = {}
+
+
 @F.pandas_udf(_SCORES)
 def rouge_l(reference: pd.Series, candidate: pd.Series) -> pd.DataFrame:
     """ROUGE-L over stemmed tokens of the whole texts."""
-    stems: dict[str, str] = {}
+    stems = _STEMS
+    if len(stems) > 500_000:
+        stems.clear()
     rows = []
     for ref, cand in zip(reference, candidate):
         r, c = rouge_tokens(ref, stems), rouge_tokens(cand, stems)
@@ -147,8 +181,17 @@ def soft_alignment(reference: pd.Series, reference_counts: pd.Series, candidate:
         if rv is None or cv is None or len(rv) == 0 or len(cv) == 0:
             rows.append((0.0, 0.0, 0.0))
             continue
-        sims = _matrix(cv, len(rv[0])) @ _matrix(rv, len(rv[0])).T
-        p = float(np.average(sims.max(axis=1), weights=np.asarray(cc, dtype=np.float64)))
-        r = float(np.average(sims.max(axis=0), weights=np.asarray(rc, dtype=np.float64)))
+        # block by block with running maxima, so that long texts need no full matrix
+        left, right = _matrix(cv, len(rv[0])), _matrix(rv, len(rv[0]))
+        best_left, best_right = [], np.full(len(right), -np.inf)
+        for start in range(0, len(left), _BLOCK):
+            own = np.full(len(left[start:start + _BLOCK]), -np.inf)
+            for other in range(0, len(right), _BLOCK):
+                sims = left[start:start + _BLOCK] @ right[other:other + _BLOCK].T
+                own = np.maximum(own, sims.max(axis=1))
+                best_right[other:other + _BLOCK] = np.maximum(best_right[other:other + _BLOCK], sims.max(axis=0))
+            best_left.append(own)
+        p = float(np.average(np.concatenate(best_left), weights=np.asarray(cc, dtype=np.float64)))
+        r = float(np.average(best_right, weights=np.asarray(rc, dtype=np.float64)))
         rows.append((p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0))
     return pd.DataFrame(rows, columns=["precision", "recall", "f1"])

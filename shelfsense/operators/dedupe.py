@@ -15,3 +15,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     """
     first = W.partitionBy(F.xxhash64(*keys), *keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """The order of a table whose rows have no position: all columns as text, so that a repeated task keeps the same row."""
+    return [F.col(c).cast("string") for c in df.columns]

@@ -75,12 +75,14 @@ def with_class_weights(df: DataFrame, label: str, labels=MODEL_LABELS) -> DataFr
 
 
 def judge_scores(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
-    """The judge's five scores as doubles. Text that is not JSON, a missing field or a score outside 1..5
-    fails the job when ``strict``, else gives NULL scores and ``valid`` false."""
+    """The judge's five scores as doubles. Text that is not JSON, a missing field or a score outside 1..5, or a
+    fraction where only ``overall`` may have one, fails the job when ``strict``, else gives NULL scores and ``valid`` false."""
     parsed = F.from_json(F.col(column), ", ".join(f"{f} double" for f in JUDGE_FIELDS))
     valid = F.lit(True)
     for f in JUDGE_FIELDS:
-        valid = valid & F.coalesce(F.col(f"_judge.{f}").between(1, 5), F.lit(False))
+        score = F.col(f"_judge.{f}")
+        whole = F.lit(True) if f == "overall" else score == F.floor(score)
+        valid = valid & F.coalesce(score.between(1, 5) & whole, F.lit(False))
     checked = df.withColumn("_judge", parsed).withColumn("valid", valid)
     if strict:
         checked = checked.withColumn("valid", F.when(F.col("valid"), F.lit(True)).otherwise(
@@ -88,5 +90,12 @@ def judge_scores(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
     return checked.select(*df.columns, "valid", *[F.when(F.col("valid"), F.col(f"_judge.{f}")).alias(f) for f in JUDGE_FIELDS])
 
 
+def evaluation_record(df: DataFrame, overlap: str, alignment: str, judged: bool = True) -> DataFrame:
+    """One record of a run: number of examples, mean ROUGE-L, mean alignment F1 and, when ``judged``, the judge's means; to be appended
+    with ``append_metrics``."""
+    judge = [F.struct(*[F.avg(c).alias(f"avg_{c}") for c in JUDGE_FIELDS]).alias("llm_judge")] if judged else []
+    return df.agg(F.count(F.lit(1)).alias("count"), F.avg(overlap).alias("avg_rouge_l"), F.avg(alignment).alias("avg_alignment_f1"), *judge)
+
+
 def average_scores(df: DataFrame, columns) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("examples"), *[F.avg(c).alias(f"avg_{c}") for c in columns])

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfsense.functions.text import is_ascii
@@ -13,6 +20,8 @@ from shelfsense.functions.text import is_ascii
 TOKEN = r"\w{2,}"
 MIN_DF = 2
 MAX_TERMS = 30_000
+# Distinct terms a task counts before it passes them on.
+HELD = 200_000
 
 
 def words(text: Column) -> Column:
@@ -38,42 +47,106 @@ def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
     return tokens.withColumn(out, F.concat("_words", neighbours(F.col("_words"), " "))).drop("_words")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def _row_terms(words: list[str]) -> Counter:
+    """Unigrams and bigrams of one row with their counts."""
+    counts = Counter(words)
+    counts.update(map(" ".join, zip(words, words[1:])))
+    return counts
+
+
+def _words_only(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    return df.select(F.col(row_id).alias("row_id"), words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+
+
 def term_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Occurrences per row and term. Texts move to their row's partition before they are split, so the exploded terms
-    are counted where they are. The partition count is given: the runtime would otherwise size partitions by the
-    texts, not by the many terms they turn into."""
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    spread = with_terms(df.select(row_id, text).repartition(parts, row_id), text)
-    return spread.select(row_id, F.explode("terms").alias("term")).groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Occurrences per row and term. A row's words sit in the row, so they are counted there: no exchange."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            counted = [_row_terms(w) for w in part.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(counted)), [len(c) for c in counted])
+            yield pa.RecordBatch.from_arrays([
+                part.column(0).take(pa.array(rows)), pa.array([t for c in counted for t in c], pa.string()),
+                pa.array([n for c in counted for n in c.values()], pa.int64()),
+            ], [row_id, "term", "tf"])
+
+    return _words_only(df, row_id, text).mapInArrow(count, f"{row_id} {df.schema[row_id].dataType.simpleString()}, term string, tf long")
 
 
 def document_frequency(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Per term: rows that contain it and occurrences overall."""
-    return term_counts(df, row_id, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    """Per term: rows that contain it and occurrences overall. Tasks merge rows into partial counts of at most about ``HELD`` terms
+    before the exchange."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total = Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(rows.values(), pa.int64()),
+                                              pa.array([total[t] for t in rows], pa.int64())], ["term", "df", "total_tf"])
+            rows.clear()
+            total.clear()
+            return out
+
+        for part in _slices(batches):
+            for own in map(_row_terms, part.column(0).to_pylist()):
+                rows.update(own.keys())
+                total.update(own)
+            if len(rows) > HELD:
+                yield flush()
+        yield flush()
+
+    partial = _words_only(df, row_id, text).select("words").mapInArrow(count, "term string, df long, total_tf long")
+    return partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
 
 
 def vocabulary(df: DataFrame, row_id: str, text: str, min_df: int = MIN_DF, size: int = MAX_TERMS) -> DataFrame:
-    """The ``size`` most frequent terms in at least ``min_df`` rows, ties in term order."""
+    """The ``size`` most frequent terms in at least ``min_df`` rows, ties in term order.
+
+    Counts are binned on a scale of one per cent (a few thousand bins at most); only terms of the bins that reach ``size`` are sorted, so
+    the one task that ends the sort sees little more than ``size`` terms however many tasks there are.
+    """
     kept = document_frequency(df, row_id, text).where(F.col("df") >= min_df)
-    return kept.orderBy(F.desc("total_tf"), "term").limit(size)
+    bin_ = F.floor(F.log("total_tf") * 100)
+    above = W.orderBy(F.desc("_bin")).rowsBetween(W.unboundedPreceding, -1)
+    bins = kept.groupBy(bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    lowest = bins.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).where(F.col("_above") < size).agg(F.min("_bin"))
+    return kept.withColumn("_lowest", lowest.scalar()).where(bin_ >= F.col("_lowest")).drop("_lowest").orderBy(F.desc("total_tf"), "term").limit(size)
 
 
 def tfidf(df: DataFrame, row_id: str, text: str, min_df: int = MIN_DF, size: int = MAX_TERMS) -> DataFrame:
     """Smoothed TF-IDF weights of each row's vocabulary terms, each row of unit length.
 
-    The vocabulary is at most ``size`` terms and is broadcast; rows stay in their partition from the counting on.
+    The vocabulary is at most ``size`` terms; it comes to the driver and goes to every task. Counting, weighting and scaling happen
+    inside the row, so the texts are not exchanged.
     """
-    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    idf = vocabulary(df, row_id, text, min_df, size).withColumn("_n", rows).select(
-        "term", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")
-    )
-    raw = term_counts(df, row_id, text).join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(row_id).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
-                                    F.collect_list(F.struct("term", "tf", "raw")).alias("_terms"))
-    return norms.select(row_id, "norm", F.inline("_terms")).select(
-        row_id, "term", "tf", (F.col("raw") / F.col("norm")).alias("weight")
-    )
+    rows = df.count()
+    found = vocabulary(df, row_id, text, min_df, size).select("term", "df").collect()
+    idf = df.sparkSession.sparkContext.broadcast({r["term"]: math.log((1.0 + rows) / (1.0 + r["df"])) + 1.0 for r in found})
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = idf.value
+        for part in _slices(batches):
+            at, terms, tfs, weights = [], [], [], []
+            for i, counts in enumerate(map(_row_terms, part.column(1).to_pylist())):
+                own = {t: n for t, n in counts.items() if t in known}
+                raw = np.array([n * known[t] for t, n in own.items()])
+                at += [i] * len(own)
+                terms += own
+                tfs += own.values()
+                weights.append(raw / math.sqrt(float(raw @ raw)) if len(own) else raw)
+            yield pa.RecordBatch.from_arrays([
+                part.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()),
+                pa.array(np.concatenate(weights) if weights else [], pa.float64()),
+            ], [row_id, "term", "tf", "weight"])
+
+    kind = df.schema[row_id].dataType.simpleString()
+    return _words_only(df, row_id, text).mapInArrow(weigh, f"{row_id} {kind}, term string, tf long, weight double")
 
 
 def hashed_vectors(df: DataFrame, text: str, out: str = "vector", dims: int = 256) -> DataFrame:

@@ -42,8 +42,7 @@ def _greedy(ranked: Column, limit: int, threshold: float) -> Column:
 
 
 def diverse_selection(df: DataFrame, keys: list[str], place: list[Column], row_id: str, vector: str,
-                      limit: int = 6, threshold: float = 0.82, carry: list[str] = (), block: int = 256,
-                      few_groups: int = 10_000) -> DataFrame:
+                      limit: int = 6, threshold: float = 0.82, carry: list[str] = (), block: int = 256) -> DataFrame:
     """Per group the best ``limit`` rows, with near-duplicates of better rows put back behind the others.
 
     ``place`` are ascending sort columns making a total order (negate numbers for descending). Result: keys,
@@ -79,15 +78,13 @@ def diverse_selection(df: DataFrame, keys: list[str], place: list[Column], row_i
     )
     for _ in range(limit):
         unsettled = state.where("_open")
-        groups = unsettled.count()
-        if groups == 0:
+        if unsettled.isEmpty():
             break
-        wanted = unsettled.select(*keys, "_kept", "_last")
-        if groups <= few_groups:
-            met = base.join(F.broadcast(wanted), keys)
-        else:
-            sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).join(wanted, keys)
-            met = join_key_stats(base, sizes, keys, "_size", F.col("_place"))
+        # only vectors meet the base, not what is carried along
+        vectors = F.transform("_kept", lambda k: F.struct(k["vector"].alias("vector")))
+        wanted = unsettled.select(*keys, vectors.alias("_kept"), "_last")
+        sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).join(wanted, keys)
+        met = join_key_stats(base, sizes, keys, "_size", F.col("_place"))
         following = (
             met.where(F.col("_place") > F.col("_last"))
             .where(~F.exists("_kept", lambda k: dot(k["vector"], F.col("_row.vector")) >= threshold))
@@ -116,8 +113,7 @@ def diverse_selection(df: DataFrame, keys: list[str], place: list[Column], row_i
     )
 
 
-def similarity_to_kept(df: DataFrame, selected: DataFrame, keys: list[str], row_id: str, vector: str,
-                       few_groups: int = 10_000) -> DataFrame:
+def similarity_to_kept(df: DataFrame, selected: DataFrame, keys: list[str], row_id: str, vector: str) -> DataFrame:
     """Each row's largest similarity with its group's kept rows: at most ``limit`` products per row."""
     kept = selected.where("kept").select(*keys, row_id).join(df.select(*keys, row_id, vector), [*keys, row_id])
     arrays = kept.groupBy(*keys).agg(F.collect_list(vector).alias("_kept"))

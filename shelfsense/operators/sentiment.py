@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsense.functions.scoring import confidence, known_label, rating_label
+from shelfsense.operators.models import predict_sentiment
 from shelfsense.schemas import SENTIMENTS, column_or, require_columns
 
-# texts -> one {"sentiment_label", "sentiment_confidence"} per text
-Predictor = Callable[[list[str]], list[dict]]
+# texts -> one {"sentiment_label", "sentiment_confidence"} per text; or a struct column of these; or a fitted model of train_sentiment
+Predictor = Callable[[list[str]], list[dict]] | Column | PipelineModel
 
 
-def predictor_udf(predictor: Predictor):
+def predictor_udf(predictor: Callable[[list[str]], list[dict]]):
     """The predictor as an Arrow function that skips NULL texts, so decided rows never reach the model."""
 
     @F.pandas_udf("sentiment_label string, sentiment_confidence double")
@@ -23,7 +25,7 @@ def predictor_udf(predictor: Predictor):
         open_at = [i for i, text in enumerate(texts) if text is not None]
         answers = predictor([texts.iloc[i] for i in open_at]) if open_at else []
         if len(answers) != len(open_at):
-            raise ValueError("sentiment predictor returned a different number of predictions")
+            raise ValueError("one answer is needed for each text")
         labels: list = [None] * len(texts)
         confidences: list = [None] * len(texts)
         for i, answer in zip(open_at, answers):
@@ -40,7 +42,8 @@ def route_sentiment(df: DataFrame, predictor: Predictor | None = None) -> DataFr
     """Add ``sentiment_label``, ``sentiment_confidence`` and ``sentiment_source``.
 
     A valid precomputed label wins over the rating, a clear rating wins over the model. Without a predictor
-    open rows become positive with full confidence. An invalid model label becomes positive, still from the model.
+    open rows become positive with full confidence. An invalid model label becomes positive, still from the model. Only open rows
+    reach the predictor; a fitted model sees the lower-cased review text.
     """
     require_columns(df, ["review_text"])
     given = known_label(column_or(df, "predicted_sentiment", F.lit(None).cast("string")))
@@ -50,6 +53,19 @@ def route_sentiment(df: DataFrame, predictor: Predictor | None = None) -> DataFr
     is_open = F.col("_given").isNull() & F.col("_rated").isNull()
     if predictor is None:
         model_label, model_confidence = F.lit("positive"), F.lit(1.0)
+    elif isinstance(predictor, PipelineModel):
+        kept = decided.columns
+        open_rows = decided.where(is_open).withColumn("text", F.lower(F.coalesce("review_text", F.lit(""))))
+        answer = F.struct(F.col("predicted_label").alias("sentiment_label"), F.col("confidence").alias("sentiment_confidence"))
+        predicted = predict_sentiment(predictor, open_rows).select(*[F.col(c) for c in kept if c != "text"], answer.alias("_model"))
+        none = F.lit(None).cast(predicted.schema["_model"].dataType)
+        decided = decided.where(~is_open).withColumn("_model", none).select(predicted.columns).unionByName(predicted)
+        model_label = F.coalesce(known_label(F.col("_model.sentiment_label")), F.lit("positive"))
+        model_confidence = confidence(F.col("_model.sentiment_confidence"))
+    elif isinstance(predictor, Column):
+        decided = decided.withColumn("_model", F.when(is_open, predictor))
+        model_label = F.coalesce(known_label(F.col("_model.sentiment_label")), F.lit("positive"))
+        model_confidence = confidence(F.col("_model.sentiment_confidence"))
     else:
         text = F.when(is_open, F.coalesce(F.col("review_text"), F.lit("")))
         decided = decided.withColumn("_model", predictor_udf(predictor)(text))

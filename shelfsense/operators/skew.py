@@ -19,7 +19,7 @@ def join_key_stats(df: DataFrame, stats: DataFrame, keys: str | list[str], rows:
 
     Rows of a hot key are spread over slices by a hash of ``row_id``, and the key's one stats row is repeated
     per slice, so no task receives a whole hot key. ``row_id`` must be deterministic, or a retried task would
-    reshuffle rows differently. Besides the join this reads the row count and the key column of ``df``.
+    reshuffle rows differently. Hot keys come from ``stats``, whose exchange the join reuses.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     # hot: more than max(hot_rows, all rows / MAX_HOT_KEYS) rows, so there are at most MAX_HOT_KEYS of them
@@ -28,8 +28,7 @@ def join_key_stats(df: DataFrame, stats: DataFrame, keys: str | list[str], rows:
     def slices(n: Column) -> Column:
         return F.when(n > floor, F.ceil(n / F.lit(float(hot_rows)))).otherwise(F.lit(1)).cast("int")
 
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > floor).select(*keys, slices(F.col("_n")).alias("_slices"))
+    hot = stats.where(F.col(rows) > floor).select(*keys, slices(F.col(rows)).alias("_slices"))
     slice_of = F.pmod(F.xxhash64(row_id), F.coalesce(F.col("_slices"), F.lit(1))).cast("int")
     sliced = df.join(F.broadcast(hot), keys, "left").withColumn("_slice", slice_of).drop("_slices")
     repeated = stats.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices(F.col(rows)) - 1)))

@@ -43,6 +43,13 @@ def quotas(sizes: DataFrame, label: str, size: str, share: float, out: str) -> D
     )
 
 
+def _checked(df: DataFrame, label: str, labels) -> DataFrame:
+    """A row whose label is NULL or not among ``labels`` fails the job and is named: no row leaves a split unseen."""
+    value = F.col(label)
+    wrong = F.raise_error(F.concat(F.lit(f"label outside {', '.join(map(str, labels))}: "), F.coalesce(value.cast("string"), F.lit("NULL")))).cast(df.schema[label].dataType)
+    return df.withColumn(label, F.when(value.isin(*labels), value).otherwise(wrong))
+
+
 def _with_cuts(df: DataFrame, counts: DataFrame, wanted: DataFrame, stratum: str, labels, n_cuts: int) -> DataFrame:
     """Each row with the array ``_cuts`` of its label's cut hashes, in cut order; one row per label is broadcast."""
     found = rank_cuts(df, counts, wanted, stratum, _ORDER)
@@ -56,9 +63,9 @@ def _with_cuts(df: DataFrame, counts: DataFrame, wanted: DataFrame, stratum: str
 
 def stratified_split(df: DataFrame, label: str = "sentiment_label", row_id: str = "review_id", test_size: float = 0.15,
                      val_size: float = 0.15, seed: int = 42, labels=SENTIMENTS) -> DataFrame:
-    """Add ``split`` (test, val, train): exact sizes, each label in proportion, parts disjoint."""
+    """Add ``split`` (test, val, train): exact sizes, each label in proportion, parts disjoint. Other labels fail."""
     val_share = check_fractions(test_size, val_size)
-    hashed = df.where(F.col(label).isin(*labels)).withColumn(_ORDER, order_hash(seed, F.col(row_id)))
+    hashed = _checked(df, label, labels).withColumn(_ORDER, order_hash(seed, F.col(row_id)))
     counts = bucket_counts(hashed, label, _ORDER)
     sizes = counts.groupBy(label).agg(F.sum("_n").alias("_size"))
     wanted = quotas(sizes, label, "_size", test_size, "_test")
@@ -77,8 +84,9 @@ def stratified_split(df: DataFrame, label: str = "sentiment_label", row_id: str
 
 def stratified_folds(df: DataFrame, label: str = "sentiment_label", row_id: str = "review_id", folds: int = 5,
                      seed: int = 42, labels=SENTIMENTS) -> DataFrame:
-    """Add ``fold`` 1..folds: each label cut into equal runs of the hash order, the first runs one longer."""
-    hashed = df.where(F.col(label).isin(*labels)).withColumn(_ORDER, order_hash(seed, F.col(row_id)))
+    """Add ``fold`` 1..folds: each label cut into equal runs of the hash order, the first runs one longer. Other labels
+    fail."""
+    hashed = _checked(df, label, labels).withColumn(_ORDER, order_hash(seed, F.col(row_id)))
     counts = bucket_counts(hashed, label, _ORDER)
     sizes = counts.groupBy(label).agg(F.sum("_n").alias("_size"))
     base, extra = F.floor(F.col("_size") / folds), F.col("_size") % folds

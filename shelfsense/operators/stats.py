@@ -10,6 +10,7 @@ from shelfsense.operators.skew import order_statistics
 # Percentiles reported, and the histogram bounds in seconds.
 LINEAR_PERCENTILES = (50, 55, 90, 95, 99)
 REQUEST_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+# The same for jobs and for generated summaries, to be passed as ``buckets``.
 JOB_BUCKETS = (0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 20.0, 30.0, 60.0, 120.0)
 SUMMARY_BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 
@@ -45,13 +46,16 @@ def latency_nearest(df: DataFrame, keys: list[str], value: str = "latency_ms", s
     """Requests, success rate and nearest-rank percentiles (half to even) per group, two decimals."""
     shares = {50: 0.50, 95: 0.95, 99: 0.99}
     ranks = {f"_p{p}": (s, F.bround((F.col("n") - 1) * F.lit(s), 0)) for p, s in shares.items()}
-    joined = _plain(df, keys, value).join(order_statistics(df, keys, value, ranks), keys).join(
-        status_summary(df, keys, status), keys
-    )
+    # a group whose requests have no latency keeps its counts, with latencies of 0
+    measured = _plain(df, keys, value).join(order_statistics(df, keys, value, ranks), keys)
+    joined = status_summary(df, keys, status).join(measured, keys, "left")
+
+    def shown(column: str, out: str) -> Column:
+        return F.coalesce(F.round(column, 2), F.lit(0.0)).alias(out)
+
     return joined.select(
-        *keys, "requests", "success_count", "success_rate", F.round("_mean", 2).alias("avg_ms"),
-        *[F.round(f"_p{p}", 2).alias(f"p{p}_ms") for p in shares],
-        F.round("_min", 2).alias("min_ms"), F.round("_max", 2).alias("max_ms"),
+        *keys, "requests", "success_count", "success_rate", shown("_mean", "avg_ms"),
+        *[shown(f"_p{p}", f"p{p}_ms") for p in shares], shown("_min", "min_ms"), shown("_max", "max_ms"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfsense.functions.coerce import bool_column, int_column, number_column
 from shelfsense.functions.lists import first_image, join_list, parse_list
 from shelfsense.functions.text import blank_to_null, strip
-from shelfsense.operators.dedupe import keep_first
+from shelfsense.operators.dedupe import all_columns, keep_first
 from shelfsense.schemas import CARD_COLUMNS, CATALOG_COLUMNS, column_or
 
 # The columns a search looks at.
@@ -37,7 +37,7 @@ def build_catalog(meta: DataFrame, reviews: DataFrame, order: list[Column | str]
     meta = meta.where(strip(F.col("product_id").cast("string")) != "").withColumn(
         "product_id", strip(F.col("product_id").cast("string"))
     )
-    one = keep_first(meta, ["product_id"], order) if order else meta.dropDuplicates(["product_id"])
+    one = keep_first(meta, ["product_id"], order or all_columns(meta))
     null = F.lit(None).cast("string")
     joined = one.join(review_totals(reviews), "product_id")
     out = (

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfsense.functions.ids import prompt_hash, request_key
 from shelfsense.functions.prompts import dataset_prompt, last_of_role, messages_valid, to_messages
 from shelfsense.functions.text import collapse, distinct_texts, strip
 from shelfsense.operators.splits import group_split
 from shelfsense.schemas import CHAT_DATASET, CHAT_ERRORS, SENTIMENTS, cast_to, require_columns
+from shelfsense.session import scratch_path
+from shelfsense.sources.tables import table_exists
 
 
 def item_texts(items: Column) -> Column:
@@ -58,26 +62,52 @@ def remaining_tasks(tasks: DataFrame, done: DataFrame) -> DataFrame:
     return tasks.join(done.select("product_id", "sentiment").distinct(), ["product_id", "sentiment"], "left_anti")
 
 
-def generate(df: DataFrame, prompt: str, function: Callable[[str], str]) -> DataFrame:
-    """Call a text generator per row in the tasks; adds ``result``, ``error`` (NULL when it worked) and ``latency_ms``."""
+_ANSWER = T.StructType([T.StructField("result", T.StringType()), T.StructField("error", T.StringType()), T.StructField("latency_ms", T.DoubleType())])
 
-    @F.pandas_udf("result string, error string, latency_ms double")
-    def call(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            start = time.perf_counter()
-            try:
-                result, error = function(text), None
-            except Exception as exc:  # noqa: BLE001 - one failed row must not end the job
-                result, error = None, str(exc)
-            rows.append((result, error, round((time.perf_counter() - start) * 1000, 2)))
-        return pd.DataFrame(rows, columns=["result", "error", "latency_ms"])
 
-    return df.withColumn("_call", call.asNondeterministic()(F.col(prompt))).select(*df.columns, "_call.*")
+def generate(df: DataFrame, prompt: str, function: Callable[[str], str], keys: list[str], path: str | None = None, waves: int = 1,
+             threads: int = 8, rows: int = 64) -> DataFrame:
+    """Call a text generator once per row in the tasks and keep the answers: the rows with ``result``, ``error`` (NULL when it worked)
+    and ``latency_ms``, read from storage, so that no later reader calls again.
+
+    ``keys`` name a row. With a ``path`` the answers stay there, and rows whose keys it holds are not called again; each of ``waves``
+    (a hash of the keys) is stored before the next begins, so a stopped run resumes after its last wave. Inside a task ``threads`` calls run
+    at a time over ``rows`` rows. A row that repeats the keys of another is not called. Runs jobs.
+    """
+    spark = df.sparkSession
+    path = path or scratch_path(spark, "generated")
+    schema = T.StructType([*df.schema.fields, *_ANSWER.fields])
+
+    def call(text: str | None) -> tuple:
+        start = time.perf_counter()
+        try:
+            result, error = function(text), None
+        except Exception as exc:  # noqa: BLE001 - one failed row must not end the job
+            result, error = None, str(exc)
+        return result, error, round((time.perf_counter() - start) * 1000, 2)
+
+    at = df.columns.index(prompt)
+
+    def run(batches):
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                for start in range(0, batch.num_rows, rows):
+                    part = batch.slice(start, rows)
+                    answers = list(zip(*pool.map(call, part.column(at).to_pylist())))
+                    kinds = (pa.string(), pa.string(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(a, k) for a, k in zip(answers, kinds)]], schema.names)
+
+    todo = df.dropDuplicates(keys)
+    if table_exists(spark, path):
+        todo = todo.join(spark.read.schema(schema).parquet(path).select(*keys), keys, "left_anti")
+    for wave in range(waves):
+        share = todo.where(F.pmod(F.xxhash64(*keys), F.lit(waves)) == wave) if waves > 1 else todo
+        share.mapInArrow(run, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def summary_records(generated: DataFrame, provider: str, model: str) -> tuple[DataFrame, DataFrame]:
-    """Split generated tasks into finished records and errors. Persist the input: both read it."""
+    """Split generated tasks (the stored rows of ``generate``) into finished records and errors."""
     named = (
         generated.withColumn("source_reviews", F.col("selected_reviews"))
         .withColumn("source_review_count", F.size("selected_reviews"))
@@ -106,7 +136,8 @@ def chat_splits(records: DataFrame, test_size: float = 0.2, val_fraction_of_temp
 
 
 def conversations(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Turn rows to one message list per conversation, for examples that fit a row; ``turn_facts`` needs no list."""
+    """Turn rows to one message list per conversation, for training examples, which fit a row by definition. ``turn_facts`` gives the
+    same facts for conversations of any length without a list."""
     return turns.groupBy(key).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(order, "role", F.col("text").alias("content")))),
@@ -132,9 +163,7 @@ def turn_facts(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> D
 
 
 def _missing_turn() -> Column:
-    return F.when(F.col("prompt").isNull(), "No user message found in messages.").when(
-        F.col("reference_answer").isNull(), "No assistant message found in messages."
-    )
+    return F.when(F.col("prompt").isNull(), "no user turn").when(F.col("reference_answer").isNull(), "no assistant turn")
 
 
 def validated(df: DataFrame) -> DataFrame:
@@ -156,9 +185,9 @@ def prompt_and_reference(df: DataFrame, strict: bool = False) -> DataFrame:
     return out
 
 
-def predictions(pairs: DataFrame, generator: Callable[[str], str]) -> DataFrame:
+def predictions(pairs: DataFrame, generator: Callable[[str], str], keys: list[str], path: str | None = None) -> DataFrame:
     """Reference and generated answer side by side, with the call's latency."""
-    return generate(pairs, "prompt", generator).withColumnRenamed("result", "generated_answer")
+    return generate(pairs, "prompt", generator, keys, path).withColumnRenamed("result", "generated_answer")
 
 
 def limited(df: DataFrame, order: str, n: int | None) -> DataFrame:

@@ -10,7 +10,8 @@ from shelfsense.functions.ids import review_hash
 from shelfsense.functions.scoring import training_label
 from shelfsense.functions.text import clean_review_text, model_text, token_count
 from shelfsense.operators.bind import with_values
-from shelfsense.operators.dedupe import keep_first
+from shelfsense.operators.dedupe import all_columns, keep_first
+from shelfsense.operators.splits import stratified_folds, stratified_split
 from shelfsense.schemas import META_COLUMNS, REVIEW_REQUIRED, require_columns
 
 
@@ -49,7 +50,7 @@ def join_meta(reviews: DataFrame, meta: DataFrame | None, order: list[Column | s
     if meta is None or "product_id" not in meta.columns:
         return reviews
     columns = [c for c in META_COLUMNS if c in meta.columns]
-    one = keep_first(meta, ["product_id"], order) if order else meta.dropDuplicates(["product_id"])
+    one = keep_first(meta, ["product_id"], order or all_columns(meta))
     return reviews.join(one.select("product_id", *columns), "product_id", "left")
 
 
@@ -79,6 +80,35 @@ def clean_reviews(raw: DataFrame, meta: DataFrame | None = None, order: list[Col
     return df
 
 
+def phase1_parts(cleaned: DataFrame, test_size: float = 0.15, val_size: float = 0.15, seed: int = 42) -> DataFrame:
+    """Cleaned reviews with their ``split``; train and val together are the train_val rows that folds are made of."""
+    return stratified_split(cleaned, test_size=test_size, val_size=val_size, seed=seed)
+
+
+def phase1_folds(parts: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
+    """``fold`` over the train_val rows only: no test row is in a fold."""
+    return stratified_folds(parts.where("split <> 'test'").drop("split"), folds=folds, seed=seed)
+
+
+def stage_counts(tasks: DataFrame, records: DataFrame, errors: DataFrame, before: DataFrame, after: DataFrame, reviewed: DataFrame, meta: DataFrame) -> DataFrame:
+    """Accounting of the other stages, one (stage, name, n) row per number: tasks written, skipped and failed; rows before and after the
+    language filter; reviewed products with and without metadata."""
+    def counted(df: DataFrame, stage: str, name: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(stage).alias("stage"), F.lit(name).alias("name"), "n")
+
+    done, failed = records.select("product_id", "sentiment"), errors.select("product_id", "sentiment")
+    ids = reviewed.select("product_id").where("product_id IS NOT NULL").distinct()
+    held = meta.select("product_id").distinct()
+    out = counted(records, "generation", "written")
+    for df, stage, name in (
+        (errors, "generation", "failed"), (tasks.join(done.unionByName(failed).distinct(), ["product_id", "sentiment"], "left_anti"), "generation", "skipped"),
+        (before, "language", "before"), (after, "language", "kept"), (ids.join(held, "product_id", "left_semi"), "metadata", "matched"),
+        (ids.join(held, "product_id", "left_anti"), "metadata", "missing"),
+    ):
+        out = out.unionByName(counted(df, stage, name))
+    return out
+
+
 def clean_counts(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Original and clean rows, products and rows per label."""
     before = raw.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table of long texts. A file with fewer splits than cores is spread by id, so that text work runs on
-    all of them; a large table has many splits and is read as it lies."""
-    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """A table of long texts, read as it lies. Where the session sets ``shelfsense.text.tasks``, as a run on one small file may, it is
+    spread over so many tasks by id."""
+    df, tasks = table(spark, sf_dir, name), spark.conf.get("shelfsense.text.tasks", None)
+    return df.repartition(int(tasks), key) if tasks else df
 
 
 def doc_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

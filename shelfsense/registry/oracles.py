@@ -105,6 +105,7 @@ def _model_text(title: str, body: str) -> str:
     return f"trim(regexp_replace(lower(CASE WHEN {title} = '' THEN {body} ELSE {title} || ' ' || {body} END), '\\s+', ' ', 'g'))"
 
 
+# The wording of the prompts, as in functions/prompts.py.
 RULES = ("E'Requirements:\\n- Mention only recurring themes supported by the reviews.\\n- Do not invent details.\\n"
          "- Prefer concrete themes over generic praise/complaints.\\n- Write one concise summary in 1-3 sentences.'")
 
@@ -125,6 +126,9 @@ ORACLES["insight_distribution"] = f"""WITH {DOC_REVIEWS}, {_routed()}
 
 _SNIPPET = "CASE WHEN length({t}) > {n} THEN rtrim(substr({t}, 1, {n} - 3), E' \\t\\n\\r') || '...' ELSE {t} END"
 
+ORACLES["insight_distribution_model"] = ORACLES["insight_distribution"].replace(
+    "coalesce(given, rated, 'positive')", "coalesce(given, rated, CASE WHEN length(review_text) % 2 = 0 THEN 'negative' ELSE 'neutral' END)")
+
 ORACLES["insight_representatives"] = f"""WITH {DOC_REVIEWS}, {_routed()}, {PICKED}
 SELECT product_id, sentiment_label, rank, review_id, coalesce(review_title, '') AS review_title,
   {_SNIPPET.format(t=f'trim(review_text, {_STRIP})', n=220)} AS snippet,
@@ -238,10 +242,12 @@ valid AS (SELECT * FROM source WHERE product_id <> '' AND body <> '' AND rating
 ORACLES["ingest_coerce"] = f"""WITH {_SOURCE} SELECT product_id, rating, review_title, md5(body) AS review_text, "timestamp", helpful_vote, verified_purchase, '[]' AS images FROM valid"""
 ORACLES["ingest_counts"] = f"WITH {_SOURCE} SELECT (SELECT count(*) FROM source) AS scanned, count(*) AS valid, count(DISTINCT product_id) AS products FROM valid"
 ORACLES["ingest_first_rows"] = f"WITH {_SOURCE} SELECT doc_id FROM valid ORDER BY doc_id LIMIT 50"
-ORACLES["ingest_meta_semi"] = f"""WITH {PART_META} SELECT product_id, product_title, store FROM part_meta WHERE p_partkey IN (SELECT l_partkey FROM lineitem
-  WHERE (l_linenumber - 1) % 5 = 4 AND l_quantity > 40)"""
-ORACLES["products_without_meta"] = """SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS product_id FROM lineitem WHERE (l_linenumber - 1) % 5 = 4 AND l_quantity > 40
-  AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)"""
+ORACLES["ingest_meta_semi"] = f"""WITH {PART_META} SELECT product_id, product_title, store FROM part_meta WHERE p_partkey IN (SELECT l_partkey FROM lineitem)"""
+ORACLES["products_without_meta"] = """SELECT DISTINCT CAST(doc_id AS VARCHAR) AS product_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
+ORACLES["loadable_reviews"] = f"""WITH {DOC_REVIEWS} SELECT CASE WHEN position % 2 = 0 THEN review_id ELSE md5(product_id || '|' || position || '|' || substr(review_text, 1, 100)) END AS review_id,
+  product_id, position FROM doc_reviews WHERE product_id IN (SELECT source FROM documents GROUP BY source HAVING min(lang) = 'de') AND trim(review_text, {_STRIP}) <> ''"""
+ORACLES["meta_typed"] = """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_title, CASE WHEN p_partkey % 3 = 0 THEN 4.5::DOUBLE END AS average_rating,
+  CAST(p_size AS BIGINT) AS rating_number, CAST(1000 + p_partkey % 1000 AS DOUBLE) AS price, p_brand AS store, p_type AS main_category FROM part WHERE p_partkey % 10 <> 0"""
 
 ORACLES["clean_text_docs"] = f"""WITH c AS (SELECT doc_id, {_clean('text')} AS clean_text, {_clean('lang')} AS clean_title FROM documents)
 SELECT doc_id, clean_text, md5({_model_text('clean_title', 'clean_text')}) AS text_md5, {_tokens('clean_text')} AS tokens,
@@ -286,6 +292,16 @@ q2 AS ({_quota('(SELECT sentiment_label, q_test, n - q_test AS rest FROM q1)', '
 SELECT review_id, sentiment_label, CASE WHEN r <= q_test THEN 'test' WHEN r <= q_test + q_val THEN 'val' ELSE 'train' END AS split
 FROM ranked JOIN q2 USING (sentiment_label)"""
 
+_PHASE1 = f"""{_CLEANED}, ids AS (SELECT {_REVIEW_HASH} AS review_id, sentiment_label FROM final),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sentiment_label ORDER BY md5('42|' || review_id)) AS r FROM ids),
+sizes AS (SELECT sentiment_label, count(*) AS n FROM ids GROUP BY 1),
+q1 AS ({_quota('sizes', 'n', '0.15', 'q_test')}),
+q2 AS ({_quota('(SELECT sentiment_label, q_test, n - q_test AS rest FROM q1)', 'rest', '(0.15::DOUBLE / (1.0::DOUBLE - 0.15::DOUBLE))', 'q_val')}),
+parts AS (SELECT review_id, sentiment_label, CASE WHEN r <= q_test THEN 'test' WHEN r <= q_test + q_val THEN 'val' ELSE 'train' END AS split FROM ranked JOIN q2 USING (sentiment_label))"""
+ORACLES["phase1_splits"] = f"WITH {_PHASE1} SELECT * FROM parts"
+ORACLES["phase1_folds"] = f"""WITH {_PHASE1} SELECT review_id, sentiment_label, ntile(5) OVER (PARTITION BY sentiment_label ORDER BY md5('42|' || review_id)) AS fold
+FROM parts WHERE split <> 'test'"""
+
 ORACLES["split_kfold"] = f"""WITH {DOC_REVIEWS}, {GROUPS} SELECT review_id, sentiment_label,
   ntile(5) OVER (PARTITION BY sentiment_label ORDER BY md5('42|' || review_id)) AS fold FROM group_reviews"""
 
@@ -372,6 +388,12 @@ ORACLES["summary_tasks_remaining"] = f"""WITH {_TASKS} SELECT product_id, sentim
 ORACLES["summary_records"] = f"""WITH {_TASKS}, a AS (SELECT product_id, sentiment, sha1(prompt) AS prompt_hash, prompt,
   position('Category: Unknown' IN prompt) = 0 OR length(prompt) % 3 = 0 AS failed FROM tasks)
 SELECT product_id, sentiment, prompt_hash, CASE WHEN NOT failed THEN length(prompt) || ' characters' END AS gold_summary, CASE WHEN failed THEN 'declined' END AS error FROM a"""
+ORACLES["stage_counts"] = f"""WITH {_TASKS}, metas AS (SELECT source, min(lang) AS lang FROM documents GROUP BY source)
+SELECT 'generation' AS stage, 'written' AS name, count(*) AS n FROM tasks WHERE sentiment <> 'neutral' AND length(product_id) % 2 = 0
+UNION ALL SELECT 'generation', 'failed', count(*) FROM tasks WHERE sentiment <> 'neutral' AND length(product_id) % 2 = 1
+UNION ALL SELECT 'generation', 'skipped', count(*) FROM tasks WHERE sentiment = 'neutral'
+UNION ALL SELECT 'language', 'before', count(*) FROM documents UNION ALL SELECT 'language', 'kept', count(*) FROM documents WHERE lang = 'en'
+UNION ALL SELECT 'metadata', 'matched', count(*) FROM metas WHERE lang <> 'en' UNION ALL SELECT 'metadata', 'missing', count(*) FROM metas WHERE lang = 'en'"""
 ORACLES["chat_splits"] = f"""WITH {_TASKS}, ids AS (SELECT DISTINCT product_id FROM tasks),
 ranked2 AS (SELECT product_id, row_number() OVER (ORDER BY md5('42|' || product_id)) AS r, count(*) OVER () AS n FROM ids),
 parts AS (SELECT product_id, CASE WHEN r <= ceil(ceil(n * 0.2) * 0.5) THEN 'test' WHEN r <= ceil(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM ranked2)
@@ -382,8 +404,8 @@ _CONV = f"""conv AS (SELECT conv_id, count(*) AS messages, bool_and(role IS NOT
   FROM conversations GROUP BY conv_id)"""
 ORACLES["messages_validate"] = f"WITH {_CONV} SELECT conv_id, messages, valid FROM conv"
 ORACLES["messages_as_lists"] = f"WITH {_CONV} SELECT conv_id, messages, valid, prompt, reference_answer FROM conv"
-ORACLES["messages_extract"] = f"""WITH {_CONV} SELECT conv_id, prompt, reference_answer, CASE WHEN prompt IS NULL THEN 'No user message found in messages.'
-  WHEN reference_answer IS NULL THEN 'No assistant message found in messages.' END AS problem FROM conv"""
+ORACLES["messages_extract"] = f"""WITH {_CONV} SELECT conv_id, prompt, reference_answer, CASE WHEN prompt IS NULL THEN 'no user turn'
+  WHEN reference_answer IS NULL THEN 'no assistant turn' END AS problem FROM conv"""
 
 # Statistics --------------------------------------------------------------------------------------------------------
 
@@ -478,7 +500,7 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM occurrences GROUP BY ALL),
 df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM tf GROUP BY term)"""
 ORACLES["tfidf_df"] = f"WITH {_TERMS} SELECT * FROM df WHERE df >= 2 ORDER BY total_tf DESC, term LIMIT 30000"
 ORACLES["tfidf_weights"] = f"""WITH {_TERMS}, vocabulary AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM df WHERE df >= 2
-  ORDER BY total_tf DESC, term LIMIT 2000),
+  ORDER BY total_tf DESC, term LIMIT 30000),
 raw AS (SELECT doc_id, term, tf, tf * idf AS x FROM tf JOIN vocabulary USING (term))
 SELECT doc_id, term, tf, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw"""
 
@@ -489,7 +511,7 @@ _EVENT_REVIEWS = """doc_reviews AS (SELECT 'u' || user_id AS product_id, 'e' ||
   CAST(floor(value) AS BIGINT) AS helpful_vote, event_id % 2 = 0 AS verified_purchase, length(event_type) AS review_char_len, event_id AS "timestamp",
   CAST(NULL AS VARCHAR) AS predicted_sentiment, CAST(NULL AS DOUBLE) AS given_confidence FROM events)"""
 ORACLES["stream_sentiment"] = f"""WITH {_EVENT_REVIEWS}, {ROUTE.replace('{source}', 'doc_reviews')} {DISTRIBUTION} FROM routed GROUP BY product_id"""
-ORACLES["stream_insights"] = f"""WITH {_EVENT_REVIEWS}, {_routed(20)} SELECT product_id, {" || '/' || ".join(f"count(*) FILTER (sentiment_label = '{s}')" for s in _SIDES)} AS payload
+ORACLES["stream_insights"] = f"""WITH {_EVENT_REVIEWS}, {_routed()} SELECT product_id, {" || '/' || ".join(f"count(*) FILTER (sentiment_label = '{s}')" for s in _SIDES)} AS payload
 FROM routed GROUP BY product_id"""
 ORACLES["stream_histogram"] = f"""SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, le, count(*) FILTER (value / 100 <= b) AS bucket_count
 FROM events CROSS JOIN (VALUES {_buckets((0.1, 0.5, 1.0, 2.5))}) t(le, b) GROUP BY event_type, day, le, b"""

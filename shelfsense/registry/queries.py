@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfsense.functions import lists, similarity
 from shelfsense.functions.ids import file_safe, insight_key, load_review_id, prompt_hash, request_key, review_hash, slug
 from shelfsense.functions.prompts import judge_prompt
+from shelfsense.functions.scoring import training_label
 from shelfsense.functions.text import clean_review_text, model_text, snippet, token_count
 from shelfsense.operators import evaluation, features, models, quality, select, splits, stats
 from shelfsense.operators.bind import with_values
@@ -20,6 +21,7 @@ from shelfsense.plans.testviews import (
     LINE_COLUMNS, doc_meta, doc_reviews, fact_reviews, group_reviews, part_meta, source_records, table, texts,
 )
 from shelfsense.session import scratch_path
+from shelfsense.sources import tables
 from shelfsense.sources.tables import absent_rows, read_snapshot
 from shelfsense.streaming import streams
 
@@ -47,6 +49,13 @@ def insight_distribution(spark, sf):
     return insights.distribution(insights.routed_reviews(doc_reviews(spark, sf)))
 
 
+@query
+def insight_distribution_model(spark, sf):
+    """Undecided reviews are labelled by a rule in the place of a model."""
+    rule = F.struct(F.when(F.length("review_text") % 2 == 0, "negative").otherwise("neutral").alias("sentiment_label"), F.lit(0.5).alias("sentiment_confidence"))
+    return insights.distribution(insights.routed_reviews(doc_reviews(spark, sf), rule))
+
+
 @query
 def insight_representatives(spark, sf):
     picked = insights.representatives(insights.routed_reviews(doc_reviews(spark, sf)))
@@ -238,21 +247,47 @@ def ingest_first_rows(spark, sf):
     return ingest.first_rows(valid, ["doc_id"], 50).select("doc_id")
 
 
-def _reviewed(spark, sf):
-    return fact_reviews(spark, sf).where("rating = 5 AND helpful_vote > 40")
-
-
 @query
 def ingest_meta_semi(spark, sf):
     meta = part_meta(spark, sf)
     doubled = meta.unionByName(meta.withColumn("store", F.lit("ZZ later copy")))
-    return ingest.matching_meta(doubled, _reviewed(spark, sf), ["store"]).select("product_id", "product_title", "store")
+    return ingest.matching_meta(doubled, fact_reviews(spark, sf), ["store"]).select("product_id", "product_title", "store")
 
 
 @query
 def products_without_meta(spark, sf):
-    known = part_meta(spark, sf).where(F.col("product_id").cast("bigint") % 3 == 0)
-    return ingest.products_without_meta(_reviewed(spark, sf), known)
+    """Documents that no label describes."""
+    reviewed = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("product_id"))
+    return ingest.products_without_meta(reviewed, table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("product_id")))
+
+
+@query
+def loadable_reviews(spark, sf):
+    """Reviews of labelled products with an id from their content where none is given."""
+    products = table(spark, sf, "documents").groupBy(F.col("source").alias("product_id")).agg(F.min("lang").alias("lang")).where("lang = 'de'")
+    given = doc_reviews(spark, sf).withColumn("review_id", F.when(F.col("position") % 2 == 0, F.col("review_id")))
+    return tables.loadable_reviews(given, products, "position").select("review_id", "product_id", "position")
+
+
+@query
+def meta_typed(spark, sf):
+    """Parts as loosely typed source metadata."""
+    text = F.lit(None).cast("string")
+    source = table(spark, sf, "part").select(
+        F.when(F.col("p_partkey") % 10 != 0, F.concat(F.lit(" "), F.col("p_partkey").cast("string"))).alias("parent_asin"), F.col("p_name").alias("title"),
+        F.when(F.col("p_partkey") % 3 == 0, "4.5").when(F.col("p_partkey") % 3 == 1, "none").alias("average_rating"), F.col("p_size").cast("string").alias("rating_number"),
+        F.concat(F.lit("$1,"), F.format_string("%03d", F.col("p_partkey") % 1000)).alias("price"), F.col("p_brand").alias("store"), F.col("p_type").alias("main_category"),
+        *[text.alias(c) for c in ("categories", "features", "description", "images", "details")],
+    )
+    return ingest.typed_meta(source).select("product_id", "product_title", "average_rating", "rating_number", "price", "store", "main_category")
+
+
+@query
+def stage_counts(spark, sf):
+    """Accounting of generation (a deterministic stand-in), language filter (by the given language) and metadata."""
+    tasks, raw = _tasks(spark, sf), doc_reviews(spark, sf)
+    made = tasks.where("sentiment <> 'neutral'").select("product_id", "sentiment", (F.length("product_id") % 2 == 0).alias("good"))
+    return clean.stage_counts(tasks, made.where("good"), made.where("NOT good"), raw, raw.where("lang = 'en'"), raw, doc_meta(spark, sf).where("main_category <> 'en'"))
 
 
 @query
@@ -263,7 +298,7 @@ def clean_text_pages(spark, sf):
 
 @query
 def clean_text_docs(spark, sf):
-    body, title = clean_review_text(F.col("text"), entities=False), clean_review_text(F.col("lang"), entities=False)
+    body, title = clean_review_text(F.col("text")), clean_review_text(F.col("lang"))
     return with_values(texts(spark, sf, "documents", "doc_id"), clean_text=body, clean_title=title).select(
         "doc_id", "clean_text", F.md5(model_text(F.col("clean_title"), F.col("clean_text"))).alias("text_md5"),
         token_count(F.col("clean_text")).cast("bigint").alias("tokens"), snippet(F.col("clean_text"), 60).alias("snippet"),
@@ -304,14 +339,33 @@ def dedupe_keep_first(spark, sf):
 
 # Splits -------------------------------------------------------------------------------------------------
 
+def _labels(spark, sf):
+    """Ids and labels of the document reviews; nothing else is read."""
+    rated = doc_reviews(spark, sf).select("review_id", F.coalesce("rating", F.lit(4.0)).alias("rating"))
+    return rated.select("review_id", training_label(F.col("rating")).alias("sentiment_label"))
+
+
+@query
+def phase1_splits(spark, sf):
+    """Cleaned reviews in train, val and test."""
+    return clean.phase1_parts(clean.clean_reviews(doc_reviews(spark, sf), sort=False)).select("review_id", "sentiment_label", "split")
+
+
+@query
+def phase1_folds(spark, sf):
+    """Folds over train and val of the cleaned reviews."""
+    parts = clean.phase1_parts(clean.clean_reviews(doc_reviews(spark, sf), sort=False))
+    return clean.phase1_folds(parts).select("review_id", "sentiment_label", _long("fold"))
+
+
 @query
 def split_stratified(spark, sf):
-    return splits.stratified_split(group_reviews(spark, sf)).select("review_id", "sentiment_label", "split")
+    return splits.stratified_split(_labels(spark, sf)).select("review_id", "sentiment_label", "split")
 
 
 @query
 def split_kfold(spark, sf):
-    return splits.stratified_folds(group_reviews(spark, sf)).select("review_id", "sentiment_label", _long("fold"))
+    return splits.stratified_folds(_labels(spark, sf)).select("review_id", "sentiment_label", _long("fold"))
 
 
 @query
@@ -368,9 +422,11 @@ def product_groups(spark, sf):
 
 @query
 def product_groups_diverse(spark, sf):
-    """Product records with diverse reviews, on hashed word vectors."""
+    """Product records with diverse reviews, on hashed word vectors, with the ids chosen."""
     vectors = features.hashed_vectors(group_reviews(spark, sf), "text", "vector", 128)
-    return groups.scalar_columns(groups.product_groups(vectors, 6, 3, vector="vector"))
+    wide = groups.product_groups(vectors, 6, 3, vector="vector")
+    ids = [F.array_join(F.transform(f"{s}_review_items", lambda i: i["review_id"]), ",").alias(f"{s}_ids") for s in ("positive", "neutral", "negative")]
+    return wide.select(*groups.scalar_columns(wide).columns, *ids)
 
 
 def _diverse(spark, sf, limit=6, threshold=0.3):
@@ -437,7 +493,7 @@ def summary_records(spark, sf):
             raise ValueError("declined")
         return f"{len(prompt)} characters"
 
-    done, failed = chat.summary_records(chat.generate(_tasks(spark, sf), "prompt", answer), "local", "echo")
+    done, failed = chat.summary_records(chat.generate(_tasks(spark, sf), "prompt", answer, ["product_id", "sentiment"]), "local", "echo")
     return done.select("product_id", "sentiment", "prompt_hash", "gold_summary", F.lit(None).cast("string").alias("error")).unionByName(
         failed.select("product_id", "sentiment", "prompt_hash", F.lit(None).cast("string").alias("gold_summary"), "error")
     )
@@ -463,7 +519,7 @@ def messages_extract(spark, sf):
 @query
 def summary_predictions(spark, sf):
     """Reference and generated answer side by side; the generator repeats the prompt's first words."""
-    told = chat.predictions(chat.turn_facts(table(spark, sf, "conversations")).where("prompt IS NOT NULL"), lambda p: " ".join(p.split()[:20]))
+    told = chat.predictions(chat.turn_facts(table(spark, sf, "conversations")).where("prompt IS NOT NULL"), lambda p: " ".join(p.split()[:20]), ["conv_id"])
     return told.select("conv_id", "prompt", "reference_answer", "generated_answer", F.col("latency_ms").isNotNull().alias("timed"))
 
 
@@ -517,7 +573,7 @@ def label_distribution(spark, sf):
 @query
 def distinct_counts(spark, sf):
     return doc_reviews(spark, sf).agg(
-        F.countDistinct("product_id").alias("products"), F.countDistinct("review_text").alias("texts"),
+        F.countDistinct("product_id").alias("products"), F.countDistinct(F.sha2("review_text", 256)).alias("texts"),
         F.countDistinct("product_id", "lang").alias("product_langs"),
     )
 
@@ -636,33 +692,39 @@ def tfidf_df(spark, sf):
 
 @query
 def tfidf_weights(spark, sf):
-    return features.tfidf(_lower_docs(spark, sf), "doc_id", "text", size=2000).select("doc_id", "term", "tf", _six("weight"))
+    return features.tfidf(_lower_docs(spark, sf), "doc_id", "text").select("doc_id", "term", "tf", _six("weight"))
 
 
 @query
 def sentiment_train_predict(spark, sf):
     """Train on the training part of labelled documents, predict the test part."""
     docs = texts(spark, sf, "documents", "doc_id").join(table(spark, sf, "labels"), "doc_id").select(
-        "doc_id", F.lower("text").alias("text"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("sentiment_label")
+        "doc_id", F.lower("text").alias("text"),
+        F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral").alias("sentiment_label"),
     )
-    parts = splits.stratified_split(docs, row_id="doc_id", labels=("negative", "positive"))
-    labels = ("negative", "positive")
-    model = models.train_sentiment(parts.where("split = 'train'"), max_iter=100, labels=labels)
-    return models.predict_sentiment(model, parts.where("split = 'test'"), labels=labels).drop("text", "split")
+    parts = splits.stratified_split(docs, row_id="doc_id")
+    model = models.train_sentiment(parts.where("split = 'train'"))
+    return models.predict_sentiment(model, parts.where("split = 'test'")).drop("text", "split")
 
 
 @query
 def language_id(spark, sf):
-    docs = texts(spark, sf, "documents", "doc_id").select("doc_id", "text", "lang")
-    model = models.train_language(docs)
-    return models.detect_language(model, docs).drop("text")
+    """Each half of the documents by a model of the other half."""
+    return models.detect_language_across(texts(spark, sf, "documents", "doc_id").select("doc_id", "text", "lang"), "doc_id").drop("text")
 
 
 @query
 def phase1_english(spark, sf):
-    """Cleaning with the language filter, the model trained on the labelled documents."""
-    model = models.train_language(texts(spark, sf, "documents", "doc_id").select("text", "lang"))
-    cleaned = clean.clean_reviews(doc_reviews(spark, sf), language=lambda df: models.detect_language(model, df), sort=False)
+    """Cleaning with the language filter; each half of the reviews by a model of the other half's raw texts."""
+    raw = doc_reviews(spark, sf)
+    half = F.crc32(F.col("position").cast("string").cast("binary")) % 2
+    trained = [models.train_language(raw.where(half != i), "review_text") for i in (0, 1)]
+
+    def language(df):
+        parts = [models.detect_language(model, df.where(half == i)) for i, model in enumerate(trained)]
+        return parts[0].unionByName(parts[1])
+
+    cleaned = clean.clean_reviews(raw, language=language, sort=False)
     return cleaned.select("review_id", "product_id", "sentiment_label", "detected_lang", "lang_conf")
 
 
@@ -706,7 +768,7 @@ def stream_insights(spark, sf):
     root = scratch_path(spark, "refresh")
 
     def compute(reviews):
-        spread = insights.distribution(insights.routed_reviews(reviews, max_reviews=20))
+        spread = insights.distribution(insights.routed_reviews(reviews))
         return spread.select(
             "product_id", F.lit("v1").alias("model_version"),
             F.concat_ws("/", *[F.col(f"{s}_count").cast("string") for s in ("positive", "neutral", "negative")]).alias("payload"),

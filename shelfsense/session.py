@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,8 +30,8 @@ def build_session(app_name: str = "shelfsense", master: str | None = None, **con
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster an executor cannot read
-    what another machine put in its own.
+    Only a session whose executors are threads of this very process may fall back to a temporary folder: any other
+    executor may not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -38,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="shelfsense-")
     spark.sparkContext.setCheckpointDir(root)

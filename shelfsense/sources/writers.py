@@ -46,6 +46,12 @@ def write_splits(df: DataFrame, path: str, column: str = "split", fmt: str = "pa
     df.write.mode("overwrite").partitionBy(column).format(fmt).save(path)
 
 
+def write_phase1(parts: DataFrame, path: str) -> None:
+    """``split=train``, ``val`` and ``test``, and beside them ``train_val`` with the rows of the first two."""
+    write_splits(parts, path)
+    parts.where("split IN ('train', 'val')").write.mode("overwrite").parquet(f"{path.rstrip('/')}-train_val")
+
+
 def write_folds(df: DataFrame, path: str) -> None:
     """``fold=i`` holds the validation rows of fold i; its training rows are all other folders."""
     write_splits(df, path, "fold")
