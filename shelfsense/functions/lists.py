@@ -28,9 +28,14 @@ def _literal_as_json(text: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), token), "")
 
 
+def _json(text: Column) -> Column:
+    """The whole text as one JSON value. The parser would stop after a first value; as a member of an object, what follows is an error."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), "$.v", "variant")
+
+
 def _parsed(text: Column) -> Column:
     """The whole text as JSON, or else as a literal; NULL when it is neither to its end."""
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.when(text.rlike(r"^[\[{'\"]"), _literal_as_json(text))))
+    return F.coalesce(_json(text), _json(F.when(text.rlike(r"^[\[{'\"]"), _literal_as_json(text))))
 
 
 def _kind(value: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfsense.session import ensure_checkpoint_dir
+
 # A key is hot above this many rows; a hot key is cut into slices of about this size.
 HOT_ROWS = 2_000_000
 # No more keys than this can be hot: the threshold also scales with the table, so what is broadcast is
@@ -81,21 +83,24 @@ def rank_cuts(df: DataFrame, counts: DataFrame, wanted: DataFrame, stratum: str,
 
 # Row numbers ------------------------------------------------------------------------------------------
 
-def dense_ordinal(df: DataFrame, position: str, out: str, width: int = 1_000_000) -> DataFrame:
-    """Number the rows 1..n in the order of a unique long ``position`` without sorting them in one task.
+def dense_ordinal(df: DataFrame, position: str, out: str) -> DataFrame:
+    """Number the rows 1..n in the order of a unique ``position`` of any spread without sorting them in one task.
 
-    Positions are grouped into ranges of ``width``; the ranges' counts give each range its start, and rows are
-    numbered inside their range.
+    Rows are range-partitioned by sampled quantiles of the position and kept in the shared folder, so that their partitions stay as they are;
+    the partitions' counts, one row each, give each partition its start.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(position) / F.lit(width)))
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, position).withColumn("_range", F.spark_partition_id()).checkpoint()
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+        placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
         .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
     inside = W.partitionBy("_range").orderBy(position)
     return (
-        ranged.withColumn("_at", F.row_number().over(inside))
+        placed.withColumn("_at", F.row_number().over(inside))
         .join(starts, "_range")
         .withColumn(out, (F.col("_start") + F.col("_at")).cast("bigint"))
         .drop("_range", "_at", "_start")

@@ -253,6 +253,9 @@ ORACLES["clean_text_docs"] = f"""WITH c AS (SELECT doc_id, {_clean('text')} AS c
 SELECT doc_id, clean_text, md5({_model_text('clean_title', 'clean_text')}) AS text_md5, {_tokens('clean_text')} AS tokens,
   {_SNIPPET.format(t='clean_text', n=60)} AS snippet FROM c"""
 
+ORACLES["clean_text_pages"] = f"""WITH c AS (SELECT page_id, {_clean("replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')")} AS clean_text FROM pages)
+SELECT page_id, clean_text, {_tokens('clean_text')} AS token_count FROM c"""
+
 _CLEANED = f"""{DOC_REVIEWS}, {DOC_META},
 cleaned AS (SELECT position, product_id, rating, {_clean('review_title')} AS review_title, {_clean('review_text')} AS review_text, "timestamp", helpful_vote,
   CAST(verified_purchase AS BIGINT) AS verified_purchase FROM doc_reviews WHERE product_id IS NOT NULL AND rating IS NOT NULL AND review_text IS NOT NULL),
@@ -404,6 +407,8 @@ _CONV = f"""conv AS (SELECT conv_id, count(*) AS messages, bool_and(role IS NOT
   FROM conversations GROUP BY conv_id)"""
 ORACLES["messages_validate"] = f"WITH {_CONV} SELECT conv_id, messages, valid FROM conv"
 ORACLES["messages_as_lists"] = f"WITH {_CONV} SELECT conv_id, messages, valid, prompt, reference_answer FROM conv"
+ORACLES["summary_predictions"] = f"""WITH {_CONV} SELECT conv_id, prompt, reference_answer,
+  array_to_string(list_slice(regexp_split_to_array(trim(prompt, {_STRIP}), '\\s+'), 1, 20), ' ') AS generated_answer, true AS timed FROM conv WHERE prompt IS NOT NULL"""
 ORACLES["messages_extract"] = f"""WITH {_CONV} SELECT conv_id, prompt, reference_answer, CASE WHEN prompt IS NULL THEN 'no user turn'
   WHEN reference_answer IS NULL THEN 'no assistant turn' END AS problem FROM conv"""
 

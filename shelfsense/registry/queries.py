@@ -22,7 +22,7 @@ from shelfsense.plans.testviews import (
 )
 from shelfsense.session import scratch_path
 from shelfsense.sources import tables
-from shelfsense.sources.tables import absent_rows, read_snapshot
+from shelfsense.sources.tables import absent_rows
 from shelfsense.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -293,7 +293,7 @@ def stage_counts(spark, sf):
 @query
 def clean_text_pages(spark, sf):
     pages = with_values(texts(spark, sf, "pages", "page_id"), clean_text=clean_review_text(F.col("html")))
-    return pages.select("page_id", "clean_text", token_count(F.col("clean_text")).alias("token_count"))
+    return pages.select("page_id", "clean_text", token_count(F.col("clean_text")).cast("bigint").alias("token_count"))
 
 
 @query
@@ -758,8 +758,8 @@ def stream_dedupe(spark, sf):
 def stream_sentiment(spark, sf):
     """Running sentiment distribution per user."""
     routed = route_sentiment(_as_reviews(_event_stream(spark, sf)))
-    out = streams.run_available(streams.running_distribution(routed, ["product_id"]), "update")
-    return streams.latest(out, ["product_id"])
+    out = streams.run_available(streams.running_distribution(routed, ["product_id"], "ts"), "update")
+    return streams.total_distribution(streams.latest(out, ["window_start", "product_id"]), ["product_id"])
 
 
 @query
@@ -777,7 +777,7 @@ def stream_insights(spark, sf):
 
     arrivals = _as_reviews(_event_stream(spark, sf)).select("product_id")
     streams.refresh_insights(arrivals, lambda: _as_reviews(table(spark, sf, "events")), compute, root).awaitTermination()
-    return read_snapshot(spark, f"{root}/table").select("product_id", "payload")
+    return tables.read_buckets(spark, f"{root}/table").select("product_id", "payload")
 
 
 @query

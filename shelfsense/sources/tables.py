@@ -1,10 +1,10 @@
-"""Serving tables on plain Parquet: insert what is absent, upsert by snapshot."""
+"""Serving tables on plain Parquet: insert what is absent, upsert by snapshot or by bucket."""
 
 from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,10 +64,61 @@ def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None =
     return spark.createDataFrame([], schema) if schema is not None else None
 
 
+def _snapshot_path(root: str, number: int) -> str:
+    return f"{root}/snapshot-{number:020d}"
+
+
 def write_snapshot(df: DataFrame, root: str, version: int | None = None) -> str:
     """A new snapshot beside the old ones, so the input may read the previous one. Writing the same
     version again replaces it, which makes a repeated batch harmless."""
-    number = version if version is not None else int(time.time() * 1000)
-    path = f"{root}/snapshot-{number:020d}"
+    path = _snapshot_path(root, version if version is not None else int(time.time() * 1000))
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+# Tables laid out by a hash bucket of their key: a write replaces the buckets it touches, the others keep their files.
+
+BUCKETS = 64
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def current_buckets(spark: SparkSession, root: str, before: int | None = None) -> dict[int, str]:
+    """The newest finished folder of each bucket, of versions below ``before``. Lists folders, reads no data."""
+    newest: dict[int, str] = {}
+    for path in snapshots(spark, root):
+        if before is not None and path >= _snapshot_path(root, before):
+            continue
+        fs, where = _files(spark, path)
+        names = [s.getPath().getName() for s in fs.listStatus(where)]
+        newest |= {int(n.removeprefix("_bucket=")): f"{path}/{n}" for n in names if n.startswith("_bucket=")}
+    return newest
+
+
+def read_buckets(spark: SparkSession, root: str, buckets: list[int] | None = None, before: int | None = None) -> DataFrame | None:
+    """The table, or only the named buckets of it; None when there is nothing."""
+    found = current_buckets(spark, root, before)
+    paths = [p for b, p in sorted(found.items()) if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def write_buckets(df: DataFrame, root: str, key: str, version: int) -> str:
+    """All rows of the buckets that occur in ``df``, as a new version of just these. The same version again replaces itself."""
+    path = _snapshot_path(root, version)
+    df.withColumn("_bucket", bucket_of(key)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+    return path
+
+
+def drop_superseded(spark: SparkSession, root: str, keep: int = 3) -> list[str]:
+    """Delete bucket folders that a newer version replaces, but for the last ``keep`` versions; gives what went."""
+    held, gone = set(current_buckets(spark, root).values()), []
+    for path in snapshots(spark, root)[:-keep]:
+        fs, where = _files(spark, path)
+        for status in fs.listStatus(where):
+            bucket = f"{path}/{status.getPath().getName()}"
+            if "/_bucket=" in bucket and bucket not in held:
+                fs.delete(status.getPath(), True)
+                gone.append(bucket)
+    return gone

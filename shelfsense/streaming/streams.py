@@ -15,7 +15,7 @@ from shelfsense.operators.stats import histogram
 from shelfsense.plans.insights import upsert
 from shelfsense.plans.ingest import typed_reviews
 from shelfsense.session import scratch_path
-from shelfsense.sources.tables import snapshots, write_snapshot
+from shelfsense.sources.tables import bucket_of, drop_superseded, read_buckets, write_buckets
 
 
 def stream_files(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet", pattern: str | None = None,
@@ -40,9 +40,19 @@ def review_stream(source: DataFrame, delay: str = "7 days") -> DataFrame:
     return first_arrivals(typed, ["product_id", "review_text", "timestamp"], "event_time", delay)
 
 
-def running_distribution(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Label counts and ratios so far; needs ``sentiment_label`` and ``sentiment_source``."""
-    return stream.groupBy(*keys).agg(*distribution_columns())
+def running_distribution(stream: DataFrame, keys: list[str], event_time: str, width: str = "1 day", delay: str = "7 days") -> DataFrame:
+    """Label counts so far per time window and key; needs ``sentiment_label`` and ``sentiment_source``. Windows older than ``delay`` leave the
+    state; ``total_distribution`` adds up the windows that were written."""
+    marked = stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width).alias("_window"), *keys)
+    return marked.agg(*distribution_columns()).withColumn("window_start", F.col("_window.start")).drop("_window")
+
+
+def total_distribution(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and ratios over all windows of ``running_distribution``."""
+    counts = [c for c in windows.columns if c.endswith(("_count", "_source")) or c == "total"]
+    summed = windows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+    labels = [c.removesuffix("_count") for c in counts if c.endswith("_count")]
+    return summed.select("*", *[F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.round(F.col(f"{s}_count") / F.col("total"), 4)).alias(f"{s}_ratio") for s in labels])
 
 
 def windowed_histogram(stream: DataFrame, event_time: str, width: str, keys: list[str], value: str, buckets, delay: str) -> DataFrame:
@@ -79,18 +89,20 @@ def latest(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def refresh_insights(arrivals: DataFrame, all_reviews: Callable[[], DataFrame], compute: Callable[[DataFrame], DataFrame],
                      root: str, key: str = "product_id") -> StreamingQuery:
-    """Recompute insights of the products each batch touches and upsert them.
+    """Recompute insights of the products each batch touches and upsert them into a table laid out by bucket (``read_buckets``).
 
     ``all_reviews`` gives the current review table, ``compute`` turns reviews into rows with product, version, payload
-    and creation time. A batch merges into the newest snapshot before its own number, so running it again gives the same.
+    and creation time. A batch reads and replaces only the buckets its products fall into, and merges into the newest version of them before its own number,
+    so running it again gives the same. The last few versions are kept.
     """
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         touched = batch.select(key).distinct()
         fresh = compute(all_reviews().join(touched, key, "left_semi"))
-        older = [s for s in snapshots(spark, f"{root}/table") if s < f"{root}/table/snapshot-{number:020d}"]
-        merged = upsert(spark.read.parquet(older[-1]), fresh) if older else fresh
-        write_snapshot(merged, f"{root}/table", number)
+        buckets = [r[0] for r in touched.select(bucket_of(key)).distinct().collect()]  # at most BUCKETS
+        held = read_buckets(spark, f"{root}/table", buckets, number)
+        write_buckets(upsert(held, fresh) if held is not None else fresh, f"{root}/table", key, number)
+        drop_superseded(spark, f"{root}/table")
 
     return (
         arrivals.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(merge).start()

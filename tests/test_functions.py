@@ -90,6 +90,8 @@ def test_two_rating_rules(spark, rating, training, serving):
 
 @pytest.mark.parametrize("value, expected", [
     ('["a", " ", "b "]', ["a", "b"]), ("['x', 'y']", ["x", "y"]), ("plain text", ["plain text"]), ("[]", []), (None, []), ("  ", []), ("[broken", ["[broken"]),
+    ("[2023] Model X", ["[2023] Model X"]), ('["a"] and more text', ['["a"] and more text']), ('["a", null, true, 3]', ["a", "None", "True", "3"]),
+    ("['a', None]", ["a", "None"]), ("""['it\\'s', "b, c", 'd "e"',]""", ["it's", "b, c", 'd "e"']), ("{'a': 1}", ["{'a': 1}"]),
 ])
 def test_parse_list(spark, value, expected):
     assert one(spark, lists.parse_list(F.col("v")), v=value) == expected
@@ -98,6 +100,8 @@ def test_parse_list(spark, value, expected):
 @pytest.mark.parametrize("value, first, leading", [
     ("https://a/1.jpg", "https://a/1.jpg", "https://a/1.jpg"), ('["x", "http://a/2"]', "http://a/2", None), ('["http://a/2"]', "http://a/2", "http://a/2"),
     ('[{"thumb": "http://t"}]', "http://t", None), ('{"hi_res": "http://h", "url": "u"}', "http://h", None), ("[]", None, None), ("none", None, None), (None, None, None),
+    ('[{"large": "https://a"}, "https://b"]', "https://a", None), ('[["x", ["https://n"]], "https://b"]', "https://n", None),
+    ("[{'large': None, 'thumb': 'https://t'}, 'https://b']", "https://t", None), ('[{"large": ""}, "https://b"]', "https://b", None),
 ])
 def test_images(spark, value, first, leading):
     assert one(spark, lists.first_image(F.col("v")), v=value) == first
@@ -129,6 +133,7 @@ def test_messages(spark):
     ("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"),
     ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("vietnamization", "vietnam"), ("triplicate", "triplic"),
     ("hopefulness", "hope"), ("adjustment", "adjust"), ("adoption", "adopt"), ("controlling", "control"), ("sky", "sky"), ("probate", "probat"), ("cease", "ceas"),
+    ("dying", "die"), ("lying", "lie"), ("died", "die"), ("dies", "die"), ("enjoy", "enjoy"), ("news", "news"), ("spied", "spi"), ("skies", "sky"),
 ])
 def test_porter_stem(word, stem):
     assert similarity.porter_stem(word) == stem
@@ -149,3 +154,16 @@ def test_lcs_equals_table_method():
     for _ in range(200):
         a, b = ([rng.choice("abcd") for _ in range(rng.randrange(1, 90))] for _ in range(2))
         assert similarity.lcs_length(a, b) == brute_lcs(a, b)
+
+
+def test_json_keeps_null_fields(spark):
+    from shelfsense.functions.coerce import to_json_text
+
+    assert one(spark, to_json_text(F.struct(F.lit(1).alias("a"), F.lit(None).cast("string").alias("b"))), v="") == '{"a":1,"b":null}'
+
+
+def test_blocks_give_the_same_alignment(spark, monkeypatch):
+    frame = spark.range(7).select(F.array(F.sin("id"), F.cos("id")).alias("v"), F.lit(1).alias("n")).agg(F.collect_list("v").alias("v"), F.collect_list("n").alias("n"))
+    other = frame.select("v", "n", F.reverse("v").alias("w"), F.reverse("n").alias("m"))
+    whole = other.select(similarity.soft_alignment("v", "n", "w", "m").alias("s")).first()["s"]
+    assert abs(whole["f1"] - 1) < 1e-9

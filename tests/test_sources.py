@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from shelfsense import schemas
-from shelfsense.plans import ingest
+from shelfsense.plans import chat, ingest
 from shelfsense.sources import readers, tables, writers
 from shelfsense.streaming import streams
 
@@ -104,11 +104,58 @@ def test_refresh_touches_only_arrived_products(spark, tmp_path):
         spark.createDataFrame([(x, 0) for x in ids], schema).coalesce(1).write.mode("append").parquet(str(folder))
         stream = streams.stream_files(spark, str(folder), schema)
         streams.refresh_insights(stream, table, compute, root).awaitTermination()
-    out = {r["product_id"]: r["created_at"] for r in tables.read_snapshot(spark, f"{root}/table").collect()}
+    out = {r["product_id"]: r["created_at"] for r in tables.read_buckets(spark, f"{root}/table").collect()}
     assert calls == [["a"], ["a", "b"]] and out == {"a": 1, "b": 2}
 
 
-def test_small_text_files_are_spread_over_the_cores(spark):
+def test_texts_are_spread_only_on_demand(spark):
     from shelfsense.plans.testviews import texts
 
-    assert texts(spark, SF, "documents", "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert texts(spark, SF, "documents", "doc_id").rdd.getNumPartitions() == 1
+    spark.conf.set("shelfsense.text.tasks", "3")
+    try:
+        assert texts(spark, SF, "documents", "doc_id").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset("shelfsense.text.tasks")
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    root = str(tmp_path / "table")
+    rows = spark.createDataFrame([(f"p{i}", 1) for i in range(200)], "product_id string, n int")
+    tables.write_buckets(rows, root, "product_id", 1)
+    first = tables.current_buckets(spark, root)
+    one = rows.where("product_id = 'p7'").select(tables.bucket_of("product_id")).first()[0]
+    changed = tables.read_buckets(spark, root, [one]).withColumn("n", F.lit(2))
+    for version in (2, 3, 4):
+        tables.write_buckets(changed, root, "product_id", version)
+    now = tables.current_buckets(spark, root)
+    assert {b for b in now if now[b] != first[b]} == {one}
+    assert tables.read_buckets(spark, root, before=2).agg(F.sum("n")).first()[0] == 200
+    out = tables.read_buckets(spark, root)
+    assert out.count() == 200 and out.where("n = 2").count() == changed.count()
+    assert tables.drop_superseded(spark, root, keep=3) == [first[one]] and tables.current_buckets(spark, root) == now
+
+
+def test_generation_calls_once_and_resumes(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def answer(text):
+        import uuid
+
+        (calls / f"{text}-{uuid.uuid4().hex}").touch()
+        if text.endswith("3"):
+            raise ValueError("declined")
+        return text.upper()
+
+    tasks = spark.createDataFrame([(f"p{i}", "neutral", f"t{i}") for i in range(20)], "product_id string, sentiment string, prompt string").withColumn(
+        "selected_reviews", F.array("prompt"))
+    path = str(tmp_path / "answers")
+    keys = ["product_id", "sentiment"]
+    chat.generate(tasks.where("product_id < 'p15'"), "prompt", answer, keys, path, waves=2)
+    made = chat.generate(tasks, "prompt", answer, keys, path)
+    done, failed = chat.summary_records(made, "local", "echo")
+    writers.append_records(done, failed, str(tmp_path / "done"), str(tmp_path / "failed"))
+    writers.append_records(done.limit(0), failed.limit(0), str(tmp_path / "done"), str(tmp_path / "failed"))
+    assert spark.read.json(str(tmp_path / "done")).count() == 18 and spark.read.json(str(tmp_path / "failed")).count() == 2
+    assert sorted(p.name.split("-")[0] for p in calls.iterdir()) == sorted(f"t{i}" for i in range(20))
