@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -17,8 +19,8 @@ BAND = 1.5
 # A tile holds members up to this weight; a member weighs its shingles plus MEMBER.
 TILE = 1_000_000
 MEMBER = 2_000
-# Bits of a signature.
-SIGNATURE = 1_024
+# Bits of a signature within a tile of sets, and of one that travels in place of its set.
+SIGNATURE, TRAVELLING = 1_024, 4_096
 REMEMBERED = 400_000
 
 
@@ -51,54 +53,79 @@ def shingle_set(text: bytes, n: int, words: Words) -> np.ndarray:
     return np.unique(mixed)
 
 
-def bands(size: int, similarity: float) -> list[tuple[int, int]]:
-    """(band, parts) of a set: its own band, and the next one if a set of that band can be similar to it.
+@lru_cache(maxsize=None)
+def band_plan(band: int, similarity: float) -> tuple[int, int, int, int, int]:
+    """(low, high, differ, slack, least) of a size band low <= size < high.
 
-    Two similar sets of a band with sizes below ``high`` differ in at most (1-s)/(1+s) * 2 * (high - 1) shingles; one part more than that
-    leaves at least one part of the hash range that holds the same shingles in both.
+    Two similar sets that meet in the band differ in at most ``differ`` shingles. With differ + slack + 1 parts of the hash range, more than
+    ``slack`` parts hold the same shingles in both. A set may therefore leave out its weak parts, those with fewer than ``least``
+    shingles, as long as it has no more than ``slack`` of them. ``least`` is as large as random sets of the band's smallest size can afford.
     """
-    found, low, band = [], 1, 0
-    while similarity * low <= size + 1e-9:
-        high = int(low * BAND) + 1
-        if size < high:
-            parts = int((1 - similarity) / (1 + similarity) * 2 * (high - 1) + 1e-9) + 1
-            if parts > 1:
-                found.append((band, parts))
-        low, band = high, band + 1
-    return found
+    low = 1
+    for _ in range(band):
+        low = int(low * BAND) + 1
+    high = int(low * BAND) + 1
+    differ = int((1 - similarity) / (1 + similarity) * 2 * (high - 1) + 1e-9)
+    slack = 2 + differ // 4
+    parts = differ + slack + 1
+    mean = max(similarity * low, 1) / parts
+    least, share = 0, 0.0
+    while least < 8:
+        share += math.exp(-mean) * mean**least / math.factorial(least)
+        if parts * share + 2 * math.sqrt(parts * share) > slack:
+            break
+        least += 1
+    return low, high, differ, slack, least
+
+
+def bands(size: int, similarity: float) -> list[tuple[int, int, int, int]]:
+    """(band, parts, slack, least) of a set: its own band, and the next one if a set of that band can be similar to it. A band in which
+    similar sets are equal needs no parts."""
+    found, band = [], 0
+    while True:
+        low, high, differ, slack, least = band_plan(band, similarity)
+        if similarity * low > size + 1e-9:
+            return found
+        if size < high and differ:
+            found.append((band, differ + slack + 1, slack, least))
+        band += 1
 
 
 def part_keys(shingles: np.ndarray, similarity: float) -> np.ndarray:
-    """A key for each band of the set and each part of the hash range: the sum of the part's shingles, stirred."""
+    """A key for each band of the set and each part of the hash range it must show: the sum of the part's shingles, stirred."""
     keys = []
     with np.errstate(over="ignore"):
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles, dtype=np.uint64)])
-        for band, parts in bands(len(shingles), similarity):
+        for band, parts, slack, least in bands(len(shingles), similarity):
             of = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             edges = np.searchsorted(of, np.arange(parts + 1, dtype=np.uint64))
             key = running[edges[1:]] - running[edges[:-1]] + np.arange(parts, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             key ^= np.uint64(band + 1) * np.uint64(0xA0761D6478BD642F)
             key = (key ^ (key >> np.uint64(31))) * np.uint64(0xE7037ED1A0B428DB)
-            keys.append(key ^ (key >> np.uint64(28)))
+            key ^= key >> np.uint64(28)
+            strong = np.diff(edges) >= least
+            keys.append(key[strong] if parts - strong.sum() <= slack else key)
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
 # Tiles ------------------------------------------------------------------------------------------------
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], bits: int = SIGNATURE) -> np.ndarray:
     """A bitmap per set: the bits that its shingles hash to."""
-    out = np.zeros((len(sets), SIGNATURE // 64), np.uint64)
+    out = np.zeros((len(sets), bits // 64), np.uint64)
     for row, s in zip(out, sets):
-        bit = s & np.uint64(SIGNATURE - 1)
+        bit = s & np.uint64(bits - 1)
         np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
-def tile_links(sets: list[np.ndarray], group: list[int], num: int, den: int) -> list[tuple[int, int]]:
+def tile_links(sizes: list[int], sets: list[np.ndarray], group: list[int], num: int, den: int, exact: bool = True) -> list[tuple[int, int]]:
     """Links (i, j) that join members of different ``group`` into everything that the tile's links join.
 
-    Members come in order of size. For each, the members it may link by size and by bitmap (a bit that only one of two sets has stands
-    for a shingle that only it has, which bounds the overlap from above) are compared exactly unless already joined.
+    Members come in order of size. ``sets`` are their sorted shingles, or what differs between them and one reference: the difference of
+    two members is the same either way. For each member, the others it may link by size and by bitmap (a bit that only one of two has
+    stands for a shingle that only one has, which bounds the overlap from above) are compared exactly unless already joined. Unless
+    ``exact``, ``sets`` are bitmaps and what the bound allows is a link.
     """
     parent = {g: g for g in group}
 
@@ -108,30 +135,40 @@ def tile_links(sets: list[np.ndarray], group: list[int], num: int, den: int) ->
             g = parent[g]
         return g
 
-    size = np.array([len(s) for s in sets])
-    bitmap, links = signatures(sets), []
+    size = np.array(sizes)
+    length = np.array([len(s) for s in sets])
+    bitmap, links = signatures(sets) if exact else np.stack(sets), []
     for i in range(len(sets) - 1):
         last = int(np.searchsorted(size, size[i] * den // num, side="right"))
         if last <= i + 1:
             continue
-        own, others, sizes = bitmap[i], bitmap[i + 1:last], size[i + 1:last]
-        need = -((size[i] + sizes) * -num // (num + den))
-        most = np.minimum(size[i] - np.bitwise_count(own & ~others).sum(1, dtype=np.int64), sizes - np.bitwise_count(others & ~own).sum(1, dtype=np.int64))
-        for j in (np.flatnonzero(most >= need) + i + 1).tolist():
+        both = size[i] + size[i + 1:last]
+        most = both + 2 * (both * -num // (num + den))  # differences that a link allows
+        least = np.bitwise_count(bitmap[i] ^ bitmap[i + 1:last]).sum(1, dtype=np.int64)
+        for j in (np.flatnonzero(least <= most) + i + 1).tolist():
             a, b = root(group[i]), root(group[j])
             if a == b:
                 continue
-            at = np.searchsorted(sets[j], sets[i])
-            at[at == len(sets[j])] = 0
-            common = int((sets[j][at] == sets[i]).sum())
-            if den * common >= num * (size[i] + size[j] - common):
+            if not exact:
+                parent[max(a, b)] = min(a, b)
+                links.append((i, j))
+                continue
+            short, long = (sets[i], sets[j]) if length[i] <= length[j] else (sets[j], sets[i])
+            same = 0
+            if len(short):
+                at = np.searchsorted(long, short)
+                at[at == len(long)] = 0
+                same = int((long[at] == short).sum())
+            differ = length[i] + length[j] - 2 * same
+            total = size[i] + size[j]
+            if den * (total - differ) >= num * (total + differ):
                 parent[max(a, b)] = min(a, b)
                 links.append((i, j))
     return links
 
 
-def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of all tiles of ``rows``: tile, node, grp, set. A tile is bounded, so it may stand in one task."""
+def _tiles(rows: DataFrame, num: int, den: int, exact: bool = True) -> DataFrame:
+    """Links (a, b) of all tiles of ``rows``: tile, node, grp, size, set. A tile is bounded, so it may stand in one task."""
 
     def flat(batches):
         for part in slices(batches, 64):
@@ -139,12 +176,13 @@ def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches):
         for _, members in groupby(flat(batches), key=lambda r: r[0]):
-            members = {node: (group, np.frombuffer(s, np.uint64)) for _, node, group, s in members}
-            order = sorted(members, key=lambda node: (len(members[node][1]), node))
-            links = tile_links([members[n][1] for n in order], [members[n][0] for n in order], num, den)
+            members = {node: (group, size, np.frombuffer(s, np.uint64)) for _, node, group, size, s in members}
+            order = sorted(members, key=lambda node: (members[node][1], node))
+            groups, sizes, sets = zip(*(members[n] for n in order))
+            links = tile_links(sizes, sets, groups, num, den, exact)
             yield pa.RecordBatch.from_arrays([pa.array([order[i] for i, _ in links], pa.int64()), pa.array([order[j] for _, j in links], pa.int64())], ["a", "b"])
 
-    dealt = rows.select("tile", "node", "grp", "set").repartition("tile").sortWithinPartitions("tile")
+    dealt = rows.select("tile", "node", "grp", "size", "set").repartition("tile").sortWithinPartitions("tile")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -158,15 +196,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     columns are not read. Shingles are compared by 64-bit, whole sets by 128-bit hash.
 
     Equal sets collapse to one node. Nodes that share the content of a part of the hash range in one size band (``bands``: no link can miss
-    this) are candidates; a Bloom filter of repeated part keys keeps other keys from the shuffle. A component of candidates is cut into
-    tiles in order of size. Each tile is settled in itself and against the first members of tiles at distances 1, 2, 4 and so on; what is
-    then still apart from its component's largest part meets every tile.
+    this) are candidates; a Bloom filter of repeated part keys keeps other keys from the shuffle. A component of candidates is a
+    tile; a large one is cut into tiles in order of size, which are first compared by bitmaps alone. Each tile is settled in itself and
+    against the first members of tiles at distances 1, 2, 4 and so on; what is then still apart from its component's largest part meets
+    every tile that its sizes allow.
     """
     similarity = num / den
     scanned = _scan(docs, doc_id, text, n, similarity)
     total = scanned.count()
     sets = scanned.where("n_shingles > 0").groupBy("set_hash").agg(
-        F.min("doc_id").alias("least"), F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
+        F.min("doc_id").alias("least"), F.min("row").alias("node"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
     sets = saved(sets, "sets")
     distinct = sets.count()
 
@@ -174,9 +213,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     keyed = bloom_hits(scanned.where("n_shingles > 0 AND size(keys) > 0").select("row", "keys"), F.col("row"),
                        bloom_filter(sets, F.col("node"), distinct), distinct, "one", broadcast_bytes).where("one")
     exploded = keyed.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    repeated = saved(exploded.groupBy("key").count().where("count > 1").select("key"), "keys")
+    # Keys are counted by half their bits, which halves that shuffle and lets few more through.
+    slot = F.col("key").bitwiseAND((1 << 32) - 1)
+    repeated = saved(exploded.groupBy(slot.alias("slot")).count().where("count > 1").select("slot"), "slots")
     known = repeated.count()
-    hits = saved(bloom_hits(exploded, F.col("key"), bloom_filter(repeated, F.col("key"), known), known, "maybe", broadcast_bytes)
+    hits = saved(bloom_hits(exploded, slot, bloom_filter(repeated, F.col("slot"), known), known, "maybe", broadcast_bytes)
                  .where("maybe").select("key", "node"), "hits")
     leaders = hits.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     stars = salted_join(hits, leaders, "key", "_n", F.col("node"), hits.count()).where("node <> leader")
@@ -212,7 +253,8 @@ def _scan(docs: DataFrame, doc_id: str, text: str, n: int, similarity: float) ->
 
 
 def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """(node, set) for the nodes of ``wanted`` (set_hash, node, least): one document of each is read again."""
+    """``wanted`` (set_hash, least and more) with ``set``, read again from a document that has it. A row that repeats id and text repeats its
+    set, which tiles ignore."""
     known = wanted.count()
     ids = bloom_filter(wanted.where("least IS NOT NULL"), F.col("least"), known)
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -228,50 +270,103 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame,
         return columns
 
     read = map_texts(some, "doc_id", "text", "set_hash binary, set binary", make)
-    matched = read.join(wanted.select("set_hash", "node", "least"), "set_hash").where("doc_id <=> least")
-    return matched.select("node", "set").dropDuplicates(["node"])
+    side = F.broadcast(wanted) if known * 160 <= broadcast_bytes else wanted
+    return read.join(side, "set_hash").where("doc_id <=> least").drop("doc_id", "least", "set_hash")
+
+
+def _differences(sets: DataFrame, references: DataFrame, members: int, broadcast_bytes: int) -> DataFrame:
+    """``sets`` (root, node, size, set) with each set replaced by what differs between it and its root's reference."""
+    held = references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
+    if held <= broadcast_bytes:
+        met = sets.join(F.broadcast(references.drop("members")), "root")
+    else:
+        met = salted_join(sets, references, "root", "members", F.col("node"), members)
+
+    def run(batches):
+        for part in slices(batches, 64):
+            pairs = zip(part.column(3).to_pylist(), part.column(4).to_pylist())
+            differ = [np.setxor1d(np.frombuffer(s, np.uint64), np.frombuffer(r, np.uint64), assume_unique=True).tobytes() for s, r in pairs]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(differ, pa.binary())], ["root", "node", "size", "set"])
+
+    return met.select("root", "node", "size", "set", "reference").mapInArrow(run, "root long, node long, size long, set binary")
+
+
+def _placed(members: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """``members`` (set_hash, least, root, node, size) of components that are one tile, and of those that are several (None if there are none).
+    The latter weigh more than a tile each, so there are at most total weight / TILE of them."""
+    placed = saved(running_total(members.withColumn("weight", F.col("size") + MEMBER), ["size", "node"], "weight", "before", ["root"])
+                   .withColumn("block", F.floor(F.col("before") / TILE)).drop("weight", "before"), "placed")
+    several = saved(placed.where("block > 0").select("root", F.lit(True).alias("_many")).distinct(), "several")
+    count = several.count()
+    marked = placed.drop("block").join(F.broadcast(several) if count * 64 <= broadcast_bytes else several, "root", "left")
+    return marked.where("_many IS NULL").drop("_many"), saved(marked.where("_many").drop("_many"), "many") if count else None
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """``rows`` (root, node, size, set) with the ``block`` of their component that they stand in."""
+    weighed = rows.withColumn("weight", (F.octet_length("set") / 8).cast("bigint") + MEMBER // 4)
+    return saved(running_total(weighed, ["size", "node"], "weight", "before", ["root"]).withColumn("block", F.floor(F.col("before") / TILE)).drop("weight", "before"), "tiled")
 
 
 def _verified(docs: DataFrame, doc_id: str, text: str, n: int, sets: DataFrame, candidates: DataFrame, num: int, den: int, broadcast_bytes: int) -> DataFrame:
     """Links (a, b) between candidate nodes that join exactly what all links join."""
-    members = sets.join(candidates, "node").select("set_hash", "node", "least", "root")
-    members = saved(members, "members")
-    sized = _sets_of(docs, doc_id, text, n, members, broadcast_bytes).join(members.select("node", "root"), "node").withColumn(
-        "size", (F.octet_length("set") / 8).cast("bigint"))
-    placed = saved(running_total(sized.withColumn("weight", F.col("size") + MEMBER), ["size", "node"], "weight", "before", ["root"])
-                   .withColumn("block", F.floor(F.col("before") / TILE)), "placed")
-    tiles = placed.groupBy("root", "block").agg(F.min(F.struct("size", "node")).getField("node").alias("head"), F.count(F.lit(1)).alias("_n"))
-    tile = F.struct("root", "block")
 
-    heads = placed.join(tiles.select(F.col("head").alias("node")), "node").withColumn("_block", F.col("block"))
+    def read(wanted: DataFrame) -> DataFrame:
+        return _sets_of(docs, doc_id, text, n, wanted, broadcast_bytes)
+
+    def settled(one: DataFrame) -> DataFrame:
+        found = read(one)
+        return _tiles(found.select(F.struct("root").alias("tile"), "node", F.col("node").alias("grp"), "size", "set"), num, den)
+
+    columns = ["set_hash", "least", "root", "node", "size"]
+    one, many = _placed(sets.join(candidates, "node").select(columns), broadcast_bytes)
+    links = settled(one)
+    if many is None:
+        return links
+
+    # Large components: first bitmaps alone meet, and only what their bound allows stays together.
+    def bitmaps(batches):
+        for part in slices(batches, 64):
+            made = signatures([np.frombuffer(x, np.uint64) for x in part.column(3).to_pylist()], TRAVELLING)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([row.tobytes() for row in made], pa.binary())], ["root", "node", "size", "set"])
+
+    short = read(many).select("root", "node", "size", "set").mapInArrow(bitmaps, "root long, node long, size long, set binary").dropDuplicates(["node"])
+    allowed = components(_between_tiles(_tiled(short), num, den, exact=False))
+    one, many = _placed(many.drop("root").join(allowed, "node").select(columns), broadcast_bytes)
+    links = links.unionByName(settled(one))
+    if many is None:
+        return links
+
+    # Families of near copies: their tiles hold differences from the family's first set.
+    heads = many.groupBy("root").agg(F.min(F.struct("size", "node")).getField("node").alias("node"), F.count(F.lit(1)).alias("members"))
+    references = read(many.join(heads.drop("root"), "node")).dropDuplicates(["root"]).select("root", F.col("set").alias("reference"), "members")
+    apart = _differences(read(many), saved(references, "references"), many.count(), broadcast_bytes).dropDuplicates(["node"])
+    return links.unionByName(_between_tiles(_tiled(apart), num, den))
+
+
+def _between_tiles(placed: DataFrame, num: int, den: int, exact: bool = True) -> DataFrame:
+    """Links of components that fill several tiles: ``placed`` has root, block, node, size, set."""
+    tiles = placed.groupBy("root", "block").agg(F.min(F.struct("size", "node")).getField("node").alias("head"), F.min("size").alias("low"), F.max("size").alias("high"))
     reach = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda p: F.col("_block") + F.call_function("shiftleft", F.lit(1).cast("bigint"), p))
+    heads = placed.join(tiles.select(F.col("head").alias("node")), "node").withColumn("_block", F.col("block"))
     ahead = heads.withColumn("block", F.explode(reach)).join(tiles.select("root", "block"), ["root", "block"])
-    own = placed.select(tile.alias("tile"), "node", F.col("node").alias("grp"), "set")
-    first = saved(_tiles(own.unionByName(ahead.select(tile.alias("tile"), "node", F.col("node").alias("grp"), "set")), num, den), "links")
+    columns = ["node", F.col("node").alias("grp"), "size", "set"]
+    tile = F.struct("root", "block").alias("tile")
+    first = saved(_tiles(placed.select(tile, *columns).unionByName(ahead.select(tile, *columns)), num, den, exact), "links")
 
-    # Components of one tile are settled. In the others, all that is not in the largest part meets every tile.
-    several = tiles.groupBy("root").agg(F.count(F.lit(1)).alias("_tiles")).where("_tiles > 1").select("root", F.lit(True).alias("many"))
-    nodes = placed.count()
-    open_ = lookup(placed.select("node", "root", "block", "size"), "root", several, "root", "many", nodes).where("many")
+    # What is not in its component's largest part by now meets every tile that its sizes allow.
     parts = components(first).withColumnRenamed("root", "part")
-    open_ = saved(open_.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")).drop("many"), "open")
-    if not open_.count():
-        return first
-    counted = open_.groupBy("root", "part").count()
-    largest = counted.groupBy("root").agg(F.max(F.struct("count", "part")).getField("part").alias("largest"))
-    rest = saved(lookup(open_, "root", largest, "root", "largest", nodes).where("part <> largest"), "rest")
-    if not rest.count():
-        return first
-    spans = tiles.join(several, "root").join(placed.groupBy("root", "block").agg(F.min("size").alias("low"), F.max("size").alias("high")), ["root", "block"])
-    blocks = rest.groupBy("root", "block").agg(F.min("size").alias("rest_low"), F.max("size").alias("rest_high")).withColumnRenamed("block", "other")
-    pairs = saved(blocks.join(spans.select("root", "block", "low", "high"), "root").where((F.col("low") * num <= F.col("rest_high") * den) & (F.col("rest_low") * num <= F.col("high") * den)).select(
-        "root", "block", "other"), "pairs")
-    tile = F.struct("root", "block", "other")
-    whole = placed.join(open_.select("node", "part"), "node")
-    left = whole.join(pairs, ["root", "block"]).select(tile.alias("tile"), "node", F.col("part").alias("grp"), "set")
-    right = whole.join(rest.select("node"), "node").withColumnRenamed("block", "other").join(pairs, ["root", "other"]).select(
-        tile.alias("tile"), "node", F.col("part").alias("grp"), "set")
-    return first.unionByName(_tiles(left.unionByName(right), num, den))
+    open_ = saved(placed.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "open")
+    largest = open_.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).getField("part").alias("largest"))
+    rest = lookup(open_.select("root", "block", "node", "size", "part"), "root", largest, "root", "largest", open_.count())
+    rest = saved(rest.where("part <> largest").select("root", F.col("block").alias("other"), "node", "size"), "rest")
+    blocks = rest.groupBy("root", "other").agg(F.min("size").alias("rest_low"), F.max("size").alias("rest_high"))
+    near = (F.col("low") * num <= F.col("rest_high") * den) & (F.col("rest_low") * num <= F.col("high") * den)
+    pairs = saved(blocks.join(tiles.select("root", "block", "low", "high"), "root").where(near).select("root", "block", "other"), "pairs")
+    columns, tile = ["node", F.col("part").alias("grp"), "size", "set"], F.struct("root", "block", "other").alias("tile")
+    left = open_.join(pairs, ["root", "block"]).select(tile, *columns)
+    right = open_.drop("block").join(rest.select("node", "other"), "node").join(pairs, ["root", "other"]).select(tile, *columns)
+    return first.unionByName(_tiles(left.unionByName(right), num, den, exact))
 
 
 def keep_one_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text",
