@@ -155,9 +155,9 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, key_of: str, value: str,
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long): nodes share a root exactly when a path joins them.
 
-    Each round sends a node to the neighbour (or itself) that comes first in that round's random order and shrinks the edges to the
-    ends' new names, so chains of any shape shrink by a constant factor; the rounds' maps are then followed. Rounds are written to
-    the shared folder.
+    Each round sends a node to the neighbour (or itself) that comes first and shrinks the edges to the ends' new names; the rounds' maps
+    are then followed. The first rounds go by number, which settles stars around their smallest node at once; later ones by a random
+    order of their own, so that chains of any shape shrink by a constant factor. Rounds are written to the shared folder.
     """
     names: DataFrame | None = None
     left = saved(edges.where("a <> b").select("a", "b").distinct(), "edges")
@@ -168,13 +168,16 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
         def order(c: str, turn: int = turn) -> Column:
-            return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("o"), F.col(c).alias("node"))
+            first = F.xxhash64(F.col(c), F.lit(turn)) if turn > 2 else F.lit(0)
+            return F.struct(first.alias("o"), F.col(c).alias("node"))
 
-        step = saved(both.groupBy("a").agg(F.least(F.min(order("b")), F.first(order("a"))).getField("node").alias("to")), "step")
+        step = saved(both.groupBy("a").agg(F.least(F.min(order("b")), F.first(order("a"))).getField("node").alias("to"), F.count(F.lit(1)).alias("degree")), "step")
+        # a node's degree bounds how often it stands at either end
         total = 2 * count
-        moved = lookup(left, "a", step, "a", "to", total).select(F.col("to").alias("a"), "b")
-        moved = lookup(moved, "b", step.withColumnRenamed("a", "k"), "k", "to", total).select("a", F.col("to").alias("b"))
+        moved = salted_join(left, step, "a", "degree", F.col("b"), total).select(F.col("to").alias("a"), "b")
+        moved = salted_join(moved, step.withColumnRenamed("a", "b"), "b", "degree", F.col("a"), total).select("a", F.col("to").alias("b"))
         left = saved(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        step = step.drop("degree")
         if names is None:
             names = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
