@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfsense.session import ensure_checkpoint_dir, shared_dir
+from shelfsense.session import shared_dir
 
 # Rows of one Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
@@ -48,20 +48,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, and kept when executors are lost."""
+# Rows of a task, where the number of rows is known and small tables need not keep the files of large ones.
+TASK_ROWS = 100_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and kept when executors are lost. ``rows``, if known, bounds the
+    number of rows and so the tasks that write them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // TASK_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for loops."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, total: int, how: str = "inner",
                 share: int = 2_000, salts: int = 64) -> DataFrame:
     """Join many ``rows`` with one row per key of ``groups``, where ``size`` counts the key's rows.
@@ -171,18 +170,19 @@ def components(edges: DataFrame) -> DataFrame:
             first = F.xxhash64(F.col(c), F.lit(turn)) if turn > 2 else F.lit(0)
             return F.struct(first.alias("o"), F.col(c).alias("node"))
 
-        step = saved(both.groupBy("a").agg(F.least(F.min(order("b")), F.first(order("a"))).getField("node").alias("to"), F.count(F.lit(1)).alias("degree")), "step")
+        step = saved(both.groupBy("a").agg(F.least(F.min(order("b")), F.first(order("a"))).getField("node").alias("to"), F.count(F.lit(1)).alias("degree")), "step", 2 * count)
         # a node's degree bounds how often it stands at either end
         total = 2 * count
         moved = salted_join(left, step, "a", "degree", F.col("b"), total).select(F.col("to").alias("a"), "b")
         moved = salted_join(moved, step.withColumnRenamed("a", "b"), "b", "degree", F.col("a"), total).select("a", F.col("to").alias("b"))
-        left = saved(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        left = saved(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", count)
         step = step.drop("degree")
         if names is None:
             names = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
+            nodes = names.count()
         else:
-            found = lookup(names, "root", step.withColumnRenamed("a", "k"), "k", "to", names.count())
-            names = saved(found.select("node", F.coalesce("to", "root").alias("root")), "names")
+            found = lookup(names, "root", step.withColumnRenamed("a", "k"), "k", "to", nodes)
+            names = saved(found.select("node", F.coalesce("to", "root").alias("root")), "names", nodes)
     else:
         raise RuntimeError("components did not settle")
     return names if names is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
