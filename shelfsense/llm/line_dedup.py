@@ -15,9 +15,10 @@ MIN_WORDS = 10
 
 
 def _lines(texts: list[bytes], min_words: int) -> dict:
-    """Per text: its number of lines; number in the text, hash and least run of each line with words. The least run of a line is how many such
-    lines from it on have ``min_words`` words together; 0 where the text ends before."""
-    out = {"n_lines": [], "at": [], "line": [], "run": []}
+    """Per text: its number of lines; number in the text, hash, least run and least run back of each line with words. The least run of a line
+    is how many such lines from it on have ``min_words`` words together, the least run back how many up to it; 0 where the text ends before,
+    and back also where the same lines are the least run of their first."""
+    out = {"n_lines": [], "at": [], "line": [], "run": [], "back": []}
     for text in texts:
         lines = text.split(b"\n")
         words = [len(x.split()) for x in lines]
@@ -25,12 +26,17 @@ def _lines(texts: list[bytes], min_words: int) -> dict:
         running = np.concatenate([[0], np.cumsum(np.array(words, np.int64)[at])])
         run = np.searchsorted(running, running[:-1] + min_words) - np.arange(len(at))
         run[running[:-1] + min_words > running[-1]] = 0
+        first = np.searchsorted(running, running[1:] - min_words, "right") - 1
+        back = np.where(first < 0, 0, np.arange(1, len(at) + 1) - first)
+        back[run[first] == back] = 0
         out["n_lines"].append(len(lines) if text else 0)
         out["at"].append(at.tolist())
         out["line"].append([xxhash.xxh3_64_intdigest(lines[i].strip()) - (1 << 63) for i in at])
         out["run"].append(run.tolist())
+        out["back"].append(back.tolist())
     return {"n_lines": pa.array(out["n_lines"], pa.int32()), "at": pa.array(out["at"], pa.list_(pa.int32())),
-            "line": pa.array(out["line"], pa.list_(pa.int64())), "run": pa.array(out["run"], pa.list_(pa.int32()))}
+            "line": pa.array(out["line"], pa.list_(pa.int64())), "run": pa.array(out["run"], pa.list_(pa.int32())),
+            "back": pa.array(out["back"], pa.list_(pa.int32()))}
 
 
 def _ranked(suffixes: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -42,7 +48,7 @@ def _ranked(suffixes: DataFrame, keys: list[str], total: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text",
-                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                   broadcast_bytes: int = BROADCAST_BYTES, whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, removed (ascending numbers from 0 of the lines that are later copies), runs (how
     many maximal runs they make).
 
@@ -51,23 +57,30 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
     and line; copies may lie in one text and overlap. A null text has no lines; of repeated rows the first keeps its lines; an empty
     table gives no rows; other columns are not read. Lines are compared by 64-bit hash.
 
-    Only suffixes whose first ``min_words`` words lie in repeated lines are ordered. Doubling gives rank_k, the place of a suffix by its
+    That holds with ``whole``. Without it only the least runs from each line on are compared, and the last lines of a copied passage stay
+    where they have less than ``min_words`` words together.
+
+    Only suffixes that begin with a repeated line are ordered. Doubling gives rank_k, the place of a suffix by its
     first 2^k lines, until 2^k reaches the longest least run. Suffixes with equal rank_k at their start and at run - 2^k form the
-    common-prefix interval of that depth; all of it but its first suffix are later copies, and together their lines are the maximal runs.
+    common-prefix interval of that depth; all of it but its first suffix are later copies. A line of a maximal run begins a least run that
+    lies in it, or less than ``min_words`` words follow in it and the least run back from its last line holds the line: together the least
+    runs, and with ``whole`` those back, are the maximal runs.
     """
-    found = map_texts(docs, doc_id, text, "n_lines int, at array<int>, line array<long>, run array<int>", lambda: lambda t: _lines(t, min_words))
+    found = map_texts(docs, doc_id, text, "n_lines int, at array<int>, line array<long>, run array<int>, back array<int>", lambda: lambda t: _lines(t, min_words))
     scanned = saved(found.withColumn("row", F.monotonically_increasing_id()), "lines")
-    lines = scanned.select("doc_id", "row", F.posexplode(F.arrays_zip("at", "line", "run")).alias("seq", "_l")).select(
-        "doc_id", "row", "seq", F.col("_l.at").alias("at"), F.col("_l.line").alias("line"), F.col("_l.run").alias("run"))
+    lines = scanned.select("doc_id", "row", F.posexplode(F.arrays_zip("line", "run", "back")).alias("seq", "_l")).select(
+        "doc_id", "row", "seq", F.col("_l.line").alias("line"), F.col("_l.run").alias("run"), F.col("_l.back").alias("back"))
     repeated = saved(lines.groupBy("line").count().where("count > 1").select("line"), "repeated")
     known = repeated.count()
     hits = bloom_hits(lines, F.col("line"), bloom_filter(repeated, F.col("line"), known), known, "maybe", broadcast_bytes).where("maybe").drop("maybe")
     suffixes = saved(hits, "suffixes")
     total = suffixes.count()
-    longest = suffixes.agg(F.max("run")).first()[0] or 0
+    longest = suffixes.agg(F.max(F.greatest("run", "back") if whole else F.col("run"))).first()[0] or 0
 
     level = saved(_ranked(suffixes.select("row", "seq", "line"), ["line"], total), "rank")
     windows = suffixes.where("run > 0").select("doc_id", "row", "seq", "run")
+    if whole:
+        windows = windows.unionByName(suffixes.where("back > 0").select("doc_id", "row", (F.col("seq") - F.col("back") + 1).alias("seq"), F.col("back").alias("run")))
     keyed, depth = None, 1
     while depth <= max(longest, 1):
         # Runs of depth to 2 * depth - 1 lines: two stretches of ``depth`` lines cover them.
@@ -99,7 +112,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str
     columns, at_text = docs.columns, docs.columns.index(text)
     packed = saved(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "documents")
     keys = packed.select(F.struct(F.col("doc").getField(doc_id).alias("id"), "row").alias("doc_id"), F.col("doc").getField(text).alias("text"))
-    removed = repeated_lines(keys, min_words).where("size(removed) > 0").select(F.col("doc_id.row").alias("row"), "removed")
+    removed = repeated_lines(keys, min_words, whole=True).where("size(removed) > 0").select(F.col("doc_id.row").alias("row"), "removed")
 
     def run(batches):
         for part in slices(batches):

@@ -74,7 +74,7 @@ FROM cut LEFT JOIN (FROM fit WHERE place = 1) USING (page_id)
 
 @query
 def op4_line_dedup(spark, sf):
-    return line_dedup.repeated_lines(_table(spark, sf, "documents"))
+    return line_dedup.repeated_lines(_table(spark, sf, "documents"), whole=True)
 
 
 @query

@@ -230,6 +230,39 @@ def test_lines_of_many_copies(spark, empty):
     assert line_dedup.repeated_lines(empty).count() == 0 and line_dedup.drop_repeated_lines(empty).count() == 0
 
 
+def brute_whole_runs(rows, least):
+    """Every stretch of enough words, of any length, against all earlier ones."""
+    seen, out = set(), Counter()
+    for i, t in rows:
+        lines = (t or "").encode().split(b"\n")
+        at, gone = [x for x, line in enumerate(lines) if line.split()], set()
+        for a in range(len(at)):
+            for b in range(a, len(at)):
+                if sum(len(lines[x].split()) for x in at[a:b + 1]) >= least:
+                    content = tuple(lines[x].strip() for x in at[a:b + 1])
+                    gone.update(at[a:b + 1] if content in seen else ())
+                    seen.add(content)
+        out[(i, len(lines) if t else 0, tuple(sorted(gone)))] += 1
+    return out
+
+
+def test_whole_runs(spark, empty):
+    """Also the short end of a copied passage goes, where the text goes on differently and where it ends."""
+    rng = random.Random(4)
+    long, short = prose(20, rng), prose(2, rng)
+    rows = [(1, f"{long}\n{short}\n{prose(9, rng)}"), (2, f"{long}\n{short}\nother {prose(8, rng)}"), (3, f"new {prose(3, rng)}\n{long}\n\n  {short} "), (4, short), (5, None)]
+    lines = [prose(rng.randint(1, 6), rng) for _ in range(12)]
+    rows += [(10 + i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 15)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for least in (8, 10, 25):
+        got = {r.doc_id: r for r in line_dedup.repeated_lines(df, least, broadcast_bytes=0, whole=True).collect()}
+        assert Counter((r.doc_id, r.n_lines, tuple(r.removed)) for r in got.values()) == brute_whole_runs(rows, least)
+        assert least == 25 or (got[2].removed, got[3].removed, got[4].removed) == ([0, 1], [1, 3], [])
+    assert line_dedup.repeated_lines(empty, whole=True).count() == 0
+    cut = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df.where("doc_id < 3")).collect()}
+    assert short in cut[1].split("\n") and short not in cut[2].split("\n")
+
+
 def test_lines_are_cut(docs):
     cut = line_dedup.drop_repeated_lines(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
