@@ -6,6 +6,7 @@ import json
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -22,9 +23,15 @@ NAMES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_k
 STAND_INS = ("example", "changeme", "placeholder", "dummy", "xxxx", "your_", "sample", "test")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.\-]{16,}")
 _NAMED = re.compile(rb"(?:" + b"|".join(n.encode() for n in NAMES) + rb")[\"']?\s*(?::=|[:=]>?)\s*[\"']?\Z", re.IGNORECASE)
+# Forms by which vendors' keys and tokens are known wherever they stand.
+FORMS = re.compile(rb"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_\-]{20}|"
+                   rb"xox[abeoprs]-[A-Za-z0-9\-]{10,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|npm_[A-Za-z0-9]{36}|"
+                   rb"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*)")
 _WORD = re.compile(rb"[A-Za-z_]+")
 FEATURES = ("length", "transitions", "transition_share", "entropy", "digits", "upper", "lower", "marks", "hex", "distinct", "longest_letters",
             "longest_digits", "dictionary", "slashes", "dots", "path_before", "name_before", "name_near", "stand_in", "quoted", "assigned")
+# Those of the bytes around a candidate.
+SURROUNDINGS = ("path_before", "name_before", "name_near", "quoted", "assigned")
 # Bytes of context read on each side of a candidate.
 AROUND = 60
 
@@ -68,45 +75,65 @@ def describe(value: bytes, before: bytes, after: bytes, words: frozenset[bytes])
     ]
 
 
+def spans(raw: bytes) -> list[tuple[int, int, bool]]:
+    """Start, end and whether a credential's name is assigned it of each candidate, by place."""
+    return [(*m.span(), bool(_NAMED.search(raw, max(0, m.start() - AROUND), m.start()))) for m in CANDIDATE.finditer(raw)]
+
+
 def candidates(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per candidate of each whole text: doc_id, at (its first byte), length, named (a credential's name is assigned it), features."""
+    """One row per candidate of each whole text: doc_id, at (its first byte), length, named (a credential's name is assigned it), form (it has
+    a vendor's known form), features."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
         words = shared.value
         for part in slices(batches):
-            rows, at, length, named, found = [], [], [], [], []
+            rows, at, length, named, form, found = [], [], [], [], [], []
             for i, raw in enumerate(part.column(1).to_pylist()):
-                for m in CANDIDATE.finditer(raw):
-                    start, end = m.span()
-                    before, after = raw[max(0, start - AROUND):start], raw[end:end + AROUND]
+                for start, end, assigned in spans(raw):
+                    value, before, after = raw[start:end], raw[max(0, start - AROUND):start], raw[end:end + AROUND]
                     rows.append(i)
                     at.append(start)
                     length.append(end - start)
-                    named.append(bool(_NAMED.search(before)))
-                    found.append(describe(m.group(), before, after, words))
+                    named.append(assigned)
+                    form.append(bool(FORMS.search(value)))
+                    found.append(describe(value, before, after, words))
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()), pa.array(length, pa.int64()),
-                                              pa.array(named, pa.bool_()), pa.array(found, pa.list_(pa.float32()))], ["doc_id", "at", "length", "named", "features"])
+                                              pa.array(named, pa.bool_()), pa.array(form, pa.bool_()), pa.array(found, pa.list_(pa.float32()))],
+                                             ["doc_id", "at", "length", "named", "form", "features"])
 
-    return narrow.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, at long, length long, named boolean, features array<float>")
+    return narrow.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, at long, length long, named boolean, form boolean, features array<float>")
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings where no reviewer's are at hand: 1 for a random-looking value that a credential's name is assigned, 0 for one that no
-    name is assigned; named values that look like words or stand-ins stay unlabelled."""
+    """Labelled findings (doc_id, at, length, label) where no reviewer's are at hand: 1 for a random-looking value that a credential's name is
+    assigned or that has a vendor's known form; 0 for an unnamed one that reads as words, a path, a number or a stand-in. Named values that
+    read so stay unlabelled, and unnamed random-looking ones too, as a secret may stand bare."""
     feature = {name: F.element_at("features", i + 1) for i, name in enumerate(FEATURES)}
     random_looking = (feature["entropy"] >= 2.5) & (feature["dictionary"] < 0.6) & (feature["stand_in"] == 0) & (feature["digits"] > 0)
-    return found.select("doc_id", "at", F.when(F.col("named") & random_looking, 1.0).when(~F.col("named"), 0.0).alias("label")).where("label IS NOT NULL")
-
-
-def fit_forest(found: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 30, depth: int = 6, seed: int = 5) -> RandomForestClassificationModel | None:
-    """A forest over the features of labelled candidates (doc_id, at, label 0/1); null ids are left out. None where a class is missing."""
-    rows = found.where("doc_id IS NOT NULL").join(labelled.where("label IN (0, 1)").dropDuplicates(["doc_id", "at"]), ["doc_id", "at"])
-    order = [F.xxhash64("doc_id", "at"), F.col("doc_id"), F.col("at")]
-    narrow = rows.select("doc_id", "at", "label", "features")
+    number = (feature["upper"] == 0) & (feature["lower"] == 0)
+    path = (feature["slashes"] > 0) & (feature["dictionary"] >= 0.3)
+    word = (feature["dictionary"] >= 0.6) | (feature["digits"] == 0) & (feature["transition_share"] <= 0.2)
+    reads = number | path | word | (feature["entropy"] < 2.5) | (feature["stand_in"] > 0)
+    secret = (F.col("form") & (feature["stand_in"] == 0)) | (F.col("named") & random_looking)
+    return found.select("doc_id", "at", "length", F.when(secret, 1.0).when(~F.col("named") & reads, 0.0).alias("label")).where("label IS NOT NULL")
+
+
+def fit_forest(found: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 30, depth: int = 6, seed: int = 5,
+               bare: bool = False) -> RandomForestClassificationModel | None:
+    """A forest over the features of labelled candidates (doc_id, at, label 0/1, and length where candidates of one place differ); null ids are
+    left out. None where a class is missing. With ``bare`` each secret is learned a second time without its surroundings, for labels that
+    come from these."""
+    on = ["doc_id", "at", *(["length"] if "length" in labelled.columns else [])]
+    rows = found.where("doc_id IS NOT NULL").join(labelled.where("label IN (0, 1)").dropDuplicates(on), on)
+    order = [F.xxhash64("doc_id", "at"), F.col("doc_id"), F.col("at"), F.col("length")]
+    narrow = rows.select("doc_id", "at", "length", "label", "features")
     each = [narrow.where(F.col("label") == c).orderBy(*order).limit(fit_rows) for c in (0.0, 1.0)]
-    sample = saved(each[0].unionByName(each[1]).select("label", array_to_vector(F.col("features").cast("array<double>")).alias("features")), "findings")
+    if bare:
+        around = [i for i, name in enumerate(FEATURES) if name in SURROUNDINGS]
+        each.append(each[1].withColumn("features", F.transform("features", lambda x, i: F.when(i.isin(around), 0.0).otherwise(x).cast("float"))))
+    sample = saved(reduce(DataFrame.unionByName, each).select("label", array_to_vector(F.col("features").cast("array<double>")).alias("features")), "findings")
     if sample.select("label").distinct().count() < 2:
         return None
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(sample)
@@ -115,12 +142,12 @@ def fit_forest(found: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS,
 def judge(found: DataFrame, forest: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:
     """Each candidate with score (0 to 1) and secret (score >= ``threshold``): doc_id, at, length, score, secret.
 
-    Without a forest (no labelled findings of both classes) a candidate scores 1 when a credential's name is assigned it, else 0. Texts of any
+    Without a forest (no labelled findings of both classes) a candidate scores 1 when a credential's name is assigned it or it has a vendor's form, else 0. Texts of any
     length are scanned whole; a null or empty text has no candidates; a null doc_id stays null; repeated rows repeat theirs; an empty table
     gives no rows; other columns are not read.
     """
     if forest is None:
-        scored = found.withColumn("score", F.col("named").cast("double"))
+        scored = found.withColumn("score", (F.col("named") | F.col("form")).cast("double"))
     else:
         vectors = found.withColumn("features", array_to_vector(F.col("features").cast("array<double>")))
         scored = forest.transform(vectors).withColumn("score", vector_to_array("probability")[1])
@@ -129,8 +156,8 @@ def judge(found: DataFrame, forest: RandomForestClassificationModel | None, thre
 
 def scan(docs: DataFrame, vocabulary: str, labelled: DataFrame | None = None, fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
     """Candidates of ``docs`` judged by a forest that is fitted on ``labelled`` findings (doc_id, at, label), by default ``weak_labels`` of the
-    documents whose id's crc32 mod 5 is not 0. The candidates are written once and read by both passes."""
-    found = saved(candidates(docs, vocabulary), "candidates")
-    if labelled is None:
+    documents whose id's crc32 mod 5 is not 0, whose secrets it also learns bare. The candidates are written once and read by both passes."""
+    found, bare = saved(candidates(docs, vocabulary), "candidates"), labelled is None
+    if bare:
         labelled = weak_labels(found.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    return judge(found, fit_forest(found, labelled, fit_rows), threshold)
+    return judge(found, fit_forest(found, labelled, fit_rows, bare=bare), threshold)

@@ -392,6 +392,36 @@ def test_secrets(docs, empty, spark):
     assert sum(r.secret == (r.label == 1) for r in judged) >= 0.98 * len(judged) and any(r.secret for r in judged)
 
 
+def test_planted_secrets(spark):
+    """Secrets that stand bare are found in documents that the forest is not fitted on; words, paths and numbers not."""
+    rng, rows, where = random.Random(12), [], {}
+    letters, upper = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    kinds = {
+        "hex": (lambda: draw(40, "0123456789abcdef"), 'token = "{}"'),
+        "key id": (lambda: "AKIA" + draw(16, upper), "the id is {} as it was"), "cell": (lambda: "ghp_" + draw(36), "| name | {} |"),
+        "bare": (lambda: draw(36) + "5e", "it is {} today"), "in url": (lambda: "ghp_" + draw(36), "http://a.net/x?q={}"),
+        "word": (lambda: "".join(rng.choice(WORDS) for _ in range(5)), "so {} was"), "path": (lambda: "/".join(rng.choice(("account", "library", "version2", "source", "window")) for _ in range(4)), "in {} lies"),
+        "number": (lambda: draw(16, "0123456789"), "number {} of"),
+    }
+    for i in range(480):
+        kind = list(kinds)[i % len(kinds)]
+        value, form = kinds[kind][0](), kinds[kind][1]
+        text = f"{prose(8, rng)} {form.format(value)} {prose(5, rng)}"
+        rows.append((i, text))
+        where[i] = kind, text.index(value), len(value)
+    flagged = defaultdict(list)
+    for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), vocabulary_path()).where("secret").collect():
+        flagged[r.doc_id].append((r.at, r.at + r.length))
+    hits, all_ = Counter(), Counter()
+    for i, (kind, at, n) in where.items():
+        if zlib.crc32(str(i).encode()) % 5 == 0:
+            all_[kind] += 1
+            hits[kind] += any(a <= at and at + n <= b for a, b in flagged[i])
+    for kind in kinds:
+        assert all_[kind] > 3 and (hits[kind] <= 0.1 * all_[kind] if kind in ("word", "path", "number") else hits[kind] >= 0.8 * all_[kind]), (kind, hits, all_)
+
+
 # Nearest neighbours ---------------------------------------------------------------------------------------------
 
 def test_hilbert_curve_is_a_path():
