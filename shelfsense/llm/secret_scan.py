@@ -27,6 +27,9 @@ _NAMED = re.compile(rb"(?:" + b"|".join(n.encode() for n in NAMES) + rb")[\"']?\
 FORMS = re.compile(rb"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_\-]{20}|"
                    rb"xox[abeoprs]-[A-Za-z0-9\-]{10,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|npm_[A-Za-z0-9]{36}|"
                    rb"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*)")
+# Values of any characters and from 6 on that a credential's name is assigned or that follow the user in a URL.
+_VALUE = re.compile(_NAMED.pattern.removesuffix(rb"[\"']?\Z") + rb"(?:\"(?P<double>[^\"\r\n]{6,})\"|'(?P<single>[^'\r\n]{6,})'|[\"']?(?P<bare>[^\s\"'=][^\s\"']{5,}))"
+                    rb"|://[^\s/:@]*:(?P<url>[^\s/@]{6,}(?:@[^\s/@]+)*)@", re.IGNORECASE)
 _WORD = re.compile(rb"[A-Za-z_]+")
 FEATURES = ("length", "transitions", "transition_share", "entropy", "digits", "upper", "lower", "marks", "hex", "distinct", "longest_letters",
             "longest_digits", "dictionary", "slashes", "dots", "path_before", "name_before", "name_near", "stand_in", "quoted", "assigned")
@@ -76,13 +79,23 @@ def describe(value: bytes, before: bytes, after: bytes, words: frozenset[bytes])
 
 
 def spans(raw: bytes) -> list[tuple[int, int, bool]]:
-    """Start, end and whether a credential's name is assigned it of each candidate, by place."""
-    return [(*m.span(), bool(_NAMED.search(raw, max(0, m.start() - AROUND), m.start()))) for m in CANDIDATE.finditer(raw)]
+    """Start, end and whether a credential's name is assigned it (or a user of a URL goes before) of each candidate, by place: runs of
+    ``CANDIDATE``, and named values, which may lie in such a run or hold several."""
+    found = {m.span(): bool(_NAMED.search(raw, max(0, m.start() - AROUND), m.start())) for m in CANDIDATE.finditer(raw)}
+    at = 0
+    while m := _VALUE.search(raw, at):
+        start, end = m.span(m.lastgroup)
+        if m.lastgroup == "bare":
+            end = start + len(raw[start:end].rstrip(b".,;:)]}>"))
+        if end - start >= 6:
+            found[start, end] = True
+        at = start if end - start <= 512 else end  # a value may hold a name and a value of its own
+    return [(*span, named) for span, named in sorted(found.items())]
 
 
 def candidates(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per candidate of each whole text: doc_id, at (its first byte), length, named (a credential's name is assigned it), form (it has
-    a vendor's known form), features."""
+    a vendor's known form), features. Candidates may overlap."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 

@@ -392,19 +392,26 @@ def test_secrets(docs, empty, spark):
     assert sum(r.secret == (r.label == 1) for r in judged) >= 0.98 * len(judged) and any(r.secret for r in judged)
 
 
+def test_named_values_of_any_characters():
+    text = b'password = "S3cr3t12pass"; pwd: p@ss:w0rd!&%x, see https://bob:hunter2!x@db.example.net/ and "api_key": "a b3 c$"; private=short passwd=\'12345\''
+    found = {text[a:b]: named for a, b, named in secret_scan.spans(text)}
+    assert found == dict.fromkeys((b"S3cr3t12pass", b"p@ss:w0rd!&%x", b"hunter2!x", b"a b3 c$"), True)
+    assert len(secret_scan.spans(b"key=" * 20000)) < 20000
+
+
 def test_planted_secrets(spark):
-    """Secrets that stand bare are found in documents that the forest is not fitted on; words, paths and numbers not."""
+    """Secrets that stand bare and short or odd named ones are found in documents that the forest is not fitted on; words, paths and numbers not."""
     rng, rows, where = random.Random(12), [], {}
     letters, upper = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     draw = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
     kinds = {
-        "hex": (lambda: draw(40, "0123456789abcdef"), 'token = "{}"'),
-        "key id": (lambda: "AKIA" + draw(16, upper), "the id is {} as it was"), "cell": (lambda: "ghp_" + draw(36), "| name | {} |"),
+        "hex": (lambda: draw(40, "0123456789abcdef"), 'token = "{}"'), "short": (lambda: draw(9) + "7x", 'password = "{}"'), "odd": (lambda: f"{draw(5)}!{draw(4)}&9{draw(3)}%", "passwd: {}"),
+        "user": (lambda: draw(9) + "4", "https://bob:{}@db.net/x"), "key id": (lambda: "AKIA" + draw(16, upper), "the id is {} as it was"), "cell": (lambda: "ghp_" + draw(36), "| name | {} |"),
         "bare": (lambda: draw(36) + "5e", "it is {} today"), "in url": (lambda: "ghp_" + draw(36), "http://a.net/x?q={}"),
         "word": (lambda: "".join(rng.choice(WORDS) for _ in range(5)), "so {} was"), "path": (lambda: "/".join(rng.choice(("account", "library", "version2", "source", "window")) for _ in range(4)), "in {} lies"),
         "number": (lambda: draw(16, "0123456789"), "number {} of"),
     }
-    for i in range(480):
+    for i in range(660):
         kind = list(kinds)[i % len(kinds)]
         value, form = kinds[kind][0](), kinds[kind][1]
         text = f"{prose(8, rng)} {form.format(value)} {prose(5, rng)}"
