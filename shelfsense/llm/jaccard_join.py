@@ -371,13 +371,17 @@ def _between_tiles(placed: DataFrame, num: int, den: int, exact: bool = True) ->
 
 def keep_one_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text",
                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs``, all columns, with one row of each component: the one with the smallest doc_id.
+    """``docs``, all columns, with one row of each component: the one with the smallest doc_id, nulls last; of rows that share it one stays.
 
-    Rows without words and rows with a null doc_id stay. Of rows that share the smallest doc_id all stay. Rows whose id the filter of
-    dropped ids does not hold pass straight through; the others meet the dropped ids in a join. Columns may have any names.
+    Rows without words stay. Rows are written once with a number of their own and go by that, so a row stays whose id a dropped row shares.
+    Rows whose number the filter of dropped numbers does not hold pass straight through; the others meet these in a join. Columns may have
+    any names.
     """
-    dropped = saved(jaccard_components(docs, n, num, den, doc_id, text, broadcast_bytes).where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    packed = saved(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "documents")
+    key = F.col("doc").getField(doc_id)
+    keys = packed.select(F.struct(key.isNull().alias("none"), key.alias("id"), "row").alias("doc_id"), F.col("doc").getField(text).alias("text"))
+    later = jaccard_components(keys, n, num, den, broadcast_bytes=broadcast_bytes).where("component_id <> doc_id")
+    dropped = saved(later.select(F.col("doc_id.row").alias("row")), "dropped")
     known = dropped.count()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(doc_id).alias("doc_id"))
-    marked = bloom_hits(packed, F.col("doc_id"), bloom_filter(dropped, F.col("doc_id"), known), known, "_maybe", broadcast_bytes)
-    return marked.where("NOT _maybe").select("doc.*").unionByName(marked.where("_maybe").join(dropped, "doc_id", "left_anti").select("doc.*"))
+    marked = bloom_hits(packed, F.col("row"), bloom_filter(dropped, F.col("row"), known), known, "_maybe", broadcast_bytes)
+    return marked.where("NOT _maybe").select("doc.*").unionByName(marked.where("_maybe").join(dropped, "row", "left_anti").select("doc.*"))

@@ -149,6 +149,15 @@ def test_jaccard_hard_cases(docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0 and jaccard_join.keep_one_each(empty).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows that share an id with a dropped one stay; null ids and repeats of the smallest id go."""
+    rows = [(5, NEAR), (5, "nothing like the other rows here"), (1, BASE), (1, BASE.upper()), (None, NEAR + " end"), (None, "alone without an id at all"), (None, None),
+            (7, "two null ids follow this row now"), (None, "a text of null ids that comes twice"), (None, "a text of null ids that comes twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    left = Counter((r.doc_id, (r.text or "").lower()) for r in jaccard_join.keep_one_each(df).collect())
+    assert left == Counter([rows[1], (1, BASE.lower()), rows[5], (None, ""), rows[7], rows[8]])
+
+
 def test_jaccard_group_over_many_tiles(spark, monkeypatch):
     """A chain and a cluster of near copies that fill several tiles, so that rest and tiles meet."""
     monkeypatch.setattr(jaccard_join, "TILE", 6000)
