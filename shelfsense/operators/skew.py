@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,51 +115,100 @@ def dense_ordinal(df: DataFrame, position: str, out: str) -> DataFrame:
 # Groups of at most SMALL rows are bracketed by their own minimum and maximum.
 ACCURACY = 10_000
 SMALL = 20_000
+# A verified bracket with more rows is cut into so many parts of equal width, of which the one with the rank stays.
+PARTS = 1_024
+# Rounds of cutting; each narrows a bracket by PARTS, so the width of a double is used up well before.
+ROUNDS = 40
+
 
+def _guess(shares: list[float]) -> Column:
+    """Low and high end of a bracket per share, from a sketch; small groups take their whole range."""
+    slack = 2.0 / ACCURACY
+    edges = [e for p in shares for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    sketch = F.percentile_approx("_v", edges, ACCURACY)
+    whole = F.count(F.lit(1)) <= SMALL
+    return F.array(*[F.struct(F.when(whole, F.min("_v")).otherwise(sketch[2 * i]).alias("low"), F.when(whole, F.max("_v")).otherwise(sketch[2 * i + 1]).alias("high"))
+                     for i in range(len(shares))])
 
-def order_statistics(df: DataFrame, keys: list[str], value: str,
-                     ranks: dict[str, tuple[float, Column]]) -> DataFrame:
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, Column]],
+                     guess: Callable[[list[float]], Column] = _guess) -> DataFrame:
     """Exact values at given 0-based ranks per group, one row per group, for groups of any size.
 
     ``ranks`` maps a name to (p, rank): the rank as an expression of ``n``, the group's row count, and the share p
-    it stands for (rank is p * (n - 1) to within one). A sketch brackets each rank to about 4/10,000 of the group;
-    values below the bracket shrink to one count, so the running count that finds the exact value covers only the
-    bracket, and a value costs one row however often it occurs.
+    it stands for (rank is p * (n - 1) to within one). ``guess`` proposes a bracket of values per share. A count of the rows below and inside
+    tells whether the bracket holds its ranks. One that does not is widened to the end of the group on the side where they lie, and what is
+    then too wide is narrowed by histograms of equal width, whose parts are counted too: no bracket is used unverified. Only values inside the
+    brackets are grouped; all others are folded into counts in the task that reads them. Nulls are left out; a NaN counts as the largest value.
     """
     names = list(ranks)
-    slack = 2.0 / ACCURACY
-    edges: list[float] = []
-    for p, _ in ranks.values():
-        edges += [max(0.0, p - slack), min(1.0, p + slack)]
+    shares = sorted({p for p, _ in ranks.values()})
+    at = {name: shares.index(p) for name, (p, _) in ranks.items()}
     valued = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sizes = valued.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, ACCURACY).alias("_edges"),
-    )
-    small = F.col("n") <= SMALL
-    brackets = sizes.select(
-        *keys,
-        F.array(*[
-            F.struct(
-                F.lit(name).alias("name"),
-                ranks[name][1].cast("bigint").alias("rank"),
-                F.when(small, F.col("_min")).otherwise(F.col("_edges")[2 * i]).alias("low"),
-                F.when(small, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]).alias("high"),
-            )
-            for i, name in enumerate(names)
-        ]).alias("_b"),
-    )
-    counted = (
-        valued.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .join(brackets, keys)
-        .select(*keys, "_v", "_c", F.explode("_b").alias("_b"))
-        .where(F.col("_v") <= F.col("_b.high"))
-        .groupBy(*keys, F.col("_b.name").alias("name"), F.col("_b.rank").alias("rank"),
-                 F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v"))
-        .agg(F.sum("_c").alias("_c"))
-    )
-    order = W.partitionBy(*keys, "name").orderBy(F.asc_nulls_first("_v")).rowsBetween(
-        W.unboundedPreceding, W.currentRow
-    )
-    reached = counted.withColumn("_upto", F.sum("_c").over(order)).where(F.col("_upto") > F.col("rank"))
-    return reached.groupBy(*keys).agg(*[F.min(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in names])
+    sizes = valued.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), guess(shares).alias("_b"))
+
+    def span(i: int) -> list[Column]:
+        wanted = [r.cast("bigint") for p, r in ranks.values() if p == shares[i]]
+        return [F.least(*wanted, wanted[0]).alias("first"), F.greatest(*wanted, wanted[0]).alias("last")]
+
+    guessed = sizes.select(*keys, "_min", "_max", F.posexplode(F.arrays_zip(F.col("_b"), F.array(*[F.struct(*span(i)) for i in range(len(shares))]).alias("_r"))).alias("share", "_x")).select(
+        *keys, "_min", "_max", "share", "_x._b.low", "_x._b.high", "_x._r.first", "_x._r.last")
+    brackets = _verified(valued, guessed, keys, len(shares))
+    for _ in range(ROUNDS):
+        wide = (F.col("_rows") > SMALL) & (F.col("low") < F.col("high")) & ~F.isnan("high") & (F.abs("low") != float("inf")) & (F.col("high") != float("inf"))
+        if not brackets.where(wide).limit(1).count():
+            break
+        brackets = _narrowed(valued, brackets, keys, wide)
+    inside = _inside(valued, brackets.select(*keys, "share", "low", "high"), keys)
+    counted = inside.groupBy(*keys, "share", "_v").agg(F.count(F.lit(1)).alias("_c")).join(brackets.select(*keys, "share", "_below"), [*keys, "share"])
+    order = W.partitionBy(*keys, "share").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = counted.withColumn("_upto", F.col("_below") + F.sum("_c").over(order)).join(sizes.select(*keys, "n"), keys)
+    return placed.groupBy(*keys).agg(*[
+        F.min(F.when((F.col("share") == at[k]) & (F.col("_upto") > ranks[k][1].cast("bigint")), F.col("_v"))).alias(k) for k in names])
+
+
+def _inside(valued: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per value and bracket that holds it. The brackets of a group travel as one list, so rows outside all of them end here."""
+    lists = brackets.groupBy(*keys).agg(F.collect_list(F.struct("share", "low", "high")).alias("_b"))
+    held = F.filter("_b", lambda b: (F.col("_v") >= b["low"]) & (F.col("_v") <= b["high"]))
+    return valued.join(lists, keys).select(*keys, "_v", F.explode(held).alias("_b")).select(*keys, "_v", "_b.share", "_b.low", "_b.high")
+
+
+def _counts(valued: DataFrame, brackets: DataFrame, keys: list[str], shares: int) -> DataFrame:
+    """(keys, share, _below, _rows): rows below and inside each bracket, counted before anything is shuffled."""
+    ends = brackets.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("share", F.struct("low", "high")))).alias("_b"))
+    joined = valued.join(ends, keys)
+    wide = joined.groupBy(*keys).agg(*[c for i in range(shares) for c in (
+        F.count_if(F.col("_v") < F.col("_b")[i]["low"]).alias(f"_l{i}"), F.count_if(F.col("_v").between(F.col("_b")[i]["low"], F.col("_b")[i]["high"])).alias(f"_i{i}"))])
+    cells = F.array(*[F.struct(F.lit(i).alias("share"), F.col(f"_l{i}").alias("_below"), F.col(f"_i{i}").alias("_rows")) for i in range(shares)])
+    return wide.select(*keys, F.inline(cells))
+
+
+def _verified(valued: DataFrame, guessed: DataFrame, keys: list[str], shares: int) -> DataFrame:
+    """Brackets that hold their ranks, with the rows below (``_below``) and inside (``_rows``). A bracket that misses is widened to the end of the group
+    on the side of the miss, which holds by construction, and counted again."""
+    counted = guessed.join(_counts(valued, guessed, keys, shares), [*keys, "share"])
+    under, over = F.col("first") < F.col("_below"), F.col("last") >= F.col("_below") + F.col("_rows")
+    widened = counted.select(*keys, "share", "first", "last", F.when(under, F.col("_min")).otherwise(F.col("low")).alias("low"),
+                             F.when(over, F.col("_max")).otherwise(F.col("high")).alias("high"), "_below", "_rows", (under | over).alias("_missed"))
+    if not widened.where("_missed").limit(1).count():
+        return widened.drop("_missed")
+    again = _counts(valued, widened, keys, shares)
+    return widened.drop("_below", "_rows", "_missed").join(again, [*keys, "share"])
+
+
+def _narrowed(valued: DataFrame, brackets: DataFrame, keys: list[str], wide: Column) -> DataFrame:
+    """Wide brackets cut into parts of equal width; the parts from the first rank to the last stay. Part counts merge, so a group costs at most PARTS rows a task."""
+    cut = brackets.where(wide)
+    part = F.least(F.floor((F.col("_v") - F.col("low")) / (F.col("high") / PARTS - F.col("low") / PARTS)), F.lit(PARTS - 1))
+    parts = _inside(valued, cut.select(*keys, "share", "low", "high"), keys).groupBy(*keys, "share", part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    before = W.partitionBy(*keys, "share").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    placed = parts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).join(cut.select(*keys, "share", "first", "last", "_below"), [*keys, "share"])
+    start = F.col("_below") + F.col("_before")
+    kept = placed.where((start <= F.col("last")) & (start + F.col("_c") > F.col("first"))).groupBy(*keys, "share", "first", "last").agg(
+        F.min("_low").alias("low"), F.max("_high").alias("high"), F.min(start).alias("_below"), F.sum("_c").alias("_rows"))
+    columns = [*keys, "share", "first", "last", "low", "high", "_below", "_rows"]
+    out = brackets.where(~wide).select(*columns).unionByName(kept.select(*columns))
+    ensure_checkpoint_dir(valued.sparkSession)
+    return out.checkpoint()

@@ -208,6 +208,11 @@ def _match(q: str) -> str:
 ORACLES["catalog_search"] = f"WITH {_PARTS} SELECT * FROM parts WHERE {_match('BRAND#1_')}"
 ORACLES["catalog_search_count"] = f"WITH {_PARTS} SELECT count(*) AS total FROM parts WHERE {_match('ring')}"
 ORACLES["catalog_page"] = f"WITH {_PARTS} SELECT * FROM parts WHERE {_match('ring')} ORDER BY product_id LIMIT 25 OFFSET 50"
+ORACLES["catalog_lookup"] = f"""WITH {_PARTS} SELECT * FROM parts WHERE product_id IN (SELECT CAST(max(p_partkey) AS VARCHAR) FROM part
+  UNION ALL SELECT CAST(min(p_partkey) AS VARCHAR) FROM part UNION ALL SELECT 'none')"""
+ORACLES["catalog_search_indexed"] = f"WITH {_PARTS} " + " UNION ALL ".join(
+    f"SELECT '{q}' AS query, product_id, product_title FROM parts WHERE {_match(q)}" for q in ("BRAND#1_", "ring", "no such words", "#2"))
+ORACLES["catalog_page_seek"] = f"WITH {_PARTS} SELECT * FROM parts ORDER BY product_id LIMIT 25 OFFSET (SELECT count(*) - 60 FROM part)"
 ORACLES["catalog_product"] = f"WITH {_PARTS} SELECT * FROM parts WHERE product_id = (SELECT CAST(max(p_partkey) AS VARCHAR) FROM part)"
 ORACLES["leading_images"] = """SELECT CAST(p_partkey AS VARCHAR) AS product_id, CASE p_partkey % 6 WHEN 0 THEN 'https://img/' || p_partkey || '.jpg' END AS image_url FROM part"""
 ORACLES["popular_products"] = """SELECT CAST(l_partkey AS VARCHAR) AS product_id, count(*) AS review_count FROM lineitem GROUP BY l_partkey HAVING count(*) >= 20

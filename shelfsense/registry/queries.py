@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,12 @@ from shelfsense.operators import evaluation, features, models, quality, select,
 from shelfsense.operators.bind import with_values
 from shelfsense.operators.dedupe import keep_first
 from shelfsense.operators.sentiment import route_sentiment
-from shelfsense.plans import catalog, chat, clean, groups, index, ingest, insights
+from shelfsense.plans import catalog, chat, clean, groups, index, ingest, insights, search_index
 from shelfsense.plans.testviews import (
     LINE_COLUMNS, doc_meta, doc_reviews, fact_reviews, group_reviews, part_meta, source_records, table, texts,
 )
 from shelfsense.session import scratch_path
-from shelfsense.sources import tables
+from shelfsense.sources import lookup, tables
 from shelfsense.sources.tables import absent_rows
 from shelfsense.streaming import streams
 
@@ -202,6 +203,33 @@ def catalog_product(spark, sf):
     return parts.where(F.col("product_id") == last)
 
 
+@query
+def catalog_lookup(spark, sf):
+    """Three products by id (one of them unknown) from a table laid out for lookups."""
+    root = scratch_path(spark, "lookup")
+    lookup.write_lookup(_parts(spark, sf), root, "product_id")
+    ends = table(spark, sf, "part").agg(F.max("p_partkey").cast("string").alias("a"), F.min("p_partkey").cast("string").alias("b")).first()
+    return lookup.read_keys(spark, root, "product_id", [ends["a"], ends["b"], "none"])
+
+
+@query
+def catalog_search_indexed(spark, sf):
+    """Four searches through the index of letter sequences: with a wildcard, of a common word, without a hit, and one that needs the scan."""
+    root = scratch_path(spark, "search")
+    search_index.build_search_index(_parts(spark, sf), root)
+    found = [search_index.search_indexed(spark, root, q).select(F.lit(q).alias("query"), "product_id", "product_title") for q in ("BRAND#1_", "ring", "no such words", "#2")]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query
+def catalog_page_seek(spark, sf):
+    """The page of 25 products that begins 60 before the end of the catalog, by a seek."""
+    root = scratch_path(spark, "pages")
+    parts = _parts(spark, sf)
+    lookup.write_lookup(parts, root, "product_id")
+    return lookup.read_page(spark, root, "product_id", 25, parts.count() - 60)
+
+
 @query
 def leading_images(spark, sf):
     return part_meta(spark, sf).select("product_id", lists.leading_image(F.col("images")).alias("image_url"))

@@ -46,6 +46,37 @@ def test_order_statistics(spark, monkeypatch, small):
             assert row[name] == values[math.floor((len(values) - 1) * p)]
 
 
+@pytest.mark.parametrize("low, high", [(0.9, 0.95), (0.0, 0.01), (0.4, 0.4)])
+def test_order_statistics_widen_a_bracket_that_misses(spark, monkeypatch, low, high):
+    """Brackets deliberately put elsewhere: counts show the miss, and the exact values still come back."""
+    monkeypatch.setattr(skew, "SMALL", 50)
+    monkeypatch.setattr(skew, "PARTS", 8)
+    rng = random.Random(9)
+    rows = [("a", rng.lognormvariate(0, 3)) for _ in range(3_000)] + [("a", 5.0)] * 500 + [("b", float(i)) for i in range(1_000)] + [("c", 1.0), ("d", None), ("e", float("inf")), ("e", -2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+
+    def bad(shares):
+        ends = F.percentile_approx("_v", [low, high], 10_000)
+        return F.array(*[F.struct(ends[0].alias("low"), ends[1].alias("high")) for _ in shares])
+
+    ps = {"p1": 0.01, "p50": 0.5, "p93": 0.93, "p100": 1.0}
+    out = {r["k"]: r for r in skew.order_statistics(df, ["k"], "v", {k: (p, F.floor((F.col("n") - 1) * p)) for k, p in ps.items()}, bad).collect()}
+    assert set(out) == {"a", "b", "c", "e"}
+    for key, row in out.items():
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        assert {name: row[name] for name in ps} == {name: values[math.floor((len(values) - 1) * p)] for name, p in ps.items()}
+
+
+def test_order_statistics_group_only_what_is_in_a_bracket(spark, monkeypatch):
+    """The rows of the value-wise grouping are those inside the brackets, not all distinct values."""
+    monkeypatch.setattr(skew, "SMALL", 100)
+    df = spark.range(50_000).select(F.lit("a").alias("k"), (F.col("id") * 1.5).alias("_v"))
+    brackets = spark.createDataFrame([("a", 0, 30_000.0, 30_060.0), ("a", 1, 70_000.0, 70_030.0)], "k string, share int, low double, high double")
+    assert skew._inside(df, brackets, ["k"]).count() == 41 + 20
+    counts = {r.share: (r["_below"], r["_rows"]) for r in skew._counts(df, brackets, ["k"], 2).collect()}
+    assert counts == {0: (20_000, 41), 1: (46_667, 20)}
+
+
 def test_latencies(spark):
     rng = random.Random(2)
     values = [rng.random() * 500 for _ in range(101)]
