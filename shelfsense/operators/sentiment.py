@@ -103,5 +103,12 @@ def distribution_columns() -> list:
     return out
 
 
+def distribution_counts() -> list:
+    """The columns of ``distribution_columns`` that add up over parts of a group."""
+    labels = [F.count_if(F.col("sentiment_label") == s).alias(f"{s}_count") for s in SENTIMENTS]
+    sources = [F.count_if(F.col("sentiment_source") == s).alias(f"{s}_source") for s in ("precomputed", "rating", "model")]
+    return [*labels, F.count(F.lit(1)).alias("total"), *sources, F.lit(0).cast("bigint").alias("fallback_source")]
+
+
 def sentiment_distribution(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*distribution_columns())

@@ -109,6 +109,22 @@ def dense_ordinal(df: DataFrame, position: str, out: str) -> DataFrame:
     )
 
 
+def number_in_file_order(scan: DataFrame, keep: Column, out: str) -> DataFrame:
+    """The rows of a file scan that meet ``keep``, numbered 1..n in source order: files by path, rows as they lie in them. No row moves.
+
+    A task reads pieces of files one after the other. Rows that pass the filter get ascending numbers in their task, so within a piece they are a
+    run; the pieces' counts, one row each, are summed in the order of path and place and broadcast back. Both passes read the same pieces, as
+    these follow from the files alone. ``scan`` must come straight from a file source.
+    """
+    piece = scan.where(keep).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                                    F.monotonically_increasing_id().alias("_at"))
+    counts = piece.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_least"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_file", "_block", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))
+    # A row per piece, 128 MB of input each: 100 TB are below a million of them.
+    return piece.join(F.broadcast(starts), ["_file", "_block"]).withColumn(out, F.col("_at") + F.col("_shift") + 1).drop("_file", "_block", "_at", "_shift")
+
+
 # Order statistics -------------------------------------------------------------------------------------
 
 # Rank error of the sketch is 1/ACCURACY of the rows; the bracket around each rank is twice as wide.

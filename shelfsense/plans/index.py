@@ -13,11 +13,13 @@ from shelfsense.operators.skew import dense_ordinal
 from shelfsense.schemas import REVIEWS_INDEX_COLUMNS, column_or, require_columns
 
 
-def build_index(reviews: DataFrame, position: str = "position", strict_images: bool = False, sort: bool = True) -> DataFrame:
+def build_index(reviews: DataFrame, position: str = "position", strict_images: bool = False, sort: bool = True,
+                ordinal: str | None = None) -> DataFrame:
     """Usable reviews, numbered in source order, first of each (product, text, time) kept.
 
     ``position`` is a unique long giving the source order; gaps are fine. An image field holding an empty list counts as
-    an image unless ``strict_images``.
+    an image unless ``strict_images``. ``ordinal`` names a column that numbers the usable rows already (``number_in_file_order``); then no row
+    moves to be numbered.
     """
     require_columns(reviews, ["product_id", "rating", "review_text", position], "reviews")
     none = F.lit(None).cast("string")
@@ -38,10 +40,11 @@ def build_index(reviews: DataFrame, position: str = "position", strict_images: b
             (F.coalesce(bool_column(reviews, "verified_purchase"), F.lit(False)) if "verified_purchase" in reviews.columns else F.lit(False))
             .alias("verified_purchase"),
             has_image.alias("has_review_image"),
+            *([F.col(ordinal).alias("_ordinal")] if ordinal else []),
         )
         .where(F.col("product_id").isNotNull() & (F.col("product_id") != "") & F.col("review_text").isNotNull())
     )
-    numbered = dense_ordinal(usable, "_position", "_ordinal")
+    numbered = usable if ordinal else dense_ordinal(usable, "_position", "_ordinal")
     first = keep_first(numbered, ["product_id", "review_text", "timestamp"], ["_ordinal"])
     out = (
         first.withColumn("review_id", index_review_id(F.col("_ordinal")))

@@ -23,9 +23,10 @@ def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return df.repartition(int(tasks), key) if tasks else df
 
 
-def doc_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as reviews: the source is the product, labels give ratings, some rows carry a label already."""
-    docs, labels = texts(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels")
+def doc_reviews(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents as reviews: the source is the product, labels give ratings, some rows carry a label already. ``docs`` may be given, with
+    columns ``keep`` to carry along."""
+    docs, labels = texts(spark, sf_dir, "documents", "doc_id") if docs is None else docs, table(spark, sf_dir, "labels")
     rating = (
         F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 5.0)
         .when(F.col("quality") == 1, 3.0)
@@ -47,7 +48,7 @@ def doc_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 12 <= 2, (F.col("n_chars") % 150) / 100.0).alias("sentiment_confidence"),
         F.when(F.col("doc_id") % 6 == 0, "[]").when(F.col("doc_id") % 6 == 1, " ")
         .when(F.col("doc_id") % 6 == 2, F.concat(F.lit("http://img/"), F.col("doc_id").cast("string"))).alias("images"),
-        F.col("lang"),
+        F.col("lang"), *keep,
     )
 
 

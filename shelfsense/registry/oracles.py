@@ -142,6 +142,9 @@ prompts AS (SELECT p.product_id, p.sentiment_label, count(*) AS items, string_ag
 
 ORACLES["insight_prompts"] = _DOC_PROMPTS.replace("KK", "3") + " SELECT product_id, sentiment_label, items, prompt FROM prompts"
 
+ORACLES["insight_document_files"] = _DOC_PROMPTS.replace("KK", "2") + """,
+sums AS (SELECT product_id, max(total_reviews) AS total FROM routed GROUP BY product_id)
+SELECT product_id || '.json' AS file_name, product_id, total AS total_available_reviews, 'Source ' || product_id AS product_title FROM sums"""
 ORACLES["insight_payload_fields"] = _DOC_PROMPTS.replace("KK", "2") + """,
 sums AS (SELECT product_id, count(*) AS n, max(total_reviews) AS total FROM routed GROUP BY product_id),
 per AS (SELECT product_id, sentiment_label, count(*) AS c FROM routed GROUP BY ALL)
@@ -225,6 +228,7 @@ firsts AS (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY product_
 ORACLES["reviews_index"] = f"""WITH {_INDEX} SELECT 'rvw_' || ordinal AS review_id, product_id, trim(review_title) AS review_title, md5(body) AS review_text,
   length(body) AS review_char_len, "timestamp", rating, strftime(epoch_ms("timestamp"), '%Y-%m-%d %H:%M:%S') AS review_datetime, helpful_vote, verified_purchase,
   coalesce(trim(images) <> '', false) AS has_review_image FROM firsts"""
+ORACLES["reviews_index_by_file"] = ORACLES["reviews_index"]
 ORACLES["serving_rows"] = f"""WITH {_INDEX} SELECT 'rvw_' || ordinal AS review_id, product_id, coalesce(trim(review_title), '') AS review_title, length(body) AS review_char_len,
   helpful_vote, verified_purchase, coalesce(trim(images) <> '', false) AS has_review_image, rating FROM firsts"""
 
@@ -503,6 +507,10 @@ SELECT conv_id, round(p, 5) AS precision, round(r, 5) AS recall, round(2 * p * r
 
 # Text features -------------------------------------------------------------------------------------------------------------
 
+ORACLES["distinct_counts_merged"] = f"SELECT *, true AS products_near, true AS texts_near, true AS product_langs_near FROM ({ORACLES['distinct_counts']})"
+ORACLES["run_accounting_observed"] = f"""WITH {_CLEANED} SELECT 'raw' AS stage, 'rows' AS name, count(*) AS n FROM documents UNION ALL SELECT 'clean', 'rows', count(*) FROM final
+""" + " ".join(f"UNION ALL SELECT 'clean', '{s}', count(*) FROM final WHERE sentiment_label = '{s}'" for s in _SIDES)
+
 _TERMS = f"""words AS (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents),
 occurrences AS (SELECT doc_id, unnest(w) AS term FROM words UNION ALL
   SELECT doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) FROM words WHERE len(w) > 1),
@@ -525,3 +533,6 @@ ORACLES["stream_insights"] = f"""WITH {_EVENT_REVIEWS}, {_routed()} SELECT produ
 FROM routed GROUP BY product_id"""
 ORACLES["stream_histogram"] = f"""SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, le, count(*) FILTER (value / 100 <= b) AS bucket_count
 FROM events CROSS JOIN (VALUES {_buckets((0.1, 0.5, 1.0, 2.5))}) t(le, b) GROUP BY event_type, day, le, b"""
+ORACLES["stream_totals"] = ORACLES["stream_sentiment"]
+ORACLES["stream_first_by_time"] = """SELECT user_id, event_type, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, CAST(event_id AS VARCHAR)) = 1"""

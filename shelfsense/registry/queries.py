@@ -12,19 +12,22 @@ from shelfsense.functions import lists, similarity
 from shelfsense.functions.ids import file_safe, insight_key, load_review_id, prompt_hash, request_key, review_hash, slug
 from shelfsense.functions.prompts import judge_prompt
 from shelfsense.functions.scoring import training_label
-from shelfsense.functions.text import clean_review_text, model_text, snippet, token_count
-from shelfsense.operators import evaluation, features, models, quality, select, splits, stats
+from shelfsense.functions.text import blank_to_null, clean_review_text, model_text, snippet, token_count
+from shelfsense.operators import evaluation, features, models, quality, select, sketches, splits, stats
 from shelfsense.operators.bind import with_values
 from shelfsense.operators.dedupe import keep_first
-from shelfsense.operators.sentiment import route_sentiment
+from shelfsense.operators.sentiment import distribution_counts, route_sentiment
+from shelfsense.operators.skew import number_in_file_order
 from shelfsense.plans import catalog, chat, clean, groups, index, ingest, insights, search_index
+from shelfsense.plans.accounting import Accounting
 from shelfsense.plans.testviews import (
     LINE_COLUMNS, doc_meta, doc_reviews, fact_reviews, group_reviews, part_meta, source_records, table, texts,
 )
 from shelfsense.session import scratch_path
 from shelfsense.sources import lookup, tables
+from shelfsense.sources.documents import read_documents, write_documents
 from shelfsense.sources.tables import absent_rows
-from shelfsense.streaming import streams
+from shelfsense.streaming import first_seen, streams, totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,6 +112,17 @@ def insight_documents(spark, sf):
     return insights.insight_documents(insights.payloads(doc_reviews(spark, sf), _doc_catalog(spark, sf)))
 
 
+@query
+def insight_document_files(spark, sf):
+    """One JSON file per product, read back."""
+    root = scratch_path(spark, "insight-files")
+    docs = insights.insight_documents(insights.payloads(doc_reviews(spark, sf), _doc_catalog(spark, sf)))
+    write_documents(docs, root)
+    read = read_documents(spark, root)
+    return read.select("file_name", F.get_json_object("document", "$.product_id").alias("product_id"), F.get_json_object("document", "$.total_available_reviews").cast("bigint").alias("total_available_reviews"),
+                       F.get_json_object("document", "$.product_info.product_title").alias("product_title"))
+
+
 def _existing_insights(spark, sf):
     """Insights of two products in three, created when the product's latest review came."""
     created = F.timestamp_seconds(F.floor(F.max("timestamp") / 1000)).cast("timestamp_ntz")
@@ -247,6 +261,16 @@ def reviews_index(spark, sf):
     ).withColumn("review_text", F.md5("review_text")).withColumn("review_char_len", _long("review_char_len"))
 
 
+@query
+def reviews_index_by_file(spark, sf):
+    """The same index, its rows numbered by where they lie in their files."""
+    usable = blank_to_null(F.col("text")).isNotNull() & F.col("source").isNotNull() & (F.col("source") != "")
+    docs = number_in_file_order(table(spark, sf, "documents"), usable, "ordinal")
+    built = index.build_index(doc_reviews(spark, sf, docs, ("ordinal",)), ordinal="ordinal")
+    return built.withColumn("review_datetime", F.date_format("review_datetime", "yyyy-MM-dd HH:mm:ss")).withColumn(
+        "review_text", F.md5("review_text")).withColumn("review_char_len", _long("review_char_len"))
+
+
 @query
 def serving_rows(spark, sf):
     return index.serving_rows(index.build_index(doc_reviews(spark, sf), sort=False)).select(
@@ -606,6 +630,29 @@ def distinct_counts(spark, sf):
     )
 
 
+@query
+def distinct_counts_merged(spark, sf):
+    """Distinct counts over the languages' stored sketches, beside the exact ones they must come near."""
+    reviews = doc_reviews(spark, sf)
+    things = {"products": F.col("product_id"), "texts": F.sha2("review_text", 256), "product_langs": F.when(F.col("product_id").isNotNull() & F.col("lang").isNotNull(), F.struct("product_id", "lang"))}
+    root = scratch_path(spark, "sketches")
+    sketches.distinct_sketches(reviews, ["lang"], things).write.parquet(root)
+    near = sketches.merged_counts(spark.read.parquet(root)).groupBy().pivot("name", list(things)).agg(F.first("estimate")).select(*[F.col(n).alias(f"near_{n}") for n in things])
+    exact = distinct_counts(spark, sf)
+    bound = 3 * sketches.STANDARD_ERROR
+    return exact.join(near).select(*things, *[(F.abs(F.col(f"near_{n}") - F.col(n)) <= F.greatest(F.col(n) * bound, F.lit(1.0))).alias(f"{n}_near") for n in things])
+
+
+@query
+def run_accounting_observed(spark, sf):
+    """Rows before and after cleaning, counted by the write of the cleaned reviews itself."""
+    book = Accounting()
+    raw = book.at(doc_reviews(spark, sf), "raw")
+    labels = {s: F.col("sentiment_label") == s for s in ("positive", "neutral", "negative")}
+    book.at(clean.clean_reviews(raw, sort=False), "clean", **labels).write.parquet(scratch_path(spark, "cleaned"))
+    return spark.createDataFrame(book.rows(), "stage string, name string, n long")
+
+
 @query
 def run_accounting(spark, sf):
     raw = doc_reviews(spark, sf)
@@ -790,6 +837,24 @@ def stream_sentiment(spark, sf):
     return streams.total_distribution(streams.latest(out, ["window_start", "product_id"]), ["product_id"])
 
 
+@query
+def stream_first_by_time(spark, sf):
+    """The earliest event of every user and type by time and id, whatever the order of arrival."""
+    events = _event_stream(spark, sf).select("user_id", "event_type", F.col("event_id").cast("string").alias("event_id"), "ts")
+    first = first_seen.first_by_time(events, ["user_id", "event_type"], "ts", "event_id", "60 days")
+    out = streams.latest(streams.run_available(first, "update"), ["user_id", "event_type"])
+    return out.select("user_id", "event_type", F.col("event_id").cast("bigint").alias("event_id"))
+
+
+@query
+def stream_totals(spark, sf):
+    """Sentiment per user over all time, from the sums of each batch."""
+    root = scratch_path(spark, "totals")
+    routed = route_sentiment(_as_reviews(_event_stream(spark, sf)))
+    totals.keep_totals(routed, ["product_id"], lambda batch: batch.groupBy("product_id").agg(*distribution_counts()), root).awaitTermination()
+    return streams.total_distribution(totals.read_totals(spark, root, ["product_id"]), ["product_id"])
+
+
 @query
 def stream_insights(spark, sf):
     """Insights refreshed for the users each batch touches."""
