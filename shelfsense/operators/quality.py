@@ -25,11 +25,12 @@ def _scored(df: DataFrame, low: Column, high: Column, tokens: Column, weights, b
 
 
 def global_quality(df: DataFrame, tokens: str = "text_len", weights=WEIGHTS,
-                   band=(IDEAL_MIN, IDEAL_MAX, HARD_MAX)) -> DataFrame:
-    """Votes normalised over the whole table; the range is a scalar subquery, rows are not shuffled."""
+                   band=(IDEAL_MIN, IDEAL_MAX, HARD_MAX), range_of: DataFrame | None = None) -> DataFrame:
+    """Votes normalised over the whole table; the range is a scalar subquery, rows are not shuffled. ``range_of`` holds the same rows' votes where
+    that is cheaper to read."""
     require_columns(df, ["helpful_vote", "verified_purchase", tokens])
     votes = vote_log(F.col("helpful_vote"))
-    ends = df.agg(F.struct(F.min(votes).alias("low"), F.max(votes).alias("high")).alias("ends")).scalar()
+    ends = (df if range_of is None else range_of).agg(F.struct(F.min(votes).alias("low"), F.max(votes).alias("high")).alias("ends")).scalar()
     ranged = df.withColumn("_ends", ends)
     scored = _scored(ranged, F.col("_ends.low"), F.col("_ends.high"),
                      F.coalesce(F.col(tokens), F.lit(0)), weights, band)

@@ -11,15 +11,19 @@ from shelfsense.functions.text import null_to_blank
 from shelfsense.operators.quality import global_quality
 from shelfsense.operators.select import diverse_selection, top_n
 from shelfsense.schemas import META_COLUMNS, REVIEW_ITEM, SENTIMENTS, require_columns
+from shelfsense.session import ensure_checkpoint_dir
 
 GROUP = ["product_id", "sentiment_label"]
 
 
-def scored_reviews(clean: DataFrame, weights=WEIGHTS, band=(IDEAL_MIN, IDEAL_MAX, HARD_MAX)) -> DataFrame:
-    """Reviews with text, scored with votes normalised over the whole table."""
+def with_text(clean: DataFrame) -> DataFrame:
     require_columns(clean, ["product_id", "sentiment_label", "text", "helpful_vote", "verified_purchase", "text_len", "rating"])
-    kept = clean.withColumn("text", null_to_blank(F.col("text"))).where(F.col("text") != "")
-    return global_quality(kept, "text_len", weights, band)
+    return clean.withColumn("text", null_to_blank(F.col("text"))).where(F.col("text") != "")
+
+
+def scored_reviews(clean: DataFrame, weights=WEIGHTS, band=(IDEAL_MIN, IDEAL_MAX, HARD_MAX), range_of: DataFrame | None = None) -> DataFrame:
+    """Reviews with text, scored with votes normalised over the whole table."""
+    return global_quality(with_text(clean), "text_len", weights, band, range_of)
 
 
 def group_stats(scored: DataFrame, min_group_size: int = 1, keys=GROUP) -> DataFrame:
@@ -62,11 +66,16 @@ def product_groups(clean: DataFrame, max_reviews: int = 5, min_group_size: int =
 
     Counts, ratios and the mean rating cover only those groups. Per-group numbers are partial aggregates and
     selections are at most ``max_reviews`` rows, so a product of any size becomes a few small rows before it is assembled.
+
+    The texts are scanned twice: once for what range and statistics need, which is kept in the shared folder without them, and once by the ranking,
+    where the best rows of each task alone are shuffled.
     """
-    scored = scored_reviews(clean, weights, band)
-    meta = [c for c in META_COLUMNS if c in scored.columns]
+    meta = [c for c in META_COLUMNS if c in clean.columns]
+    ensure_checkpoint_dir(clean.sparkSession)
+    narrow = with_text(clean).select(*GROUP, "rating", "helpful_vote", *meta).checkpoint()
+    scored = scored_reviews(clean, weights, band, narrow)
     stats = (
-        scored.groupBy(*GROUP)
+        narrow.groupBy(*GROUP)
         .agg(F.count(F.lit(1)).alias("group_size"), F.sum("rating").alias("rating_sum"),
              *[F.max(c).alias(c) for c in meta])
         .where(F.col("group_size") >= min_group_size)

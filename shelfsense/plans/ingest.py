@@ -64,15 +64,33 @@ def products_without_meta(reviews: DataFrame, meta: DataFrame, key: str = "produ
     return product_ids(reviews, key).join(meta.select(key), key, "left_anti")
 
 
+def _order_number(df: DataFrame, first: str) -> Column | None:
+    """A number that ascends with a text column: its six bytes after what all of its values begin with. Values that agree in them tie."""
+    ends = df.agg(F.min(first).alias("low"), F.max(first).alias("high")).first()
+    if ends["low"] is None:
+        return None
+    low, high = ends["low"].encode(), ends["high"].encode()
+    same = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    held = F.rpad(F.hex(F.substring(F.encode(F.col(first), "utf-8"), same + 1, 6)), 12, "0")
+    # Texts shorter than that come before their continuations; nulls before all.
+    return F.coalesce(F.conv(held, 16, 10).cast("bigint"), F.lit(-1))
+
+
 def leading_rows(df: DataFrame, order: list[Column | str], n: int, bins: int = 10_000) -> DataFrame:
-    """The first ``n`` rows in ``order``. Where the first order column is a number, a sketch of it bounds the value that the n-th row
-    can have, and rows beyond it stay in their tasks; the rest ends in one task, so it holds little more than ``n`` rows."""
+    """The first ``n`` rows in ``order``. Where the first order column is a number or a text, a sketch of it bounds the value that the n-th row
+    can have, and rows beyond it stay in their tasks; the rest ends in one task, so it holds little more than ``n`` rows, but for ties."""
     first = order[0] if isinstance(order[0], str) else None
-    if first is not None and isinstance(df.schema[first].dataType, T.NumericType):
-        facts = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(first, [i / 100 for i in range(1, 101)], bins).alias("cuts"), F.count(first).alias("known")).first()
-        if facts["n"] > 2 * n and facts["known"] == facts["n"]:
+    kind = df.schema[first].dataType if first is not None else None
+    value = None
+    if isinstance(kind, T.NumericType):
+        value = F.when(F.col(first).isNotNull(), F.col(first)).otherwise(F.lit(float("-inf")))
+    elif isinstance(kind, T.StringType):
+        value = _order_number(df, first)
+    if value is not None:
+        facts = df.select(value.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", [i / 100 for i in range(1, 101)], bins).alias("cuts")).first()
+        if facts["n"] > 2 * n:
             at = min(99, int(100 * (n / facts["n"] + 2 / bins)) + 1)
-            near = df.where(F.col(first) <= facts["cuts"][at])
+            near = df.where(value <= facts["cuts"][at])
             if near.limit(n).count() >= n:
                 df = near
     return df.orderBy(*order).limit(n)

@@ -314,6 +314,8 @@ ORACLES["phase1_splits"] = f"WITH {_PHASE1} SELECT * FROM parts"
 ORACLES["phase1_folds"] = f"""WITH {_PHASE1} SELECT review_id, sentiment_label, ntile(5) OVER (PARTITION BY sentiment_label ORDER BY md5('42|' || review_id)) AS fold
 FROM parts WHERE split <> 'test'"""
 
+ORACLES["phase1_files"] = f"""WITH {_PHASE1}, folds AS (SELECT sentiment_label, ntile(5) OVER (PARTITION BY sentiment_label ORDER BY md5('42|' || review_id)) AS fold FROM parts WHERE split <> 'test')
+SELECT 'split ' || split AS part, sentiment_label, count(*) AS n FROM parts GROUP BY ALL UNION ALL SELECT 'fold ' || fold, sentiment_label, count(*) FROM folds GROUP BY ALL"""
 ORACLES["split_kfold"] = f"""WITH {DOC_REVIEWS}, {GROUPS} SELECT review_id, sentiment_label,
   ntile(5) OVER (PARTITION BY sentiment_label ORDER BY md5('42|' || review_id)) AS fold FROM group_reviews"""
 
@@ -411,6 +413,7 @@ ranked2 AS (SELECT product_id, row_number() OVER (ORDER BY md5('42|' || product_
 parts AS (SELECT product_id, CASE WHEN r <= ceil(ceil(n * 0.2) * 0.5) THEN 'test' WHEN r <= ceil(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM ranked2)
 SELECT product_id, sentiment, split, md5(prompt) AS user_md5, 'About ' || sentiment || ' reviews.' AS assistant FROM tasks JOIN parts USING (product_id)"""
 
+ORACLES["chat_files"] = f"SELECT split, user_md5, assistant, true AS valid FROM ({ORACLES['chat_splits']})"
 _CONV = f"""conv AS (SELECT conv_id, count(*) AS messages, bool_and(role IS NOT NULL AND coalesce(trim(text, {_STRIP}), '') <> '') AND count(*) >= 2 AS valid,
   trim(arg_max(text, turn) FILTER (role = 'user'), {_STRIP}) AS prompt, trim(arg_max(text, turn) FILTER (role = 'assistant'), {_STRIP}) AS reference_answer
   FROM conversations GROUP BY conv_id)"""
@@ -536,3 +539,4 @@ FROM events CROSS JOIN (VALUES {_buckets((0.1, 0.5, 1.0, 2.5))}) t(le, b) GROUP
 ORACLES["stream_totals"] = ORACLES["stream_sentiment"]
 ORACLES["stream_first_by_time"] = """SELECT user_id, event_type, event_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, CAST(event_id AS VARCHAR)) = 1"""
+ORACLES["stream_insights_by_bucket"] = ORACLES["stream_insights"]

@@ -17,14 +17,15 @@ from shelfsense.operators import evaluation, features, models, quality, select,
 from shelfsense.operators.bind import with_values
 from shelfsense.operators.dedupe import keep_first
 from shelfsense.operators.sentiment import distribution_counts, route_sentiment
-from shelfsense.operators.skew import number_in_file_order
+from shelfsense.operators.skew import join_key_stats, number_in_file_order
 from shelfsense.plans import catalog, chat, clean, groups, index, ingest, insights, search_index
 from shelfsense.plans.accounting import Accounting
 from shelfsense.plans.testviews import (
     LINE_COLUMNS, doc_meta, doc_reviews, fact_reviews, group_reviews, part_meta, source_records, table, texts,
 )
+from shelfsense.schemas import MESSAGES
 from shelfsense.session import scratch_path
-from shelfsense.sources import lookup, tables
+from shelfsense.sources import lookup, readers, tables, writers
 from shelfsense.sources.documents import read_documents, write_documents
 from shelfsense.sources.tables import absent_rows
 from shelfsense.streaming import first_seen, streams, totals
@@ -403,6 +404,44 @@ def phase1_splits(spark, sf):
     return clean.phase1_parts(clean.clean_reviews(doc_reviews(spark, sf), sort=False)).select("review_id", "sentiment_label", "split")
 
 
+@query
+def phase1_files(spark, sf):
+    """Splits and folds written as files and read back: rows of each by name, folds over the train and val folders."""
+    root = scratch_path(spark, "phase1")
+    writers.write_phase1(clean.phase1_parts(clean.clean_reviews(doc_reviews(spark, sf), sort=False)), f"{root}/parts")
+    writers.write_folds(splits.stratified_folds(writers.read_train_val(spark, f"{root}/parts").drop("split")), f"{root}/folds")
+    parts = spark.read.parquet(f"{root}/parts").select(F.concat(F.lit("split "), "split").alias("part"), "sentiment_label")
+    folds = spark.read.parquet(f"{root}/folds").select(F.concat(F.lit("fold "), F.col("fold").cast("string")).alias("part"), "sentiment_label")
+    return parts.unionByName(folds).groupBy("part", "sentiment_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def chat_files(spark, sf):
+    """Chat splits written as JSON lines and read back by their schema, checked and taken apart."""
+    root = scratch_path(spark, "chat")
+    answered = _tasks(spark, sf).withColumn("gold_summary", F.concat(F.lit(" About "), F.col("sentiment"), F.lit(" reviews. ")))
+    writers.write_chat_splits(chat.chat_splits(answered), root)
+    parts = [readers.read_jsonl(spark, f"{root}/split={s}", MESSAGES).withColumn("split", F.lit(s)) for s in ("train", "val", "test")
+             if tables.table_exists(spark, f"{root}/split={s}")]
+    told = chat.prompt_and_reference(chat.validated(reduce(lambda a, b: a.unionByName(b), parts)))
+    return told.select("split", F.md5("prompt").alias("user_md5"), F.col("reference_answer").alias("assistant"), "valid")
+
+
+@query
+def evaluation_record(spark, sf):
+    """The record of a run: generated against reference answers by overlap and alignment, and the judge's means, appended to a metrics file and read back."""
+    pairs = _answer_pairs(spark, sf)
+    told = chat.predictions(pairs, lambda p: " ".join(p.split()[:20]), ["conv_id"]).select(
+        "conv_id", similarity.rouge_l(F.col("reference_answer"), F.col("generated_answer"))["f1"].alias("rouge_f1"), F.length("generated_answer").alias("n_chars"))
+    aligned = soft_align_f1(spark, sf).select("conv_id", F.col("f1").alias("alignment_f1"))
+    n = F.col("n_chars")
+    answer = F.to_json(F.struct(*[(n % (3 + i) + 1).cast("int").alias(f) for i, f in enumerate(evaluation.JUDGE_FIELDS[:3])], *[F.lit(4).alias(f) for f in evaluation.JUDGE_FIELDS[3:]]))
+    scored = evaluation.judge_scores(told.withColumn("answer", answer), "answer")
+    path = scratch_path(spark, "metrics")
+    writers.append_metrics(evaluation.evaluation_record(scored.join(aligned, "conv_id", "left"), "rouge_f1", "alignment_f1"), path)
+    return stats.flatten_metrics(spark.read.json(path)).select("name", _six("value"))
+
+
 @query
 def phase1_folds(spark, sf):
     """Folds over train and val of the cleaned reviews."""
@@ -747,7 +786,10 @@ def soft_align_f1(spark, sf):
     tokens = sides.select("conv_id", "side", F.explode(features.words(F.lower("text"))).alias("token"))
     located = tokens.withColumn("vec_id", F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % count)
     counted = located.groupBy("conv_id", "side", "vec_id").agg(F.count(F.lit(1)).alias("n"))
-    arrays = counted.join(vectors.select("vec_id", "embedding"), "vec_id").groupBy("conv_id").agg(*[
+    # A frequent word is one vector for many rows: its rows are spread, its vector repeated.
+    weighed = counted.groupBy("vec_id").agg(F.count(F.lit(1)).alias("_rows")).join(vectors.select("vec_id", "embedding"), "vec_id")
+    located = join_key_stats(counted, weighed, "vec_id", "_rows", F.struct("conv_id", "side")).drop("_rows")
+    arrays = located.groupBy("conv_id").agg(*[
         F.collect_list(F.when(F.col("side") == s, F.struct("embedding", "n"))).alias(s) for s in ("ref", "cand")
     ])
     scored = arrays.withColumn("soft", similarity.soft_alignment("ref.embedding", "ref.n", "cand.embedding", "cand.n"))
@@ -873,6 +915,26 @@ def stream_insights(spark, sf):
     return tables.read_buckets(spark, f"{root}/table").select("product_id", "payload")
 
 
+@query
+def stream_insights_by_bucket(spark, sf):
+    """Insights from arrivals alone, in four files: reviews and insights lie in 16 buckets, and every batch reads back only those it touches."""
+    root, folder = scratch_path(spark, "refresh"), scratch_path(spark, "arrivals")
+    events = table(spark, sf, "events")
+    events.repartition(4, "event_id").write.parquet(folder)
+
+    def compute(reviews):
+        spread = insights.distribution(insights.routed_reviews(reviews))
+        return spread.select(
+            "product_id", F.lit("v1").alias("model_version"),
+            F.concat_ws("/", *[F.col(f"{s}_count").cast("string") for s in ("positive", "neutral", "negative")]).alias("payload"),
+            F.lit(0).alias("created_at"),
+        )
+
+    arrivals = _as_reviews(streams.stream_files(spark, folder, events.schema, files_per_batch=1))
+    streams.refresh_insights(arrivals, None, compute, root, buckets=16).awaitTermination()
+    return tables.read_buckets(spark, f"{root}/table").select("product_id", "payload")
+
+
 @query
 def stream_histogram(spark, sf):
     """Daily bucket counts per event type."""

@@ -10,9 +10,15 @@ from shelfsense.schemas import SOURCE_META_JSON, SOURCE_REVIEWS_JSON, struct_of
 
 
 def read_jsonl(spark: SparkSession, path, schema: T.StructType, tolerant: bool = False) -> DataFrame:
-    """One object per line. A malformed line fails the job, or is skipped when ``tolerant``."""
-    mode = "DROPMALFORMED" if tolerant else "FAILFAST"
-    return spark.read.schema(schema).option("mode", mode).json(path)
+    """One object per line. A malformed line, or one that is no object, fails the job, or is skipped when ``tolerant``. Blank lines are passed over."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    is_object = F.col("value").rlike(r"^\s*\{")
+    if tolerant:
+        parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField("_broken", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+        return lines.where(is_object).select(parsed.alias("_row")).where("_row._broken IS NULL").select(*[F.col("_row").getField(c).alias(c) for c in schema.names])
+    # A filter of the reader may be checked before the blank lines are gone.
+    checked = F.when(is_object | (F.trim("value") == ""), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("a line that is no JSON object: "), F.substring("value", 1, 100))))
+    return lines.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("_row")).select("_row.*")
 
 
 def read_source_reviews(spark: SparkSession, path) -> DataFrame:

@@ -78,11 +78,31 @@ def write_snapshot(df: DataFrame, root: str, version: int | None = None) -> str:
 
 # Tables laid out by a hash bucket of their key: a write replaces the buckets it touches, the others keep their files.
 
+# Buckets of a table whose maker names no number, and the rows of a bucket that one task writes.
 BUCKETS = 64
+SLICE_ROWS = 5_000_000
 
 
-def bucket_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def create_buckets(spark: SparkSession, root: str, buckets: int) -> int:
+    """Fix the number of buckets of a new table; of one that exists, its number stays. Many buckets keep what a small batch rewrites small."""
+    if buckets < 1:
+        raise ValueError("a table needs a bucket")
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("ignore").json(f"{root}/layout")
+    return table_buckets(spark, root)
+
+
+def table_buckets(spark: SparkSession, root: str) -> int:
+    """The number of buckets the table was made with."""
+    return spark.read.schema("buckets int").json(f"{root}/layout").first()[0] if table_exists(spark, f"{root}/layout") else BUCKETS
+
+
+def touched_buckets(df: DataFrame, root: str, key: str) -> list[int]:
+    """The buckets that the keys of ``df`` fall into, at most all of the table's."""
+    return sorted(r[0] for r in df.select(bucket_of(key, table_buckets(df.sparkSession, root))).distinct().collect())
 
 
 def current_buckets(spark: SparkSession, root: str, before: int | None = None) -> dict[int, str]:
@@ -104,10 +124,27 @@ def read_buckets(spark: SparkSession, root: str, buckets: list[int] | None = Non
     return spark.read.parquet(*paths) if paths else None
 
 
-def write_buckets(df: DataFrame, root: str, key: str, version: int) -> str:
-    """All rows of the buckets that occur in ``df``, as a new version of just these. The same version again replaces itself."""
+def read_versions(spark: SparkSession, root: str, buckets: list[int], upto: int) -> DataFrame | None:
+    """The rows of the named buckets in all versions up to ``upto``, for tables to which every version adds."""
+    paths, wanted = [], {f"_bucket={b}" for b in buckets}
+    for path in snapshots(spark, root):
+        if path <= _snapshot_path(root, upto):
+            fs, where = _files(spark, path)
+            paths += [f"{path}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(where)) if n in wanted]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def write_buckets(df: DataFrame, root: str, key: str, version: int, slices: int = 1) -> str:
+    """All rows of the buckets that occur in ``df``, as a new version of just these. The same version again replaces itself. ``slices`` deals each
+    bucket over so many tasks and files by a second hash of the whole row, so a bucket of any size, or of one hot key, is no single task's."""
     path = _snapshot_path(root, version)
-    df.withColumn("_bucket", bucket_of(key)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+    spread = df.withColumn("_bucket", bucket_of(key, table_buckets(df.sparkSession, root)))
+    if slices > 1:
+        dealt = spread.withColumn("_slice", F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))), F.lit(slices)))
+        spread = dealt.repartition("_bucket", "_slice").drop("_slice")
+    else:
+        spread = spread.repartition("_bucket")
+    spread.write.mode("overwrite").partitionBy("_bucket").parquet(path)
     return path
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +47,13 @@ def write_splits(df: DataFrame, path: str, column: str = "split", fmt: str = "pa
 
 
 def write_phase1(parts: DataFrame, path: str) -> None:
-    """``split=train``, ``val`` and ``test``, and beside them ``train_val`` with the rows of the first two."""
+    """``split=train``, ``val`` and ``test``, written once; train_val is the first two folders (``read_train_val``)."""
     write_splits(parts, path)
-    parts.where("split IN ('train', 'val')").write.mode("overwrite").parquet(f"{path.rstrip('/')}-train_val")
+
+
+def read_train_val(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of train and val, as the folds take them: only their two folders are read."""
+    return spark.read.parquet(path).where("split IN ('train', 'val')")
 
 
 def write_folds(df: DataFrame, path: str) -> None:

@@ -15,7 +15,7 @@ from shelfsense.operators.stats import histogram
 from shelfsense.plans.insights import upsert
 from shelfsense.plans.ingest import typed_reviews
 from shelfsense.session import scratch_path
-from shelfsense.sources.tables import bucket_of, drop_superseded, read_buckets, write_buckets
+from shelfsense.sources.tables import create_buckets, drop_superseded, read_buckets, read_versions, touched_buckets, write_buckets
 
 
 def stream_files(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet", pattern: str | None = None,
@@ -87,21 +87,33 @@ def latest(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "batch")
 
 
-def refresh_insights(arrivals: DataFrame, all_reviews: Callable[[], DataFrame], compute: Callable[[DataFrame], DataFrame],
-                     root: str, key: str = "product_id") -> StreamingQuery:
+def refresh_insights(arrivals: DataFrame, all_reviews: Callable[[], DataFrame] | None, compute: Callable[[DataFrame], DataFrame],
+                     root: str, key: str = "product_id", buckets: int | None = None, slices: int = 1) -> StreamingQuery:
     """Recompute insights of the products each batch touches and upsert them into a table laid out by bucket (``read_buckets``).
 
-    ``all_reviews`` gives the current review table, ``compute`` turns reviews into rows with product, version, payload
-    and creation time. A batch reads and replaces only the buckets its products fall into, and merges into the newest version of them before its own number,
-    so running it again gives the same. The last few versions are kept.
+    ``compute`` turns reviews into rows with product, version, payload and creation time. ``all_reviews`` gives the current review table; without it, arrivals
+    are whole reviews that every batch adds to ``root/reviews``, laid out by the same buckets, and a batch reads back only the buckets its
+    products fall into. It replaces only these buckets of ``root/table``, and merges into the newest version of them before its own number, so
+    running it again gives the same. ``buckets`` fixes the number for new tables. The last few versions of the insights are kept.
     """
+    if buckets is not None:
+        create_buckets(arrivals.sparkSession, f"{root}/table", buckets)
+        create_buckets(arrivals.sparkSession, f"{root}/reviews", buckets)
+
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select(key).distinct()
-        fresh = compute(all_reviews().join(touched, key, "left_semi"))
-        buckets = [r[0] for r in touched.select(bucket_of(key)).distinct().collect()]  # at most BUCKETS
-        held = read_buckets(spark, f"{root}/table", buckets, number)
-        write_buckets(upsert(held, fresh) if held is not None else fresh, f"{root}/table", key, number)
+        touched = batch.select(key).where(F.col(key).isNotNull()).distinct()
+        named = touched_buckets(touched, f"{root}/table", key)
+        if all_reviews is None:
+            write_buckets(batch, f"{root}/reviews", key, number, slices)
+            reviews = read_versions(spark, f"{root}/reviews", named, number)
+        else:
+            reviews = all_reviews()
+        if not named:
+            return
+        fresh = compute(reviews.join(touched, key, "left_semi"))
+        held = read_buckets(spark, f"{root}/table", named, number)
+        write_buckets(upsert(held, fresh) if held is not None else fresh, f"{root}/table", key, number, slices)
         drop_superseded(spark, f"{root}/table")
 
     return (
