@@ -103,7 +103,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
 
     Candidates are all rows with another id; nearness is the inner product of the original vectors in double precision, nearest first,
     ties to the smaller id; with fewer candidates all are returned. Rows with a null id, a vector that is not ``usable``, or one of
-    another length than the longest take no part. A row that repeats id and vector counts once. An empty table gives no rows; other
+    another length than the most frequent (of equally frequent ones the shortest) take no part. A row that repeats id and vector counts once. An empty table gives no rows; other
     columns are not read. Of equal vectors the k+1 smallest ids are placed in the orderings, since no answer can hold a later one,
     and equal queries are searched once.
 
@@ -124,8 +124,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
                                              ["vec_id", "is_query", "vec", "norm"])
 
     rows = saved(base.mapInArrow(pack, "vec_id long, is_query boolean, vec binary, norm double"), "vectors")
-    facts = rows.agg(F.max(F.octet_length("vec")).alias("bytes")).first()
-    if facts["bytes"] is None:
+    facts = rows.groupBy(F.octet_length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bytes").first()
+    if facts is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.octet_length("vec") == facts["bytes"])
     width = facts["bytes"] // np.dtype(kind).itemsize

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from compare import difference, duck
 from conftest import SF
-from shelfsense.llm import hard_negatives, html_text, lexical_search
+from shelfsense.llm import hard_negatives, hilbert_ann, html_text, lexical_search
 from shelfsense.llm.queries import ORACLES, QUERIES
 
 RNG = random.Random(11)
@@ -112,6 +112,15 @@ def test_visit_is_in_falling_order_and_complete():
     assert list(index.visit(q, 0, 3, -inf, inf)) + list(index.visit(q, 3, 99, -inf, inf)) == order
 
 
+@pytest.mark.parametrize("odd", [4, 1])
+def test_nearest_of_an_odd_length_takes_no_part(spark, odd):
+    """One vector of another length, longer or shorter, changes nothing for the others."""
+    rows = [(i, [float(i), 1.0, 2.0]) for i in range(40)]
+    alone = hilbert_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    mixed = hilbert_ann.nearest(spark.createDataFrame([*rows, (60, [1.0] * odd)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    assert tuples(mixed) == tuples(alone) and sum(tuples(alone).values()) == 40
+
+
 # Lexical search ---------------------------------------------------------------------------------------
 
 def brute_search(docs, items, k=20):
