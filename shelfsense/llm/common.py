@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,9 +59,38 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     (df if rows is None else df.coalesce(1 + rows // TASK_ROWS)).write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Folders of the tables saved in each open scope, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are saved inside go at the end, but for those that ``keep`` was given right after they were saved: they belong to the scope around it, or to
+    the caller. What reads a table that goes must have been written by then."""
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(_scopes[-1][-1])
+        return table
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        made = _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(kept)
+        for path in made:
+            if path not in kept:
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, total: int, how: str = "inner",
                 share: int = 2_000, salts: int = 64) -> DataFrame:
     """Join many ``rows`` with one row per key of ``groups``, where ``size`` counts the key's rows.

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import BROADCAST_BYTES, bloom_filter, bloom_hits, bloom_place, map_texts, salted_join, saved, slices
+from shelfsense.llm.common import BROADCAST_BYTES, bloom_filter, bloom_hits, bloom_place, map_texts, salted_join, saved, scratch, slices
 
 
 def _digests(texts: list[bytes]) -> dict:
@@ -55,7 +55,8 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     Rows whose id the filter of repeated groups does not hold, nearly all, pass straight through; only the others carry their
     text through a shuffle and are compared by hash. Of rows that share text and doc_id one stays. Columns may have any names.
     """
-    groups = saved(exact_duplicates(docs, doc_id, text, broadcast_bytes).where("group_size > 1"), "repeated")
+    with scratch(docs.sparkSession) as keep:
+        groups = keep(saved(exact_duplicates(docs, doc_id, text, broadcast_bytes).where("group_size > 1"), "repeated"))
     total = groups.count()
     ids = bloom_filter(groups.where("doc_id IS NOT NULL"), F.col("doc_id"), total)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(doc_id).alias("id"))

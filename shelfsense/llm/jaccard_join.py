@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import BROADCAST_BYTES, bloom_filter, bloom_hits, components, lookup, map_texts, running_total, salted_join, saved, slices
+from shelfsense.llm.common import BROADCAST_BYTES, bloom_filter, bloom_hits, components, lookup, map_texts, running_total, salted_join, saved, scratch, slices
 
 # Size bands grow by this factor.
 BAND = 1.5
@@ -380,8 +380,9 @@ def keep_one_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_
     packed = saved(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "documents")
     key = F.col("doc").getField(doc_id)
     keys = packed.select(F.struct(key.isNull().alias("none"), key.alias("id"), "row").alias("doc_id"), F.col("doc").getField(text).alias("text"))
-    later = jaccard_components(keys, n, num, den, broadcast_bytes=broadcast_bytes).where("component_id <> doc_id")
-    dropped = saved(later.select(F.col("doc_id.row").alias("row")), "dropped")
+    with scratch(docs.sparkSession) as keep:
+        later = jaccard_components(keys, n, num, den, broadcast_bytes=broadcast_bytes).where("component_id <> doc_id")
+        dropped = keep(saved(later.select(F.col("doc_id.row").alias("row")), "dropped"))
     known = dropped.count()
     marked = bloom_hits(packed, F.col("row"), bloom_filter(dropped, F.col("row"), known), known, "_maybe", broadcast_bytes)
     return marked.where("NOT _maybe").select("doc.*").unionByName(marked.where("_maybe").join(dropped, "row", "left_anti").select("doc.*"))
