@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsense.llm.common import BROADCAST_BYTES, map_texts, running_total, salted_join, saved, slices
+from shelfsense.llm.common import BROADCAST_BYTES, map_texts, running_total, salted_join, saved, scratch, slices
 
 WEIGHTS = (1, 2, 3)
 # A source is used at most so many times.
@@ -175,20 +175,22 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repea
     label = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("label")
     plan = saved(source_plan(sizes, weights, repeats, block_words), "plan").withColumnRenamed("source", source).where("quota > 0").select(
         label, "idx", "blocks", "quota", "docs")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(doc_id).alias("id"), label)
-    full = T.StructType([*packed.schema, T.StructField("size", T.LongType())])
+    # Rows are written once with a number of their own; places in the source are found without the texts, which move once, to their draw.
+    packed = saved(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(doc_id).alias("id"), label, F.monotonically_increasing_id().alias("row")), "documents")
 
     def sized(batches):
         for part in slices(batches):
-            texts = part.column(0).field(at_text).to_pylist()
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len((t or "").encode().split()) for t in texts], pa.int64())], full.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(t.split()) for t in part.column(3).to_pylist()], pa.int64())], ["id", "label", "row", "size"])
 
-    placed = running_total(packed.mapInArrow(sized, full).withColumn("row", F.monotonically_increasing_id()), ["id", "row"], "size", "start", ["label"])
-    drawn = placed.where("size > 0")
+    texts = packed.select("id", "label", "row", F.coalesce(F.col("doc").getField(text), F.lit("")).cast("binary").alias("text"))
+    narrow = texts.mapInArrow(sized, f"id {docs.schema[doc_id].dataType.simpleString()}, label string, row long, size long").where("size > 0")
+    with scratch(docs.sparkSession) as keep:
+        placed = keep(saved(running_total(narrow, ["id", "row"], "size", "start", ["label"]), "places"))
     if plan.count() * 200 <= BROADCAST_BYTES:
-        drawn = drawn.join(F.broadcast(plan.drop("docs")), "label")
+        drawn = placed.join(F.broadcast(plan.drop("docs")), "label")
     else:
-        drawn = salted_join(drawn, plan, "label", "docs", F.col("row"), sizes.count())
+        drawn = salted_join(placed, plan, "label", "docs", F.col("row"), sizes.count())
+    drawn = drawn.drop("label", "id").join(packed.select("row", "doc"), "row")
 
     def run(batches):
         for part in slices(batches):
