@@ -50,7 +50,7 @@ def _ranked(suffixes: DataFrame, keys: list[str], total: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text",
                    broadcast_bytes: int = BROADCAST_BYTES, whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, removed (ascending numbers from 0 of the lines that are later copies), runs (how
-    many maximal runs they make).
+    many stretches of neighbouring lines with words they make; maximal runs that touch or overlap are one stretch).
 
     Lines are compared without white space at their ends; lines without words are passed over and never removed. A line is removed when
     it lies in a run of lines with at least ``min_words`` words together that occurs earlier, in the order of doc_id (null first), row
@@ -101,7 +101,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
     marked = later.select("row", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("run") - 1)).alias("seq")).distinct()
     by_row = marked.groupBy("row").agg(F.array_sort(F.collect_list("seq")).alias("_seqs"))
     seqs = F.coalesce("_seqs", F.array().cast("array<int>"))
-    starts = F.filter(seqs, lambda x: ~F.array_contains(seqs, x - 1))
+    starts = F.filter(seqs, lambda x, i: (i == 0) | (F.get(seqs, i - 1) < x - 1))
     return scanned.select("doc_id", "row", "n_lines", "at").join(by_row, "row", "left").select(
         "doc_id", "n_lines", F.transform(seqs, lambda x: F.get("at", x)).alias("removed"), F.size(starts).alias("runs"))
 
