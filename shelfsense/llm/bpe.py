@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import map_texts
+from shelfsense.llm.common import REMEMBERED_BYTES, map_texts
 
 # Fixed value: how the vocabulary's byte-level pre-tokenizer splits text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,6 +102,8 @@ class Remembered(dict):
         self.make, self.old = make, {}
 
     def __missing__(self, key: str):
+        if len(key) > REMEMBERED_BYTES:
+            return self.make(key)
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()

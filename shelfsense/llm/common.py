@@ -15,6 +15,8 @@ from shelfsense.session import shared_dir
 
 # Rows of one Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
+# Longer words and pieces are not remembered by the workers' caches, whose entries are counted and so bounded in bytes too.
+REMEMBERED_BYTES = 64
 # What an explicitly broadcast side may take, computed from its row count before it is broadcast.
 BROADCAST_BYTES = 64 << 20
 

@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import BROADCAST_BYTES, bloom_filter, bloom_hits, components, lookup, map_texts, running_total, salted_join, saved, scratch, slices
+from shelfsense.llm.common import (BROADCAST_BYTES, REMEMBERED_BYTES, bloom_filter, bloom_hits, components, lookup, map_texts, running_total, salted_join, saved, scratch,
+                                   slices)
 
 # Size bands grow by this factor.
 BAND = 1.5
@@ -28,9 +29,11 @@ class Words(dict):
     """Word to 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = code = xxhash.xxh3_64_intdigest(word)
+        code = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = code
         return code
 
 
