@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import map_texts, slices
+from shelfsense.llm.common import REMEMBERED_BYTES, map_texts, slices
 
 # Buckets for words and for word shapes; statistics follow them in the feature space.
 WORDS = 1 << 13
@@ -33,9 +33,11 @@ def _word_code(word: bytes) -> int:
 
 class Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = code = _word_code(word)
+        code = _word_code(word)
+        if len(word) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = code
         return code
 
 
@@ -121,21 +123,27 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> Machine:
     """Fit on at most ``fit_rows`` labelled documents outside the held-out fold (crc32 of the id as text, mod 5, is 0).
 
-    Rows with a null id or label are left out; a document labelled twice counts once. Only the text gives features.
+    Rows with a null id or label are left out; a document labelled twice counts once; of rows that share an id one is learned, that with the
+    smallest hash of its text. Only the text gives features.
     """
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out_fold()).groupBy("doc_id").agg(F.max(label).alias("_label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("_hash", F.xxhash64("text"))
+    one = texts.select("doc_id", "_hash").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("_hash").alias("_hash"))
+    texts = texts.join(F.broadcast(one), ["doc_id", "_hash"]).select("doc_id", "text", "_label")
 
     def run(batches):
-        words = Words()
+        words, seen = Words(), set()
         for part in slices(batches):
+            ids = part.column("doc_id").to_pylist()
+            new = [i for i, x in enumerate(ids) if x not in seen and not seen.add(x)]
+            part = part.take(pa.array(new, pa.int64()))
             found = [features(t, words) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_label").cast(pa.int32()), pa.array([a.astype(np.int32).tobytes() for a, _ in found]),
                                               pa.array([x.astype(np.float32).tobytes() for _, x in found])], ["doc_id", "label", "at", "x"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(run, f"doc_id {id_type}, label int, at binary, x binary").toArrow().sort_by("doc_id")
+    found = texts.mapInArrow(run, f"doc_id {id_type}, label int, at binary, x binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32).astype(np.float64)) for a, x in zip(found["at"].to_pylist(), found["x"].to_pylist())]
     return fit(rows, found["label"].to_numpy().astype(np.float64))
 

@@ -116,6 +116,14 @@ def test_cache_generations(monkeypatch):
     assert [cache[k] for k in "abcda"] == [1] * 5 and len(seen) == 4 and len(cache) <= 3
 
 
+def test_caches_do_not_keep_long_words():
+    long = "x" * (common.REMEMBERED_BYTES + 1)
+    pieces = bpe.Remembered(len)
+    assert pieces[long] == len(long) and pieces["short"] == 5 and list(pieces) == ["short"]
+    for words in (jaccard_join.Words(), factor_machine.Words()):
+        assert words[long.encode()] == words[long.encode()] != words[b"short"] and list(words) == [b"short"]
+
+
 # Jaccard join -------------------------------------------------------------------------------------------
 
 def brute_components(rows, n, num, den):
@@ -272,6 +280,14 @@ def test_whole_runs(spark, empty):
     assert short in cut[1].split("\n") and short not in cut[2].split("\n")
 
 
+def test_stretches_of_removed_lines(spark):
+    """Two copied passages apart are two stretches; passages of different texts that follow each other are one."""
+    a, b = [f"{LINE} {i} {j}" for i in (1,) for j in range(3)], [f"{LINE} {i} {j}" for i in (2,) for j in range(2)]
+    texts = ["\n".join(a), "\n".join(b), "\n".join([*a, "new", *b]), "\n".join([*a, *b])]
+    rows = line_dedup.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), whole=True).collect()
+    assert {r.doc_id: (r.removed, r.runs) for r in rows} == {0: ([], 0), 1: ([], 0), 2: ([0, 1, 2, 4, 5], 2), 3: ([0, 1, 2, 3, 4], 1)}
+
+
 def test_lines_are_cut(docs):
     cut = line_dedup.drop_repeated_lines(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
@@ -357,6 +373,19 @@ def test_quality_on_hard_cases(spark, docs, empty):
     assert factor_machine.quality_scores(empty, nothing).count() == 0 and factor_machine.keep_quality(docs, nothing).count() == len(ROWS)
 
 
+def test_fit_takes_one_row_of_an_id(spark, monkeypatch):
+    """Many rows of one chosen id, of different and of equal texts, give one row to the driver; it is the same in any order of rows."""
+    fitted = []
+    monkeypatch.setattr(factor_machine, "fit", lambda rows, labels: fitted.append((rows, labels)))
+    texts = [prose(5) for _ in range(50)] * 4 + [None]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for order in (texts, texts[::-1]):
+        factor_machine.fit_quality(spark.createDataFrame([(1, t) for t in order], "doc_id long, text string").repartition(4), labels, fit_rows=1)
+    (one, first), (two, second) = fitted
+    assert len(one) == len(two) == 1 and list(first) == list(second) == [1]
+    assert (one[0][0] == two[0][0]).all() and (one[0][1] == two[0][1]).all()
+
+
 def test_quality_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
