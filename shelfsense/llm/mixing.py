@@ -8,11 +8,10 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsense.llm.common import BROADCAST_BYTES, map_texts, running_total, salted_join, saved, scratch, slices
+from shelfsense.llm.common import fresh, map_texts, running_total, salted_join, saved, scratch, slices
 
 WEIGHTS = (1, 2, 3)
 # A source is used at most so many times.
@@ -21,6 +20,8 @@ BLOCK_WORDS = 128
 SHARD_BLOCKS = 4_096
 # Shards are drawn in two steps of at most about so many each.
 TIER_SHARDS = 1_024
+# Slots that one task expands, as long as there are enough tasks.
+TASK_SLOTS = 50_000
 SEED = 20
 
 
@@ -58,10 +59,11 @@ def permute(at: np.ndarray, n: int, seed: int, source: int, epoch: int, back: bo
 
 # Plan of the sources ----------------------------------------------------------------------------------
 
-def count_words(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """doc_id, source, size (words of the whole text) and row, a number that no other row has."""
-    sized = map_texts(docs, doc_id, text, "size long", lambda: lambda texts: {"size": [len(t.split()) for t in texts]}, {"source": source})
-    return saved(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
+def count_words(docs: DataFrame, doc_id: str, text: str, source: str, row: str | None = None) -> DataFrame:
+    """doc_id, source, size (words of the whole text) and row, a number that no other row has: the given column, or a new one."""
+    sized = map_texts(docs, doc_id, text, "size long", lambda: lambda texts: {"size": [len(t.split()) for t in texts]},
+                      {"source": source} | ({"row": row} if row else {}))
+    return saved(sized if row else sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
 
 
 def source_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -123,8 +125,8 @@ def draw_slots(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SE
     if tiers > 1:
         first = _spread(first, tiers, seed, "place")
     counts = saved(_spread(first, -(-shards // tiers), seed, "shard"), "shards")
-    before = W.partitionBy("idx").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan.select("idx", "blocks"), "idx")
+    starts = running_total(counts, ["shard"], "n", "start", ["idx"]).join(plan.select("idx", "blocks"), "idx")
+    tasks = min(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + quota // TASK_SLOTS)
 
     def run(batches):
         for part in slices(batches, 16):
@@ -135,98 +137,86 @@ def draw_slots(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SE
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, idx)), pa.array(np.full(n, shard)), pa.array(slots), pa.array(taken)],
                                                  ["idx", "shard", "slot", "block"])
 
-    return starts.select("idx", "shard", "n", "start", "blocks").mapInArrow(run, "idx long, shard long, slot long, block long")
+    return starts.select("idx", "shard", "n", "start", "blocks").repartition(tasks, "idx", "shard").mapInArrow(run, "idx long, shard long, slot long, block long")
+
+
+def drawn_words(sizes: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """What each drawn slot takes of each document: row, doc_id, source, size, source_size, target, idx, shard, slot, low, high (the words from
+    ``low`` to before ``high`` of the document). A document keeps one row for each of its blocks that no slot takes, with a null slot.
+
+    The words of a source, in the order of doc_id (null first) and row, are cut into blocks; blocks meet the drawn slots in a join on
+    source and block. A block has at most as many documents as words, and as many slots as rounds.
+    """
+    label = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
+    named = salted_join(sizes.withColumn("label", label).drop("source"), plan.withColumn("label", label), "label", "docs", F.col("row"), sizes.count())
+    placed = running_total(named.select("doc_id", "row", "source", "idx", "size", "source_size", "target"), ["doc_id", "row"], "size", "start", ["idx"])
+    end = F.col("start") + F.col("size")
+    spans = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words)))))
+    low, high = F.greatest(F.col("start"), F.col("block") * block_words), F.least(end, (F.col("block") + 1) * block_words)
+    spans = spans.withColumn("low", low - F.col("start")).withColumn("high", high - F.col("start")).drop("start")
+    return spans.join(draw_slots(plan, shard_blocks, seed), ["idx", "block"], "left").drop("block")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS,
         shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken (words of it that the mix takes, repeats counted).
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken (words of it that the drawn slots take).
 
-    The words of a source, in the order of doc_id (null first), are cut into blocks of ``block_words``; drawn blocks meet the
-    documents that fill them in a join on source and block. A null text has no words; null is a source of its own, placed last;
-    repeated rows count as often as they occur; an empty table gives no rows; other columns are not read.
+    A null text has no words; null is a source of its own, placed last; repeated rows count as often as they occur; an empty table gives
+    no rows; other columns are not read.
     """
     sizes = count_words(docs, doc_id, text, source)
     plan = saved(source_plan(sizes, weights, repeats, block_words), "plan")
-    total = sizes.count()
-    label = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
-    named = salted_join(sizes.withColumn("label", label).drop("source"), plan.withColumn("label", label), "label", "docs", F.col("row"), total)
-    placed = running_total(named.select("doc_id", "row", "source", "idx", "size", "source_size", "target"), ["doc_id", "row"], "size", "start", ["idx"])
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    spans = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    drawn = draw_slots(plan, shard_blocks, seed).groupBy("idx", "block").agg(F.count(F.lit(1)).alias("times"))
-    return (spans.withColumn("words", words).join(drawn, ["idx", "block"], "left")
-            .groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
-            .drop("row"))
-
-
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS,
-                    seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
-    """The documents of the mix, with all columns of ``docs``: a row for each round that takes words of a document.
-
-    A round that takes all blocks of a source gives its documents unchanged; the last one gives the part of each document that
-    lies in the blocks taken, gaps closed by a line break, and its length in ``n_chars`` where there is such a column. A block is
-    taken in that round when the inverse permutation sends it below the number of blocks still wanted, so documents need no
-    join with the slots. A document without words, or with none taken, is not in the mix.
+    words = F.when(F.col("slot").isNotNull(), F.col("high") - F.col("low"))
+    return (drawn_words(sizes, plan, block_words, shard_blocks, seed).groupBy("row", "doc_id", "source", "size", "source_size", "target")
+            .agg(F.coalesce(F.sum(words), F.lit(0)).alias("taken")).drop("row"))
+
+
+def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS,
+                 shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+                 n_chars: str = "n_chars", shard: str = "shard", slot: str = "slot") -> DataFrame:
+    """The output shards: all columns of ``docs``, then ``shard`` and ``slot`` (under other names where ``docs`` has such columns).
+
+    A row is the part of a document that lies in the block which a slot of a shard takes, with its length in ``n_chars`` where there is
+    such a column; what a slot takes of several documents are several rows. Slots are numbered by source. A document without words, or
+    with none taken, has no row. Places and slots are found without the texts, which then move once.
     """
     columns, at_text = docs.columns, docs.columns.index(text)
-    sizes = count_words(docs, doc_id, text, source)
-    label = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("label")
-    plan = saved(source_plan(sizes, weights, repeats, block_words), "plan").withColumnRenamed("source", source).where("quota > 0").select(
-        label, "idx", "blocks", "quota", "docs")
-    # Rows are written once with a number of their own; places in the source are found without the texts, which move once, to their draw.
-    packed = saved(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(doc_id).alias("id"), label, F.monotonically_increasing_id().alias("row")), "documents")
-
-    def sized(batches):
-        for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(t.split()) for t in part.column(3).to_pylist()], pa.int64())], ["id", "label", "row", "size"])
-
-    texts = packed.select("id", "label", "row", F.coalesce(F.col("doc").getField(text), F.lit("")).cast("binary").alias("text"))
-    narrow = texts.mapInArrow(sized, f"id {docs.schema[doc_id].dataType.simpleString()}, label string, row long, size long").where("size > 0")
+    packed = saved(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "documents")
     with scratch(docs.sparkSession) as keep:
-        placed = keep(saved(running_total(narrow, ["id", "row"], "size", "start", ["label"]), "places"))
-    if plan.count() * 200 <= BROADCAST_BYTES:
-        drawn = placed.join(F.broadcast(plan.drop("docs")), "label")
-    else:
-        drawn = salted_join(placed, plan, "label", "docs", F.col("row"), sizes.count())
-    drawn = drawn.drop("label", "id").join(packed.select("row", "doc"), "row")
+        fields = packed.select(*[F.col("doc").getField(c).alias(name) for c, name in ((doc_id, "doc_id"), (text, "text"), (source, "source"))], "row")
+        sizes = count_words(fields, "doc_id", "text", "source", "row")
+        plan = saved(source_plan(sizes, weights, repeats, block_words), "plan")
+        drawn = drawn_words(sizes, plan, block_words, shard_blocks, seed).where("slot IS NOT NULL")
+        parts = keep(saved(drawn.groupBy("row").agg(F.collect_list(F.struct("shard", "slot", "low", "high")).alias("parts")), "parts"))
+    shard, slot = fresh(docs, shard), fresh(docs, slot)
 
     def run(batches):
-        for part in slices(batches):
-            doc, rest = part.column(0), [c.to_pylist() for c in part.columns[1:]]
-            texts = doc.field(at_text).to_pylist()
-            rows, taken = [], []
-            for i, (start, size, idx, blocks, quota) in enumerate(zip(*rest)):
-                rounds, extra = divmod(quota, blocks)
-                rows += [i] * rounds
-                taken += [texts[i]] * rounds
-                own = np.arange(start // block_words, (start + size - 1) // block_words + 1)
-                own = own[permute(own, blocks, seed, idx, rounds, back=True) < extra] if extra else own[:0]
-                if len(own):
-                    rows.append(i)
-                    taken.append(cut_words(texts[i], [(max(b * block_words - start, 0), min((b + 1) * block_words - start, size)) for b in own.tolist()]))
+        for part in slices(batches, 64):
+            doc, rows, taken, places = part.column(0), [], [], []
+            for i, (whole, spans) in enumerate(zip(doc.field(at_text).to_pylist(), part.column(1).to_pylist())):
+                rows += [i] * len(spans)
+                taken += cut_words(whole, [(p["low"], p["high"]) for p in spans])
+                places += [(p["shard"], p["slot"]) for p in spans]
             arrays = [c.take(pa.array(rows, pa.int64())) for c in doc.flatten()]
             arrays[at_text] = pa.array(taken, arrays[at_text].type)
             if n_chars in columns:
                 arrays[columns.index(n_chars)] = pa.array([len(t) for t in taken], pa.int64()).cast(arrays[columns.index(n_chars)].type)
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([p[k] for p in places], pa.int64()) for k in (0, 1))], [*columns, shard, slot])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(shard, T.LongType()), T.StructField(slot, T.LongType())])
+    return packed.join(parts, "row").select("doc", "parts").mapInArrow(run, schema)
+
 
-    return drawn.select("doc", "start", "size", "idx", "blocks", "quota").mapInArrow(run, docs.schema)
+def mixed_documents(docs: DataFrame, *args, **options) -> DataFrame:
+    """The rows of ``mixed_blocks`` with the columns of ``docs`` alone."""
+    return mixed_blocks(docs, *args, **options).select(*[f"`{c}`" for c in docs.columns])
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """The words of ``text`` in ascending half-open ``spans``, with the white space between neighbours; spans that touch are one."""
+def cut_words(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """For each half-open span of words, that part of ``text``: from its first word to its last, the whole text where these are all words."""
     raw = text.encode()
     places = [m.span() for m in _WORD.finditer(raw)]
-    joined: list[list[int]] = []
-    for low, high in spans:
-        if joined and joined[-1][1] == low:
-            joined[-1][1] = high
-        else:
-            joined.append([low, high])
-    whole = len(joined) == 1 and joined[0] == [0, len(places)]
-    return text if whole else b"\n".join(raw[places[low][0]:places[high - 1][1]] for low, high in joined).decode()
+    return [text if (low, high) == (0, len(places)) else raw[places[low][0]:places[high - 1][1]].decode() for low, high in spans]

@@ -338,6 +338,32 @@ def test_shards_are_drawn_whole(docs):
     assert slots.groupBy("idx", "slot").count().where("count > 1").count() == 0
 
 
+def test_shards_hold_what_a_brute_draw_puts_there(docs):
+    """Words of each source in each shard, in the order of its slots, against a draw over whole word lists."""
+    block_words, shard_blocks, seed = 16, 8, mixing.SEED
+    words = defaultdict(list)
+    for key, text, _, source in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
+        words[source] += words_of(text)
+    plan = {r.source: r for r in mixing.source_plan(mixing.count_words(docs, "doc_id", "text", "source"), block_words=block_words).collect()}
+    shards = max(1, -(-sum(r.quota for r in plan.values()) // shard_blocks))
+    expected = defaultdict(list)
+    for source, row in plan.items():
+        slot = 0
+        for shard, n in enumerate(np.random.default_rng([seed, row.idx, 0, shards]).multinomial(row.quota, np.full(shards, 1 / shards))):
+            for slot in range(slot, slot + n):
+                block = int(mixing.permute(np.array([slot % row.blocks]), row.blocks, seed, row.idx, slot // row.blocks)[0])
+                expected[source, shard] += words[source][block * block_words:(block + 1) * block_words]
+            slot += int(n > 0)
+    found = defaultdict(list)
+    out = mixing.mixed_blocks(docs, block_words=block_words, shard_blocks=shard_blocks)
+    assert out.columns == [*docs.columns, "shard", "slot"]
+    for r in sorted(out.collect(), key=lambda r: (r.slot, r.doc_id is not None, r.doc_id or 0)):
+        found[r.source, r.shard] += words_of(r.text)
+    # documents with one id (their texts are equal) may stand in either order, so words of a shard are compared as a multiset too
+    assert {k: Counter(v) for k, v in found.items()} == {k: Counter(v) for k, v in expected.items()} and len(found) > shards
+    assert mixing.mixed_blocks(docs.withColumnRenamed("row", "shard"), block_words=block_words).columns[-2:] == ["shard_", "slot"]
+
+
 def test_mixed_documents_hold_what_the_mix_takes(docs):
     taken, out = Counter(), Counter()
     for r in mixing.mix(docs, block_words=16).collect():
