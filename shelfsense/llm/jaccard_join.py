@@ -23,6 +23,8 @@ MEMBER = 2_000
 # Bits of a signature within a tile of sets, and of one that travels in place of its set.
 SIGNATURE, TRAVELLING = 1_024, 4_096
 REMEMBERED = 400_000
+# Part keys that a task gathers before they are packed, keys of a part (about), bytes of a key in its part, and rows of pairs in one batch.
+CHUNK_KEYS, PART_KEYS, KEY_BYTES, PAIRS = 2_000_000, 1 << 20, 5, 100_000
 
 
 class Words(dict):
@@ -199,32 +201,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     columns are not read. Shingles are compared by 64-bit, whole sets by 128-bit hash.
 
     Equal sets collapse to one node. Nodes that share the content of a part of the hash range in one size band (``bands``: no link can miss
-    this) are candidates; a Bloom filter of repeated part keys keeps other keys from the shuffle. A component of candidates is a
+    this) are candidates; keys travel packed, about six bytes each with their node (``_shared_keys``). A component of candidates is a
     tile; a large one is cut into tiles in order of size, which are first compared by bitmaps alone. Each tile is settled in itself and
     against the first members of tiles at distances 1, 2, 4 and so on; what is then still apart from its component's largest part meets
     every tile that its sizes allow.
     """
     similarity = num / den
-    scanned = _scan(docs, doc_id, text, n, similarity)
-    total = scanned.count()
-    sets = scanned.where("n_shingles > 0").groupBy("set_hash").agg(
-        F.min("doc_id").alias("least"), F.min("row").alias("node"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
-    sets = saved(sets, "sets")
-    distinct = sets.count()
-
-    # Part keys of one row per set; a false positive of the filter lets a copy's keys in, which changes nothing.
-    keyed = bloom_hits(scanned.where("n_shingles > 0 AND size(keys) > 0").select("row", "keys"), F.col("row"),
-                       bloom_filter(sets, F.col("node"), distinct), distinct, "one", broadcast_bytes).where("one")
-    exploded = keyed.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    # Keys are counted by half their bits, which halves that shuffle and lets few more through.
-    slot = F.col("key").bitwiseAND((1 << 32) - 1)
-    repeated = saved(exploded.groupBy(slot.alias("slot")).count().where("count > 1").select("slot"), "slots")
-    known = repeated.count()
-    hits = saved(bloom_hits(exploded, slot, bloom_filter(repeated, F.col("slot"), known), known, "maybe", broadcast_bytes)
-                 .where("maybe").select("key", "node"), "hits")
-    leaders = hits.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    stars = salted_join(hits, leaders, "key", "_n", F.col("node"), hits.count()).where("node <> leader")
-    candidates = saved(components(stars.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "candidates")
+    with scratch(docs.sparkSession) as keep:
+        hashed = _scan(docs, doc_id, text, n, similarity)
+        # The keys, most of what is written, go once they have met.
+        scanned = keep(saved(hashed.drop("keys"), "rows"))
+        total, shingles = scanned.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
+        sets = scanned.where("n_shingles > 0").groupBy("set_hash").agg(
+            F.min("doc_id").alias("least"), F.min("row").alias("node"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
+        sets = keep(saved(sets, "sets"))
+        distinct = sets.count()
+
+        # Part keys of one row per set; a false positive of the filter lets a copy's keys in, which changes nothing.
+        keyed = bloom_hits(hashed.where("n_shingles > 0 AND size(keys) > 0").select("row", "keys"), F.col("row"),
+                           bloom_filter(sets, F.col("node"), distinct), distinct, "one", broadcast_bytes).where("one")
+        stars = keep(saved(_shared_keys(keyed.select("row", "keys"), shingles or 0).distinct(), "stars"))
+    candidates = saved(components(stars), "candidates")
 
     links = saved(_verified(docs, doc_id, text, n, sets, candidates, num, den, broadcast_bytes), "links")
     roots = components(links)
@@ -255,6 +252,87 @@ def _scan(docs: DataFrame, doc_id: str, text: str, n: int, similarity: float) ->
     return saved(found.withColumn("row", F.monotonically_increasing_id()), "shingles")
 
 
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of 64-bit numbers, all first bytes first: of sorted or near numbers the shuffle's compression drops the high ones."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _numbers(planes: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(planes) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return wide.view(np.uint64).ravel()
+
+
+def _meet(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the smallest node of each, and distinct rows (node, smallest node) of every other node of a key."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    leaders = nodes[first]
+    pairs = np.stack([nodes[~first], leaders[np.cumsum(first) - 1][~first]], 1)
+    return keys[first], leaders, np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def _shared_keys(keyed: DataFrame, most: int) -> DataFrame:
+    """(a, b): each node that shares a key with others, and the smallest of those that it met. All nodes of a key are joined by these rows.
+
+    ``keyed`` (row, keys) has about ``most`` keys or fewer. A task gathers keys in chunks; what meets in a chunk is settled there, so the most
+    frequent key leaves it once. Keys are dealt to parts by their first bits and travel as sorted arrays of their next 40 bits, so parts hold
+    some PART_KEYS keys each and different keys are taken for one only by 46 bits or more, which proposes a candidate too many.
+    """
+    bits = min(18, max(6, (most // PART_KEYS).bit_length()))
+    low, part_of = np.uint64((1 << KEY_BYTES * 8) - 1), np.uint64(64 - bits)
+    cut = np.uint64(64 - bits - KEY_BYTES * 8)
+    names = ["part", "met", "key", "node"]
+
+    def packed(keys: list[np.ndarray], nodes: list[np.ndarray], turn: int):
+        key, node, pairs = _meet(np.concatenate(keys), np.concatenate(nodes))
+        at = np.flatnonzero(np.concatenate([[True], key[1:] >> part_of != key[:-1] >> part_of]))
+        rows = [(int(key[i] >> part_of), False, _planes(key[i:j] >> cut & low, KEY_BYTES), _planes(node[i:j], 8)) for i, j in zip(at, [*at[1:], len(key)])]
+        for i in range(0, len(pairs), PAIRS):
+            rows.append(((turn + i // PAIRS) % (1 << bits), True, _planes(np.ascontiguousarray(pairs[i:i + PAIRS, 0]), 8), _planes(np.ascontiguousarray(pairs[i:i + PAIRS, 1]), 8)))
+        for i in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 256]), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names)
+
+    def chunks(batches):
+        keys, nodes, held, turn = [], [], 0, 0
+        for part in slices(batches, 64):
+            rows = np.array(part.column(0).to_pylist(), np.int64).view(np.uint64)
+            lists = part.column(1)
+            keys.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            nodes.append(np.repeat(rows, lists.value_lengths().to_numpy(zero_copy_only=False)))
+            turn += len(rows)
+            held += len(keys[-1])
+            if held >= CHUNK_KEYS:
+                yield from packed(keys, nodes, turn)
+                keys, nodes, held = [], [], 0
+        if held:
+            yield from packed(keys, nodes, turn)
+
+    def flat(batches):
+        for part in slices(batches, 16):
+            yield from zip(*(c.to_pylist() for c in part.columns))
+
+    def meet(batches):
+        for _, rows in groupby(flat(batches), key=lambda r: r[0]):
+            keys, nodes, pairs = [], [], [np.empty((0, 2), np.uint64)]
+            for _, met, key, node in rows:
+                if met:
+                    pairs.append(np.stack([_numbers(key, 8), _numbers(node, 8)], 1))
+                else:
+                    keys.append(_numbers(key, KEY_BYTES))
+                    nodes.append(_numbers(node, 8))
+            if keys:
+                pairs.append(_meet(np.concatenate(keys), np.concatenate(nodes))[2])
+            found = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
+            for i in range(0, len(found), PAIRS):
+                yield pa.RecordBatch.from_arrays([pa.array(found[i:i + PAIRS, 0]), pa.array(found[i:i + PAIRS, 1])], ["a", "b"])
+
+    dealt = keyed.mapInArrow(chunks, "part int, met boolean, key binary, node binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "a long, b long")
+
+
 def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame, broadcast_bytes: int) -> DataFrame:
     """``wanted`` (set_hash, least and more) with ``set``, read again from a document that has it. A row that repeats id and text repeats its
     set, which tiles ignore."""

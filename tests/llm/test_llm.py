@@ -184,6 +184,42 @@ def test_jaccard_group_over_many_tiles(spark, monkeypatch):
     assert tuples(jaccard_join.jaccard_components(df, 3, 90, 100, broadcast_bytes=0)) == brute_components(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("chunk", [1, 50, 10**6])
+def test_shared_keys_join_what_a_key_joins(spark, monkeypatch, chunk):
+    """Components of the packed keys' pairs against those of whole keys; one key is in every third row, some are twice in a row."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_KEYS", chunk)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 7)
+    rng = random.Random(chunk)
+    keys = [rng.randrange(-2**63, 2**63) for _ in range(300)]
+    rows = [((i % 5 << 33) + i, ([keys[0]] if i % 3 == 0 else []) + [rng.choice(keys[1:]) if rng.random() < 0.1 else rng.randrange(-2**63, 2**63) for _ in range(4)] * (1 + i % 2))
+            for i in range(400)]
+    graph, parent = defaultdict(list), {r: r for r, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r, ks in rows:
+        for k in ks:
+            graph[k].append(r)
+    for members in graph.values():
+        for m in members:
+            a, b = sorted((root(m), root(members[0])))
+            parent[b] = a
+    frame = spark.createDataFrame(rows, "row long, keys array<long>").repartition(3)
+    found = {r.node: r.root for r in common.components(jaccard_join._shared_keys(frame, 10**9)).collect()}
+    groups = lambda of: sorted(sorted(g) for g in by(of).values() if len(g) > 1)
+
+    def by(of):
+        out = defaultdict(list)
+        for r, _ in rows:
+            out[of(r)].append(r)
+        return out
+
+    assert groups(root) == groups(lambda r: found.get(r, r))
+
+
 def test_bands_cover_every_link():
     for similarity in (0.8, 0.9):
         for b in range(1, 400):
