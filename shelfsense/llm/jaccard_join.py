@@ -19,6 +19,8 @@ from shelfsense.llm.common import (BROADCAST_BYTES, REMEMBERED_BYTES, bloom_filt
 BAND = 1.5
 # A tile holds members up to this weight; a member weighs its shingles plus MEMBER.
 TILE = 1_000_000
+# Bitmaps are small and their comparisons plain, so their tiles hold so many times more, and fewer pairs of tiles carry copies of them.
+BITMAP_TILES = 4
 MEMBER = 2_000
 # Bits of a signature within a tile of sets, and of one that travels in place of its set.
 SIGNATURE, TRAVELLING = 1_024, 4_096
@@ -383,10 +385,10 @@ def _placed(members: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, DataFr
     return marked.where("_many IS NULL").drop("_many"), saved(marked.where("_many").drop("_many"), "many") if count else None
 
 
-def _tiled(rows: DataFrame) -> DataFrame:
-    """``rows`` (root, node, size, set) with the ``block`` of their component that they stand in."""
+def _tiled(rows: DataFrame, times: int = 1) -> DataFrame:
+    """``rows`` (root, node, size, set) with the ``block`` of their component that they stand in; a block weighs ``times`` tiles."""
     weighed = rows.withColumn("weight", (F.octet_length("set") / 8).cast("bigint") + MEMBER // 4)
-    return saved(running_total(weighed, ["size", "node"], "weight", "before", ["root"]).withColumn("block", F.floor(F.col("before") / TILE)).drop("weight", "before"), "tiled")
+    return saved(running_total(weighed, ["size", "node"], "weight", "before", ["root"]).withColumn("block", F.floor(F.col("before") / (times * TILE))).drop("weight", "before"), "tiled")
 
 
 def _verified(docs: DataFrame, doc_id: str, text: str, n: int, sets: DataFrame, candidates: DataFrame, num: int, den: int, broadcast_bytes: int) -> DataFrame:
@@ -412,7 +414,7 @@ def _verified(docs: DataFrame, doc_id: str, text: str, n: int, sets: DataFrame,
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([row.tobytes() for row in made], pa.binary())], ["root", "node", "size", "set"])
 
     short = read(many).select("root", "node", "size", "set").mapInArrow(bitmaps, "root long, node long, size long, set binary").dropDuplicates(["node"])
-    allowed = components(_between_tiles(_tiled(short), num, den, exact=False))
+    allowed = components(_between_tiles(_tiled(short, BITMAP_TILES), num, den, exact=False))
     one, many = _placed(many.drop("root").join(allowed, "node").select(columns), broadcast_bytes)
     links = links.unionByName(settled(one))
     if many is None:
