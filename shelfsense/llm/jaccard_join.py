@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import lru_cache
 from itertools import groupby
 
@@ -27,6 +26,8 @@ SIGNATURE, TRAVELLING = 1_024, 4_096
 REMEMBERED = 400_000
 # Part keys that a task gathers before they are packed, keys of a part (about), bytes of a key in its part, and rows of pairs in one batch.
 CHUNK_KEYS, PART_KEYS, KEY_BYTES, PAIRS = 2_000_000, 1 << 20, 5, 100_000
+# Consecutive row numbers whose keys are counted together, so that a frequent key is told once to all of them.
+CHUNK_ROWS = 512
 
 
 class Words(dict):
@@ -61,57 +62,46 @@ def shingle_set(text: bytes, n: int, words: Words) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def band_plan(band: int, similarity: float) -> tuple[int, int, int, int, int]:
-    """(low, high, differ, slack, least) of a size band low <= size < high.
+def band_plan(band: int, similarity: float) -> tuple[int, int, int, int]:
+    """(low, high, differ, slack) of a size band low <= size < high.
 
     Two similar sets that meet in the band differ in at most ``differ`` shingles. With differ + slack + 1 parts of the hash range, more than
-    ``slack`` parts hold the same shingles in both. A set may therefore leave out its weak parts, those with fewer than ``least``
-    shingles, as long as it has no more than ``slack`` of them. ``least`` is as large as random sets of the band's smallest size can afford.
+    ``slack`` parts hold the same shingles in both. If each set leaves out the ``slack`` parts that come first in one order of all contents,
+    the last of the parts that both have is left out by neither.
     """
     low = 1
     for _ in range(band):
         low = int(low * BAND) + 1
     high = int(low * BAND) + 1
     differ = int((1 - similarity) / (1 + similarity) * 2 * (high - 1) + 1e-9)
-    slack = 2 + differ // 4
-    parts = differ + slack + 1
-    mean = max(similarity * low, 1) / parts
-    least, share = 0, 0.0
-    while least < 8:
-        share += math.exp(-mean) * mean**least / math.factorial(least)
-        if parts * share + 2 * math.sqrt(parts * share) > slack:
-            break
-        least += 1
-    return low, high, differ, slack, least
+    return low, high, differ, 2 + differ // 4
 
 
 def bands(size: int, similarity: float) -> list[tuple[int, int, int, int]]:
-    """(band, parts, slack, least) of a set: its own band, and the next one if a set of that band can be similar to it. A band in which
+    """(band, parts, slack, differ) of a set: its own band, and the next one if a set of that band can be similar to it. A band in which
     similar sets are equal needs no parts."""
     found, band = [], 0
     while True:
-        low, high, differ, slack, least = band_plan(band, similarity)
+        low, high, differ, slack = band_plan(band, similarity)
         if similarity * low > size + 1e-9:
             return found
         if size < high and differ:
-            found.append((band, differ + slack + 1, slack, least))
+            found.append((band, differ + slack + 1, slack, differ))
         band += 1
 
 
 def part_keys(shingles: np.ndarray, similarity: float) -> np.ndarray:
-    """A key for each band of the set and each part of the hash range it must show: the sum of the part's shingles, stirred."""
+    """A key for each of the set's ``bands`` and each part of the hash range, in this order: the sum of the part's shingles, stirred."""
     keys = []
     with np.errstate(over="ignore"):
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles, dtype=np.uint64)])
-        for band, parts, slack, least in bands(len(shingles), similarity):
+        for band, parts, _, _ in bands(len(shingles), similarity):
             of = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             edges = np.searchsorted(of, np.arange(parts + 1, dtype=np.uint64))
             key = running[edges[1:]] - running[edges[:-1]] + np.arange(parts, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             key ^= np.uint64(band + 1) * np.uint64(0xA0761D6478BD642F)
             key = (key ^ (key >> np.uint64(31))) * np.uint64(0xE7037ED1A0B428DB)
-            key ^= key >> np.uint64(28)
-            strong = np.diff(edges) >= least
-            keys.append(key[strong] if parts - strong.sum() <= slack else key)
+            keys.append(key ^ (key >> np.uint64(28)))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
@@ -177,12 +167,8 @@ def tile_links(sizes: list[int], sets: list[np.ndarray], group: list[int], num:
 def _tiles(rows: DataFrame, num: int, den: int, exact: bool = True) -> DataFrame:
     """Links (a, b) of all tiles of ``rows``: tile, node, grp, size, set. A tile is bounded, so it may stand in one task."""
 
-    def flat(batches):
-        for part in slices(batches, 64):
-            yield from zip(*(c.to_pylist() for c in part.columns))
-
     def run(batches):
-        for _, members in groupby(flat(batches), key=lambda r: r[0]):
+        for _, members in groupby(_rows_of(batches, 64), key=lambda r: r[0]):
             members = {node: (group, size, np.frombuffer(s, np.uint64)) for _, node, group, size, s in members}
             order = sorted(members, key=lambda node: (members[node][1], node))
             groups, sizes, sets = zip(*(members[n] for n in order))
@@ -203,7 +189,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     columns are not read. Shingles are compared by 64-bit, whole sets by 128-bit hash.
 
     Equal sets collapse to one node. Nodes that share the content of a part of the hash range in one size band (``bands``: no link can miss
-    this) are candidates; keys travel packed, about six bytes each with their node (``_shared_keys``). A component of candidates is a
+    this) are candidates, but for each set's most frequent parts (``_rare_keys``), so passages of many documents join nothing. Keys travel
+    packed, about six bytes each (``_shared_keys``). A component of candidates is a
     tile; a large one is cut into tiles in order of size, which are first compared by bitmaps alone. Each tile is settled in itself and
     against the first members of tiles at distances 1, 2, 4 and so on; what is then still apart from its component's largest part meets
     every tile that its sizes allow.
@@ -220,9 +207,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
         distinct = sets.count()
 
         # Part keys of one row per set; a false positive of the filter lets a copy's keys in, which changes nothing.
-        keyed = bloom_hits(hashed.where("n_shingles > 0 AND size(keys) > 0").select("row", "keys"), F.col("row"),
+        keyed = bloom_hits(hashed.where("n_shingles > 0 AND size(keys) > 0").select("row", "n_shingles", "keys"), F.col("row"),
                            bloom_filter(sets, F.col("node"), distinct), distinct, "one", broadcast_bytes).where("one")
-        stars = keep(saved(_shared_keys(keyed.select("row", "keys"), shingles or 0).distinct(), "stars"))
+        rare = _rare_keys(keyed.select("row", "n_shingles", "keys"), shingles or 0, similarity)
+        stars = keep(saved(_shared_keys(rare, shingles or 0).distinct(), "stars"))
     candidates = saved(components(stars), "candidates")
 
     links = saved(_verified(docs, doc_id, text, n, sets, candidates, num, den, broadcast_bytes), "links")
@@ -276,6 +264,112 @@ def _meet(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], leaders, np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
+def _part_bits(most: int) -> int:
+    """First bits of a key that name its part, for about ``most`` keys."""
+    return min(18, max(6, (most // PART_KEYS).bit_length()))
+
+
+def _rows_of(batches, size: int):
+    for part in slices(batches, size):
+        yield from zip(*(c.to_pylist() for c in part.columns))
+
+
+def _binary_batches(rows: list[tuple], types: list[pa.DataType], names: list[str]):
+    for i in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 256]), types)], names)
+
+
+def _rare_keys(keyed: DataFrame, most: int, similarity: float) -> DataFrame:
+    """(row, keys): of the part keys of each set (row, n_shingles and keys, all that ``part_keys`` gives) those that it shows and others have too.
+
+    In each band a set leaves out its ``slack`` most frequent keys, ties to the smaller key: the order is one for all sets, so similar sets
+    still share a key (``band_plan``), and a passage of many documents, which fills few parts of each, joins nothing. Rows are taken in chunks by
+    number. Chunks send distinct keys with counts to the keys' parts, which send totals of keys seen twice or more back to the chunks;
+    there they meet the keys of the chunk's rows. A key in a third of all rows is so one entry per chunk.
+    """
+    bits = _part_bits(most)
+    cut, wide, low = np.uint64(64 - bits - KEY_BYTES * 8), -(-(bits + KEY_BYTES * 8) // 8), np.uint64((1 << KEY_BYTES * 8) - 1)
+    part_of = np.uint64(KEY_BYTES * 8)
+
+    def chunks(batches):
+        """(chunk, rows, sizes, keys) of rows that come one after the other and have their chunk in common."""
+        rows, sizes, keys, held = [], [], [], 0
+        for part in slices(batches, 64):
+            lists = part.column(2)
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> cut
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            for row, size, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), np.split(values, ends[:-1])):
+                if rows and (row // CHUNK_ROWS != rows[0] // CHUNK_ROWS or held >= CHUNK_KEYS):
+                    yield rows[0] // CHUNK_ROWS, rows, sizes, np.concatenate(keys)
+                    rows, sizes, keys, held = [], [], [], 0
+                rows.append(row)
+                sizes.append(size)
+                keys.append(own)
+                held += len(own)
+        if rows:
+            yield rows[0] // CHUNK_ROWS, rows, sizes, np.concatenate(keys)
+
+    def count(batches):
+        for chunk, _, _, keys in chunks(batches):
+            key, times = np.unique(keys, return_counts=True)
+            parts = key >> part_of
+            at = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+            rows = [(int(parts[i]), chunk, _planes(key[i:j] & low, KEY_BYTES), _planes(times[i:j], 4)) for i, j in zip(at, [*at[1:], len(key)])]
+            yield from _binary_batches(rows, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["part", "chunk", "key", "times"])
+
+    def total(batches):
+        for part, rows in groupby(_rows_of(batches, 64), key=lambda r: r[0]):
+            rows = [(chunk, _numbers(key, KEY_BYTES), _numbers(times, 4)) for _, chunk, key, times in rows]
+            _, which = np.unique(np.concatenate([key for _, key, _ in rows]), return_inverse=True)
+            all_ = np.bincount(which, np.concatenate([times for _, _, times in rows]).astype(float))[which].clip(max=2**32 - 1).astype(np.uint64)
+            told, start = [], 0
+            for chunk, key, _ in rows:
+                mine = all_[start:start + len(key)]
+                start += len(key)
+                some = mine > 1
+                if some.any():
+                    told.append((chunk, True, _planes(key[some] | np.uint64(part << KEY_BYTES * 8), wide), _planes(mine[some], 4), b""))
+            yield from _binary_batches(told, types, names)
+
+    def bring(batches):
+        for chunk, rows, sizes, keys in chunks(batches):
+            row = (chunk, False, _planes(keys, wide), _planes(np.array(rows, np.int64), 8), _planes(np.array(sizes, np.int64), 8))
+            yield from _binary_batches([row], types, names)
+
+    def choose(batches):
+        for _, rows in groupby(_rows_of(batches, 64), key=lambda r: r[0]):
+            known, times, sets = [np.zeros(1, np.uint64)], [np.ones(1, np.uint64)], []
+            for _, told, key, first, second in rows:
+                if told:
+                    known.append(_numbers(key, wide))
+                    times.append(_numbers(first, 4))
+                else:
+                    sets.append((_numbers(key, wide), _numbers(first, 8).view(np.int64), _numbers(second, 8).tolist()))
+            known, at = np.unique(np.concatenate(known), return_index=True)
+            times = np.concatenate(times)[at].astype(np.int64)
+            for key, nodes, sizes in sets:
+                plans = [[(parts, slack) for _, parts, slack, _ in bands(size, similarity)] for size in sizes]
+                owner = np.repeat(nodes, [len(p) for p in plans])
+                parts, slack = np.array([x for p in plans for x in p], np.int64).reshape(-1, 2).T
+                place = np.searchsorted(known, key)
+                place[place == len(known)] = 0
+                often = np.where(known[place] == key, times[place], 1)
+                band = np.repeat(np.arange(len(parts)), parts)
+                order = np.lexsort((key, -often, band))
+                rank = np.arange(len(key)) - np.repeat(np.cumsum(parts) - parts, parts)
+                shown = (rank >= np.repeat(slack, parts)) & (often[order] > 1)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(band[shown], minlength=len(parts)))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((key[order][shown] << cut).view(np.int64)))
+                some = pa.array(np.diff(ends) > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(owner).filter(some), lists.filter(some)], ["row", "keys"])
+
+    types, names = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()], ["chunk", "told", "key", "first", "second"]
+    schema = "chunk long, told boolean, key binary, first binary, second binary"
+    counts = keyed.mapInArrow(count, "part int, chunk long, key binary, times binary").repartition("part").sortWithinPartitions("part")
+    both = counts.mapInArrow(total, schema).unionByName(keyed.mapInArrow(bring, schema)).repartition("chunk").sortWithinPartitions("chunk")
+    return both.mapInArrow(choose, "row long, keys array<long>")
+
+
 def _shared_keys(keyed: DataFrame, most: int) -> DataFrame:
     """(a, b): each node that shares a key with others, and the smallest of those that it met. All nodes of a key are joined by these rows.
 
@@ -283,7 +377,7 @@ def _shared_keys(keyed: DataFrame, most: int) -> DataFrame:
     frequent key leaves it once. Keys are dealt to parts by their first bits and travel as sorted arrays of their next 40 bits, so parts hold
     some PART_KEYS keys each and different keys are taken for one only by 46 bits or more, which proposes a candidate too many.
     """
-    bits = min(18, max(6, (most // PART_KEYS).bit_length()))
+    bits = _part_bits(most)
     low, part_of = np.uint64((1 << KEY_BYTES * 8) - 1), np.uint64(64 - bits)
     cut = np.uint64(64 - bits - KEY_BYTES * 8)
     names = ["part", "met", "key", "node"]
@@ -294,8 +388,7 @@ def _shared_keys(keyed: DataFrame, most: int) -> DataFrame:
         rows = [(int(key[i] >> part_of), False, _planes(key[i:j] >> cut & low, KEY_BYTES), _planes(node[i:j], 8)) for i, j in zip(at, [*at[1:], len(key)])]
         for i in range(0, len(pairs), PAIRS):
             rows.append(((turn + i // PAIRS) % (1 << bits), True, _planes(np.ascontiguousarray(pairs[i:i + PAIRS, 0]), 8), _planes(np.ascontiguousarray(pairs[i:i + PAIRS, 1]), 8)))
-        for i in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 256]), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names)
+        yield from _binary_batches(rows, [pa.int32(), pa.bool_(), pa.binary(), pa.binary()], names)
 
     def chunks(batches):
         keys, nodes, held, turn = [], [], 0, 0
@@ -312,12 +405,8 @@ def _shared_keys(keyed: DataFrame, most: int) -> DataFrame:
         if held:
             yield from packed(keys, nodes, turn)
 
-    def flat(batches):
-        for part in slices(batches, 16):
-            yield from zip(*(c.to_pylist() for c in part.columns))
-
     def meet(batches):
-        for _, rows in groupby(flat(batches), key=lambda r: r[0]):
+        for _, rows in groupby(_rows_of(batches, 16), key=lambda r: r[0]):
             keys, nodes, pairs = [], [], [np.empty((0, 2), np.uint64)]
             for _, met, key, node in rows:
                 if met:
