@@ -220,6 +220,37 @@ def test_shared_keys_join_what_a_key_joins(spark, monkeypatch, chunk):
     assert groups(root) == groups(lambda r: found.get(r, r))
 
 
+@pytest.mark.parametrize("rows_of_a_chunk", [1, 7, 512])
+def test_passages_of_all_documents_join_nothing(spark, monkeypatch, rows_of_a_chunk):
+    """All texts share a passage, some are near copies: links stay, and most other sets share no key that they show."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", rows_of_a_chunk)
+    rng, words = random.Random(31), jaccard_join.Words()
+    passage, texts = [f"p{i}" for i in range(45)], []
+    for i in range(80):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(90, 140))]
+        texts.append(own + passage)
+        if i % 10 == 0:
+            for k in range(4):
+                texts.append(own[:80] + [f"x{i}.{k}"] + own[81:] + passage)
+    rng.shuffle(texts)
+    sets = [jaccard_join.shingle_set(" ".join(t).encode(), 5, words) for t in texts]
+    rows = [((i % 3 << 33) + i, len(s), jaccard_join.part_keys(s, 0.8).view(np.int64).tolist()) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "row long, n_shingles int, keys array<long>")
+    whole = {r.node: r.root for r in common.components(jaccard_join._shared_keys(frame.select("row", "keys"), 10**6)).collect()}
+    rare = jaccard_join._rare_keys(frame, 10**6, 0.8)
+    assert rare.columns == ["row", "keys"]
+    found = {r.node: r.root for r in common.components(jaccard_join._shared_keys(rare, 10**6)).collect()}
+    assert max(Counter(whole.values()).values()) == len(sets)
+    links = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                links += 1
+                assert found[rows[i][0]] == found[rows[j][0]]
+    assert links == 80 and max(Counter(found.values()).values()) < len(sets) / 4
+
+
 def test_bands_cover_every_link():
     for similarity in (0.8, 0.9):
         for b in range(1, 400):
