@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +19,8 @@ WHITESPACE = (
 )
 REMOVED_PUNCTUATION = "\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~"
 TAG = r"<[^>]+>"
+# A character reference that a semicolon ends.
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
 
 _PUNCTUATION = r"[\"-/:->@\[-`{-~]+"
 _SPACES = "[\t-\r\x1c-\x20\x85\xa0  -     　]+"
@@ -52,16 +56,27 @@ def _decode_entities(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-def decode_entities(value: Column) -> Column:
-    """Only texts that hold an ampersand carry a payload to Python and back."""
-    return F.coalesce(_decode_entities(F.when(F.contains(value, F.lit("&")), value)), value)
+def _closed_reference(found: re.Match) -> str:
+    return html.unescape(found[0]) if found[0][1] == "#" or found[0][1:] in html5 else found[0]
 
 
-def clean_review_text(value: Column, entities: bool = True) -> Column:
+@F.pandas_udf(T.StringType())
+def _decode_closed_entities(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _CLOSED.sub(_closed_reference, t), na_action="ignore")
+
+
+def decode_entities(value: Column, closed: bool = False) -> Column:
+    """Only texts that hold an ampersand carry a payload to Python and back. With ``closed``, only references that a semicolon ends are decoded;
+    else also the old names that browsers read without one (``&amp`` at the end of a cut text)."""
+    decode = _decode_closed_entities if closed else _decode_entities
+    return F.coalesce(decode(F.when(F.contains(value, F.lit("&")), value)), value)
+
+
+def clean_review_text(value: Column, entities: bool = True, closed: bool = False) -> Column:
     """Entities decoded, tags to spaces, punctuation but ?! removed, ?! set apart, white space collapsed."""
     text = F.coalesce(value.cast("string"), F.lit(""))
     if entities:
-        text = decode_entities(text)
+        text = decode_entities(text, closed)
     text = F.regexp_replace(text, TAG, " ")
     text = F.regexp_replace(text, _PUNCTUATION, "")
     return collapse(F.regexp_replace(text, "([!?])", " $1 "))

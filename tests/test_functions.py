@@ -2,10 +2,14 @@
 
 import html
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from compare import difference
 from shelfsense.functions import coerce, lists, prompts, scoring, similarity, text
+from shelfsense.registry.oracles import ORACLES
+from shelfsense.registry.queries import QUERIES
 
 
 def one(spark, column, **values):
@@ -167,3 +171,14 @@ def test_blocks_give_the_same_alignment(spark, monkeypatch):
     other = frame.select("v", "n", F.reverse("v").alias("w"), F.reverse("n").alias("m"))
     whole = other.select(similarity.soft_alignment("v", "n", "w", "m").alias("s")).first()["s"]
     assert abs(whole["f1"] - 1) < 1e-9
+
+
+def test_closed_references_only(spark, tmp_path):
+    value = "<b>a &amp</b> &copy; &ampx; &#233; &#xe9; &nosuch; &copy"
+    assert one(spark, text.decode_entities(F.col("v"), closed=True), v=value) == "<b>a &amp</b> © &ampx; é é &nosuch; &copy"
+    assert one(spark, text.decode_entities(F.col("v")), v=value) == html.unescape(value)
+    rows = [(1, "u", "<title>one &amp</title><p>two &amp; &quot;three&quot; &copy; four&amp"), (2, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert difference(spark, con, QUERIES["clean_text_pages"], ORACLES["clean_text_pages"], str(tmp_path)) is None
