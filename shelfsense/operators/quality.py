@@ -29,8 +29,9 @@ def global_quality(df: DataFrame, tokens: str = "text_len", weights=WEIGHTS,
     """Votes normalised over the whole table; the range is a scalar subquery, rows are not shuffled. ``range_of`` holds the same rows' votes where
     that is cheaper to read."""
     require_columns(df, ["helpful_vote", "verified_purchase", tokens])
-    votes = vote_log(F.col("helpful_vote"))
-    ends = (df if range_of is None else range_of).agg(F.struct(F.min(votes).alias("low"), F.max(votes).alias("high")).alias("ends")).scalar()
+    votes = F.coalesce(F.col("helpful_vote").cast("double"), F.lit(0.0))
+    fewest, most = vote_log(F.min(votes)), vote_log(F.max(votes))
+    ends = (df if range_of is None else range_of).agg(F.struct(fewest.alias("low"), most.alias("high")).alias("ends")).scalar()
     ranged = df.withColumn("_ends", ends)
     scored = _scored(ranged, F.col("_ends.low"), F.col("_ends.high"),
                      F.coalesce(F.col(tokens), F.lit(0)), weights, band)
@@ -46,13 +47,12 @@ def product_quality(df: DataFrame, tokens: str | None = "text_len", text: str |
     join, so that the per-product statistics never read the texts.
     """
     require_columns(df, [key, row_id, "helpful_vote", "verified_purchase", text or tokens])
-    votes = vote_log(F.col("helpful_vote"))
+    votes = F.coalesce(F.col("helpful_vote").cast("double"), F.lit(0.0))
     stats = df.groupBy(key).agg(
-        F.min(votes).alias("_low"), F.max(votes).alias("_high"), F.count(F.lit(1)).alias("total_reviews")
+        F.min(votes).alias("_fewest"), F.max(votes).alias("_most"), F.count(F.lit(1)).alias("total_reviews")
     )
     joined = join_key_stats(df, stats, key, "total_reviews", F.col(row_id), hot_rows)
     if text:
         joined, tokens = with_values(joined, review_token_count=token_count(F.col(text))), "review_token_count"
-    return _scored(joined, F.col("_low"), F.col("_high"), F.coalesce(F.col(tokens), F.lit(0)), weights, band).drop(
-        "_low", "_high"
-    )
+    low, high = vote_log(F.col("_fewest")), vote_log(F.col("_most"))
+    return _scored(joined, low, high, F.coalesce(F.col(tokens), F.lit(0)), weights, band).drop("_fewest", "_most")
