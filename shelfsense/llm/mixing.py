@@ -154,7 +154,8 @@ def drawn_words(sizes: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORD
     spans = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words)))))
     low, high = F.greatest(F.col("start"), F.col("block") * block_words), F.least(end, (F.col("block") + 1) * block_words)
     spans = spans.withColumn("low", low - F.col("start")).withColumn("high", high - F.col("start")).drop("start")
-    return spans.join(draw_slots(plan, shard_blocks, seed), ["idx", "block"], "left").drop("block")
+    # A few rows of counts become all slots: the planner, which sees the counts, would broadcast them.
+    return spans.join(draw_slots(plan, shard_blocks, seed).hint("merge"), ["idx", "block"], "left").drop("block")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS,
