@@ -13,6 +13,7 @@ from shelfsense.operators.bind import with_values
 from shelfsense.operators.dedupe import all_columns, keep_first
 from shelfsense.operators.splits import stratified_folds, stratified_split
 from shelfsense.schemas import META_COLUMNS, REVIEW_REQUIRED, require_columns
+from shelfsense.session import ensure_checkpoint_dir
 
 
 def clean_fields(raw: DataFrame, min_tokens: int = 3, entities: bool = True) -> DataFrame:
@@ -81,8 +82,13 @@ def clean_reviews(raw: DataFrame, meta: DataFrame | None = None, order: list[Col
 
 
 def phase1_parts(cleaned: DataFrame, test_size: float = 0.15, val_size: float = 0.15, seed: int = 42) -> DataFrame:
-    """Cleaned reviews with their ``split``; train and val together are the train_val rows that folds are made of."""
-    return stratified_split(cleaned, test_size=test_size, val_size=val_size, seed=seed)
+    """Cleaned reviews with their ``split``; train and val together are the train_val rows that folds are made of.
+
+    Counts, cuts and rows of splits and folds are a dozen passes over the reviews, so these are kept in the shared folder: texts are cleaned once.
+    Callers that need no texts give reviews without them.
+    """
+    ensure_checkpoint_dir(cleaned.sparkSession)
+    return stratified_split(cleaned.checkpoint(), test_size=test_size, val_size=val_size, seed=seed)
 
 
 def phase1_folds(parts: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
