@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -15,13 +16,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfsense.functions.text import is_ascii
+from shelfsense.session import ensure_checkpoint_dir
 
 # Token pattern and vocabulary limits of the baseline model.
 TOKEN = r"\w{2,}"
 MIN_DF = 2
 MAX_TERMS = 30_000
-# Distinct terms a task counts before it passes them on.
-HELD = 200_000
+# Rows whose terms are counted at a time.
+TERM_ROWS = 1_024
 
 
 def words(text: Column) -> Column:
@@ -60,6 +62,27 @@ def _row_terms(words: list[str]) -> Counter:
     return counts
 
 
+def _counted(rows: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and number of each pair of a row and a code below ``size``."""
+    pairs, n = np.unique(rows * size + codes, return_counts=True)
+    return pairs // size, pairs % size, n
+
+
+def _numbered_terms(words: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Unigrams, then bigrams, of many rows: for each (row, term) a place in the distinct terms, these terms, and the occurrences; rows come
+    last. Words are numbered once, pairs of them by their numbers, and only distinct pairs become strings."""
+    coded = words.flatten().dictionary_encode()
+    names, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    rows = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy())
+    row, at, n = _counted(rows, codes, max(len(names), 1))
+    yield at, names, n, row
+    near = rows[1:] == rows[:-1]
+    pairs, numbered = np.unique(codes[:-1][near] * len(names) + codes[1:][near], return_inverse=True)
+    row, at, n = _counted(rows[1:][near], numbered, max(len(pairs), 1))
+    first, second = np.divmod(pairs, max(len(names), 1))
+    yield at, pc.binary_join_element_wise(names.take(pa.array(first)), names.take(pa.array(second)), " "), n, row
+
+
 def _words_only(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return df.select(F.col(row_id).alias("row_id"), words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
 
@@ -80,26 +103,13 @@ def term_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def document_frequency(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Per term: rows that contain it and occurrences overall. Tasks merge rows into partial counts of at most about ``HELD`` terms
-    before the exchange."""
+    """Per term: rows that contain it and occurrences overall. Each slice of rows gives its own counts, which tasks add up before the exchange."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, total = Counter(), Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(rows.values(), pa.int64()),
-                                              pa.array([total[t] for t in rows], pa.int64())], ["term", "df", "total_tf"])
-            rows.clear()
-            total.clear()
-            return out
-
-        for part in _slices(batches):
-            for own in map(_row_terms, part.column(0).to_pylist()):
-                rows.update(own.keys())
-                total.update(own)
-            if len(rows) > HELD:
-                yield flush()
-        yield flush()
+        for part in _slices(batches, TERM_ROWS):
+            for at, terms, tfs, _ in _numbered_terms(part.column(0)):
+                n = len(terms)
+                yield pa.RecordBatch.from_arrays([terms, pa.array(np.bincount(at, minlength=n)), pa.array(np.bincount(at, tfs, n).astype(np.int64))], ["term", "df", "total_tf"])
 
     partial = _words_only(df, row_id, text).select("words").mapInArrow(count, "term string, df long, total_tf long")
     return partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
@@ -109,9 +119,11 @@ def vocabulary(df: DataFrame, row_id: str, text: str, min_df: int = MIN_DF, size
     """The ``size`` most frequent terms in at least ``min_df`` rows, ties in term order.
 
     Counts are binned on a scale of one per cent (a few thousand bins at most); only terms of the bins that reach ``size`` are sorted, so
-    the one task that ends the sort sees little more than ``size`` terms however many tasks there are.
+    the one task that ends the sort sees little more than ``size`` terms however many tasks there are. The counts are kept in the shared folder:
+    bins and terms are two passes over them, the texts are counted once.
     """
-    kept = document_frequency(df, row_id, text).where(F.col("df") >= min_df)
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = document_frequency(df, row_id, text).where(F.col("df") >= min_df).checkpoint()
     bin_ = F.floor(F.log("total_tf") * 100)
     above = W.orderBy(F.desc("_bin")).rowsBetween(W.unboundedPreceding, -1)
     bins = kept.groupBy(bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
@@ -127,23 +139,20 @@ def tfidf(df: DataFrame, row_id: str, text: str, min_df: int = MIN_DF, size: int
     """
     rows = df.count()
     found = vocabulary(df, row_id, text, min_df, size).select("term", "df").collect()
-    idf = df.sparkSession.sparkContext.broadcast({r["term"]: math.log((1.0 + rows) / (1.0 + r["df"])) + 1.0 for r in found})
+    known = df.sparkSession.sparkContext.broadcast(([r["term"] for r in found], [math.log((1.0 + rows) / (1.0 + r["df"])) + 1.0 for r in found]))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = idf.value
-        for part in _slices(batches):
-            at, terms, tfs, weights = [], [], [], []
-            for i, counts in enumerate(map(_row_terms, part.column(1).to_pylist())):
-                own = {t: n for t, n in counts.items() if t in known}
-                raw = np.array([n * known[t] for t, n in own.items()])
-                at += [i] * len(own)
-                terms += own
-                tfs += own.values()
-                weights.append(raw / math.sqrt(float(raw @ raw)) if len(own) else raw)
-            yield pa.RecordBatch.from_arrays([
-                part.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()),
-                pa.array(np.concatenate(weights) if weights else [], pa.float64()),
-            ], [row_id, "term", "tf", "weight"])
+        names, idf = pa.array(known.value[0], pa.string()), np.array(known.value[1])
+        for part in _slices(batches, TERM_ROWS):
+            kept = []
+            for at, terms, tfs, row in _numbered_terms(part.column(1)):
+                place = pc.index_in(terms, value_set=names).fill_null(-1).to_numpy()[at]
+                kept.append((row[place >= 0], place[place >= 0], tfs[place >= 0]))
+            row, place, tfs = (np.concatenate(c).astype(np.int64) for c in zip(*kept))
+            raw = tfs * idf[place]
+            length = np.sqrt(np.bincount(row, raw * raw, part.num_rows))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), names.take(pa.array(place)), pa.array(tfs), pa.array(raw / length[row])],
+                                             [row_id, "term", "tf", "weight"])
 
     kind = df.schema[row_id].dataType.simpleString()
     return _words_only(df, row_id, text).mapInArrow(weigh, f"{row_id} {kind}, term string, tf long, weight double")
