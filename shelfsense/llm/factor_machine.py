@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsense.llm.common import REMEMBERED_BYTES, map_texts, slices
+from shelfsense.llm.common import REMEMBERED_BYTES, bound_batches, map_texts, slices
 
 # Buckets for words and for word shapes; statistics follow them in the feature space.
 WORDS = 1 << 13
@@ -126,6 +126,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_
     Rows with a null id or label are left out; a document labelled twice counts once; of rows that share an id one is learned, that with the
     smallest hash of its text. Only the text gives features.
     """
+    bound_batches(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out_fold()).groupBy("doc_id").agg(F.max(label).alias("_label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("_hash", F.xxhash64("text"))
@@ -174,6 +175,7 @@ def quality_scores(docs: DataFrame, machine: Machine, threshold: float = 0.3) ->
 
 def keep_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """``docs``, all columns, without the rows whose text scores below ``threshold``. No shuffle; columns may have any names."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index("text")
 

@@ -25,7 +25,7 @@ MEMBER = 2_000
 SIGNATURE, TRAVELLING = 1_024, 4_096
 REMEMBERED = 400_000
 # Part keys that a task gathers before they are packed, keys of a part (about), bytes of a key in its part, and rows of pairs in one batch.
-CHUNK_KEYS, PART_KEYS, KEY_BYTES, PAIRS = 2_000_000, 1 << 20, 5, 100_000
+CHUNK_KEYS, PART_KEYS, KEY_BYTES, PAIRS = 500_000, 1 << 20, 5, 100_000
 # Consecutive row numbers whose keys are counted together, so that a frequent key is told once to all of them.
 CHUNK_ROWS = 512
 
