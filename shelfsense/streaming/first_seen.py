@@ -1,62 +1,26 @@
-"""First of each key by event time and id, whatever the order of arrival: state per key with an expiry."""
+"""First of each key by event time and id, whatever the order of arrival: state per key and window with an expiry."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class KeepEarliest(StatefulProcessor):
-    """Holds (time, id) of the earliest row of a key. A row that comes before it replaces it and is given out; the state of a key goes when the watermark
-    has passed ``delay_ms`` beyond the time of the row that opened it."""
-
-    def __init__(self, time: str, row_id: str, delay_ms: int):
-        self.time, self.row_id, self.delay_ms = time, row_id, delay_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("earliest", "time long, id string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in rows:
-            first = part.sort_values([self.time, self.row_id], kind="stable").head(1)
-            if best is None or self._place(first) < self._place(best):
-                best = first
-        if best is None:
-            return
-        place = self._place(best)
-        fresh = not self.held.exists()
-        if fresh or place < tuple(self.held.get()):
-            self.held.update(place)
-            if fresh:
-                self.handle.registerTimer(place[0] // 1_000 + self.delay_ms)
-            yield best
-
-    def _place(self, row: pd.DataFrame) -> tuple[int, str]:
-        return int(pd.Timestamp(row[self.time].iloc[0]).value // 1_000), str(row[self.row_id].iloc[0])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-
 def first_by_time(stream: DataFrame, keys: list[str], time: str, row_id: str, delay: str) -> DataFrame:
-    """For each key the earliest row by (``time``, ``row_id`` as text), in update mode: a row is given out when it is the earliest seen, so an earlier one that
-    arrives late follows it and the last version of a key is right (``latest`` of ``streams``). Rows older than the watermark are dropped, keys
-    whose first row is ``delay`` behind it are forgotten. Rows without a time or an id take no part. Needs the RocksDB state store."""
+    """For each key the earliest row by (``time``, ``row_id`` as text) of every window of ``delay``, in update mode: a batch gives out the earliest row seen so far
+    of the keys and windows that it touches, so each row that comes out is one of the key's, and the first of a key is the earliest of them
+    (``earliest``); within a window the last version is right too. Rows older than the watermark may be dropped, a window's state goes when
+    the watermark has passed its end. Rows without a time or an id take no part. Needs the RocksDB state store."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    millis = int(spark.range(1).select((F.expr(f"timestamp '2000-01-01' + interval {delay}").cast("double") - F.expr("timestamp '2000-01-01'").cast("double")) * 1_000).first()[0])
     usable = stream.where(F.col(time).isNotNull() & F.col(row_id).isNotNull()).withWatermark(time, delay)
-    return usable.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=KeepEarliest(time, row_id, millis), outputStructType=stream.schema, outputMode="update", timeMode="eventtime")
+    first = F.min_by(F.struct(*stream.columns), F.struct(F.col(time), F.col(row_id).cast("string")))
+    return usable.groupBy(F.window(time, delay).alias("_window"), *keys).agg(first.alias("_first")).select("_first.*")
+
+
+def earliest(rows: DataFrame, keys: list[str], time: str, row_id: str) -> DataFrame:
+    """The first row of each key by (``time``, ``row_id`` as text) of all that ``first_by_time`` gave out, in any order and any number of times."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(F.col(time), F.col(row_id).cast("string")))
+    return rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(first.alias("_first")).select("_first.*")

@@ -58,6 +58,18 @@ def test_late_earlier_rows_win_and_state_expires(spark):
     assert sum(removed) >= 3, removed  # a, b and the null key left the state
 
 
+def test_first_of_a_key_outlives_its_state(spark):
+    folder = scratch_path(spark, "first")
+    batches = [[("a", "2", at(60), 1), ("b", "1", at(50), 2)], [("c", "1", at(5_000), 3)], [("a", "1", at(5_001), 4), ("b", "0", at(4_990), 5)], [("c", "0", at(4_950), 6)]]
+    write_in_order(spark, folder, batches, EVENTS)
+    source = streams.stream_files(spark, folder, spark.createDataFrame([], EVENTS).schema, files_per_batch=1)
+    first = first_seen.first_by_time(source, ["k"], "t", "id", "100 minutes")
+    assert "python" not in first._jdf.queryExecution().analyzed().toString().lower()  # no call of Python for each key
+    out = streams.run_available(first, "update")
+    found = first_seen.earliest(out, ["k"], "t", "id").collect()
+    assert {r.k: (r.id, r.v) for r in found} == {"a": ("2", 1), "b": ("1", 2), "c": ("0", 6)}
+
+
 def test_totals_add_every_batch_once(spark):
     root = scratch_path(spark, "totals")
     want = Counter()
