@@ -38,13 +38,13 @@ def train_sentiment(df: DataFrame, text: str = "text", label: str = "sentiment_l
     ``max_terms``) and the coefficients come to the driver.
     """
     rows = with_terms(with_class_weights(model_rows(df, text, label, labels), label, labels), text)
-    rows = rows.select("terms", label, "class_weight").persist(StorageLevel.MEMORY_AND_DISK)  # read by each pass of the fits
     known = vocabulary(model_rows(df, text, label, labels).withColumn("_row", F.lit(0)), "_row", text, min_df, max_terms)
     terms = [r["term"] for r in known.select("term").collect()]  # at most max_terms
     if not terms:
         raise ValueError(f"no training rows with text and a label among {', '.join(labels)}, or no term in {min_df} of them")
     counter = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="_tf")
-    counted = counter.transform(rows)
+    # Read by each pass before the regression, which keeps blocks of its own: only counts by number are held, and on disk, so that memory is left for the blocks.
+    counted = counter.transform(rows.select("terms", label, "class_weight")).drop("terms").persist(StorageLevel.DISK_ONLY)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf.toArray() + 1.0
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_scaled")
     unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="features")
@@ -55,7 +55,7 @@ def train_sentiment(df: DataFrame, text: str = "text", label: str = "sentiment_l
         featuresCol="features", labelCol="_label", weightCol="class_weight", family="multinomial", maxIter=max_iter,
         regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False,
     ).fit(ready)
-    rows.unpersist()
+    counted.unpersist()
     names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=list(labels))
     return PipelineModel(stages=[counter, scale, unit, regression, names])
 

@@ -24,3 +24,12 @@ def test_sentiment(spark):
     out = models.predict_sentiment(model, df).collect()
     assert all(r["sentiment_label"] == r["predicted_label"] for r in out)
     assert all(abs(r["prob_negative"] + r["prob_neutral"] + r["prob_positive"] - 1) < 1e-9 for r in out)
+
+
+def test_fit_holds_counts_and_no_words(spark, monkeypatch):
+    rows = [(f"{word} nice{i % 3} thing", label) for i in range(20) for word, label in (("great", "positive"), ("bad", "negative"), ("plain", "neutral"))]
+    df, held = spark.createDataFrame(rows, "text string, sentiment_label string"), []
+    persist = type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self, level: held.append((dict(self.dtypes), level.useMemory)) or persist(self, level))
+    models.train_sentiment(df, max_iter=5)
+    assert held == [({"sentiment_label": "string", "class_weight": "double", "_tf": "vector"}, False)]
