@@ -211,14 +211,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
                            bloom_filter(sets, F.col("node"), distinct), distinct, "one", broadcast_bytes).where("one")
         rare = _rare_keys(keyed.select("row", "n_shingles", "keys"), shingles or 0, similarity)
         stars = keep(saved(_shared_keys(rare, shingles or 0).distinct(), "stars"))
-    candidates = saved(components(stars), "candidates")
+    candidates = components(stars)
 
     links = saved(_verified(docs, doc_id, text, n, sets, candidates, num, den, broadcast_bytes), "links")
     roots = components(links)
-    placed = saved(lookup(sets, "node", roots, "node", "root", distinct), "placed")
+    placed = saved(sets.join(roots, "node", "left"), "placed")  # a node is one row on either side
     joined = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = lookup(placed, "root", joined, "root", "component_id", distinct).select(
-        "set_hash", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    named = saved(lookup(placed, "root", joined, "root", "component_id", distinct).select(
+        "set_hash", "copies", F.coalesce("component_id", "least").alias("component_id")), "named")
     narrow = scanned.select("doc_id", "n_shingles", "set_hash", "row")
     return salted_join(narrow, named, "set_hash", "copies", F.col("row"), total, "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -503,7 +503,7 @@ def _verified(docs: DataFrame, doc_id: str, text: str, n: int, sets: DataFrame,
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([row.tobytes() for row in made], pa.binary())], ["root", "node", "size", "set"])
 
     short = read(many).select("root", "node", "size", "set").mapInArrow(bitmaps, "root long, node long, size long, set binary").dropDuplicates(["node"])
-    allowed = components(_between_tiles(_tiled(short, BITMAP_TILES), num, den, exact=False))
+    allowed = components(_between_tiles(_tiled(short, BITMAP_TILES), num, den, broadcast_bytes, exact=False))
     one, many = _placed(many.drop("root").join(allowed, "node").select(columns), broadcast_bytes)
     links = links.unionByName(settled(one))
     if many is None:
@@ -513,10 +513,10 @@ def _verified(docs: DataFrame, doc_id: str, text: str, n: int, sets: DataFrame,
     heads = many.groupBy("root").agg(F.min(F.struct("size", "node")).getField("node").alias("node"), F.count(F.lit(1)).alias("members"))
     references = read(many.join(heads.drop("root"), "node")).dropDuplicates(["root"]).select("root", F.col("set").alias("reference"), "members")
     apart = _differences(read(many), saved(references, "references"), many.count(), broadcast_bytes).dropDuplicates(["node"])
-    return links.unionByName(_between_tiles(_tiled(apart), num, den))
+    return links.unionByName(_between_tiles(_tiled(apart), num, den, broadcast_bytes))
 
 
-def _between_tiles(placed: DataFrame, num: int, den: int, exact: bool = True) -> DataFrame:
+def _between_tiles(placed: DataFrame, num: int, den: int, broadcast_bytes: int, exact: bool = True) -> DataFrame:
     """Links of components that fill several tiles: ``placed`` has root, block, node, size, set."""
     tiles = placed.groupBy("root", "block").agg(F.min(F.struct("size", "node")).getField("node").alias("head"), F.min("size").alias("low"), F.max("size").alias("high"))
     reach = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda p: F.col("_block") + F.call_function("shiftleft", F.lit(1).cast("bigint"), p))
@@ -530,8 +530,13 @@ def _between_tiles(placed: DataFrame, num: int, den: int, exact: bool = True) ->
     parts = components(first).withColumnRenamed("root", "part")
     open_ = saved(placed.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "open")
     largest = open_.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).getField("part").alias("largest"))
-    rest = lookup(open_.select("root", "block", "node", "size", "part"), "root", largest, "root", "largest", open_.count())
+    # At most total weight / TILE rows.
+    largest, narrow = saved(largest, "largest"), open_.select("root", "block", "node", "size", "part")
+    held = largest.count() * 64
+    rest = narrow.join(F.broadcast(largest), "root") if held <= broadcast_bytes else lookup(narrow, "root", largest, "root", "largest", open_.count())
     rest = saved(rest.where("part <> largest").select("root", F.col("block").alias("other"), "node", "size"), "rest")
+    if rest.isEmpty():
+        return first
     blocks = rest.groupBy("root", "other").agg(F.min("size").alias("rest_low"), F.max("size").alias("rest_high"))
     near = (F.col("low") * num <= F.col("rest_high") * den) & (F.col("rest_low") * num <= F.col("high") * den)
     pairs = saved(blocks.join(tiles.select("root", "block", "low", "high"), "root").where(near).select("root", "block", "other"), "pairs")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from shelfsense.llm import common
+from shelfsense.llm import common, jaccard_join
 
 
 def graph():
@@ -45,3 +45,26 @@ def test_a_small_graph_is_settled_in_two_tables(spark, monkeypatch):
     monkeypatch.setattr(common, "saved", lambda df, name, *rows: made.append(name) or write(df, name, *rows))
     assert common.components(spark.createDataFrame(graph(), "a long, b long")).count()
     assert made == ["edges", "step"]
+
+
+def near_copies(rng, words, copies):
+    """Texts of which each differs from the first in two places at most."""
+    first = [f"w{rng.randrange(10 ** 6)}" for _ in range(words)]
+    for _ in range(copies):
+        text = list(first)
+        for _ in range(2):
+            text[rng.randrange(words)] = f"x{rng.randrange(10 ** 6)}"
+        yield " ".join(text)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 64 << 20])
+def test_tiles_joined_at_once_meet_no_second_time(spark, monkeypatch, broadcast_bytes):
+    """Near copies that fill several tiles are one component after the first comparison: no pairs of tiles are made, and all are in the result."""
+    monkeypatch.setattr(jaccard_join, "TILE", 6000)
+    made, write = [], common.saved
+    monkeypatch.setattr(jaccard_join, "saved", lambda df, name, *rows: made.append(name) or write(df, name, *rows))
+    rows = [(i, text) for i, text in enumerate(near_copies(random.Random(5), 200, 60))] + [(100 + i, f"alone {i} and by itself") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, 3, 80, 100, broadcast_bytes=broadcast_bytes).collect()}
+    assert found == {i: 0 if i < 100 else i for i, _ in rows}
+    assert "rest" in made and "pairs" not in made
