@@ -23,7 +23,8 @@ BITMAP_TILES = 4
 MEMBER = 2_000
 # Bits of a signature within a tile of sets, and of one that travels in place of its set.
 SIGNATURE, TRAVELLING = 1_024, 4_096
-REMEMBERED = 400_000
+# Words of a worker's cache, some 20 MB; common words are few, and a worker keeps the memory of its fullest cache.
+REMEMBERED = 100_000
 # Part keys that a task gathers before they are packed, keys of a part (about), bytes of a key in its part, and rows of pairs in one batch.
 CHUNK_KEYS, PART_KEYS, KEY_BYTES, PAIRS = 500_000, 1 << 20, 5, 100_000
 # Consecutive row numbers whose keys are counted together, so that a frequent key is told once to all of them.

@@ -198,8 +198,8 @@ def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats:
                 rows += [i] * len(spans)
                 taken += cut_words(whole, [(p["low"], p["high"]) for p in spans])
                 places += [(p["shard"], p["slot"]) for p in spans]
-            arrays = [c.take(pa.array(rows, pa.int64())) for c in doc.flatten()]
-            arrays[at_text] = pa.array(taken, arrays[at_text].type)
+            # Not the whole text for each of its parts: that is the square of a text's length.
+            arrays = [pa.array(taken, c.type) if i == at_text else c.take(pa.array(rows, pa.int64())) for i, c in enumerate(doc.flatten())]
             if n_chars in columns:
                 arrays[columns.index(n_chars)] = pa.array([len(t) for t in taken], pa.int64()).cast(arrays[columns.index(n_chars)].type)
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([p[k] for p in places], pa.int64()) for k in (0, 1))], [*columns, shard, slot])
