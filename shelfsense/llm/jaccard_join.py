@@ -210,7 +210,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
         # Part keys of one row per set; a false positive of the filter lets a copy's keys in, which changes nothing.
         keyed = bloom_hits(hashed.where("n_shingles > 0 AND size(keys) > 0").select("row", "n_shingles", "keys"), F.col("row"),
                            bloom_filter(sets, F.col("node"), distinct), distinct, "one", broadcast_bytes).where("one")
-        rare = _rare_keys(keyed.select("row", "n_shingles", "keys"), shingles or 0, similarity)
+        # Written in between: two Python functions in one stage are two workers to a task, which keep their memory.
+        rare = saved(_rare_keys(keyed.select("row", "n_shingles", "keys"), shingles or 0, similarity), "rare")
         stars = keep(saved(_shared_keys(rare, shingles or 0).distinct(), "stars"))
     candidates = components(stars)
 
@@ -425,9 +426,9 @@ def _shared_keys(keyed: DataFrame, most: int) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """``wanted`` (set_hash, least and more) with ``set``, read again from a document that has it. A row that repeats id and text repeats its
-    set, which tiles ignore."""
+def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame, broadcast_bytes: int, bits: int = 0) -> DataFrame:
+    """``wanted`` (set_hash, least and more) with ``set``, read again from a document that has it, or with a bitmap of so many ``bits`` in place
+    of the set. A row that repeats id and text repeats its set, which tiles ignore."""
     known = wanted.count()
     ids = bloom_filter(wanted.where("least IS NOT NULL"), F.col("least"), known)
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -437,8 +438,8 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame,
         words = Words()
 
         def columns(texts: list[bytes]) -> dict:
-            found = [shingle_set(t, n, words).tobytes() for t in texts]
-            return {"set_hash": [xxhash.xxh3_128_digest(s) for s in found], "set": found}
+            found = [shingle_set(t, n, words) for t in texts]
+            return {"set_hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in found], "set": [s.tobytes() for s in (signatures(found, bits) if bits else found)]}
 
         return columns
 
@@ -451,7 +452,7 @@ def _differences(sets: DataFrame, references: DataFrame, members: int, broadcast
     """``sets`` (root, node, size, set) with each set replaced by what differs between it and its root's reference."""
     held = references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
     if held <= broadcast_bytes:
-        met = sets.join(F.broadcast(references.drop("members")), "root")
+        met = sets.repartition("node").join(F.broadcast(references.drop("members")), "root")  # not in the stage, and with the workers, that make the sets
     else:
         met = salted_join(sets, references, "root", "members", F.col("node"), members)
 
@@ -484,8 +485,8 @@ def _tiled(rows: DataFrame, times: int = 1) -> DataFrame:
 def _verified(docs: DataFrame, doc_id: str, text: str, n: int, sets: DataFrame, candidates: DataFrame, num: int, den: int, broadcast_bytes: int) -> DataFrame:
     """Links (a, b) between candidate nodes that join exactly what all links join."""
 
-    def read(wanted: DataFrame) -> DataFrame:
-        return _sets_of(docs, doc_id, text, n, wanted, broadcast_bytes)
+    def read(wanted: DataFrame, bits: int = 0) -> DataFrame:
+        return _sets_of(docs, doc_id, text, n, wanted, broadcast_bytes, bits)
 
     def settled(one: DataFrame) -> DataFrame:
         found = read(one)
@@ -498,12 +499,7 @@ def _verified(docs: DataFrame, doc_id: str, text: str, n: int, sets: DataFrame,
         return links
 
     # Large components: first bitmaps alone meet, and only what their bound allows stays together.
-    def bitmaps(batches):
-        for part in slices(batches, 64):
-            made = signatures([np.frombuffer(x, np.uint64) for x in part.column(3).to_pylist()], TRAVELLING)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([row.tobytes() for row in made], pa.binary())], ["root", "node", "size", "set"])
-
-    short = read(many).select("root", "node", "size", "set").mapInArrow(bitmaps, "root long, node long, size long, set binary").dropDuplicates(["node"])
+    short = read(many, TRAVELLING).select("root", "node", "size", "set").dropDuplicates(["node"])
     allowed = components(_between_tiles(_tiled(short, BITMAP_TILES), num, den, broadcast_bytes, exact=False))
     one, many = _placed(many.drop("root").join(allowed, "node").select(columns), broadcast_bytes)
     links = links.unionByName(settled(one))
